@@ -1 +1,4 @@
+"""All registered queries."""
 
+from newsloom.catalog import table_queries, text_queries  # noqa: F401
+from newsloom.catalog.base import ENTRIES  # noqa: F401
