@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as fv
-from newsloom.functions.text import count_keywords
+from newsloom.functions.text import count_keywords, let
 
 # Up to this many keywords, a generated expression beats a join.
 EXPRESSION_LIMIT = 400
@@ -50,4 +50,8 @@ def match_keywords(texts: DataFrame, key: str, text: str, rules: DataFrame) -> D
 
 def first_pattern(text: Column, patterns: Sequence[Mapping], field: str, floor: int = fv.MIN_EVENT_KEYWORDS) -> Column:
     """``field`` of the first pattern with at least ``floor`` keywords in the text, else null."""
-    return F.coalesce(*[F.when(count_keywords(text, p["keywords"]) >= floor, F.lit(p[field])) for p in patterns])
+
+    def first(t: Column) -> Column:
+        return F.coalesce(*[F.when(count_keywords(t, p["keywords"]) >= floor, F.lit(p[field])) for p in patterns])
+
+    return let(text, first)

@@ -19,6 +19,11 @@ def replace_all(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), patterns, text)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body mentions it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def py_strip(text: Column) -> Column:
     """Strip every Unicode space on both ends (``trim`` knows the plain blank only)."""
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
@@ -150,14 +155,17 @@ def single_title_headline(title: Column, rules: Sequence[Mapping] | None = None)
         )
     )
 
-    def all_words(words: Sequence[str]) -> Column:
-        return reduce(lambda a, b: a & b, [F.contains(bare, F.lit(w)) for w in words])
+    def headline(bare: Column) -> Column:
+        def all_words(words: Sequence[str]) -> Column:
+            return reduce(lambda a, b: a & b, [F.contains(bare, F.lit(w)) for w in words])
 
-    canned = [
-        F.when(reduce(lambda a, b: a | b, [all_words(words) for words in rule["any_of"]]), F.lit(rule["headline"]))
-        for rule in rules
-    ]
-    return F.coalesce(*canned, blank_to_null(truncate(bare, fv.SHORT_TITLE)), F.lit(fv.DEFAULT_HEADLINE))
+        canned = [
+            F.when(reduce(lambda a, b: a | b, [all_words(words) for words in rule["any_of"]]), F.lit(rule["headline"]))
+            for rule in rules
+        ]
+        return F.coalesce(*canned, blank_to_null(truncate(bare, fv.SHORT_TITLE)), F.lit(fv.DEFAULT_HEADLINE))
+
+    return let(bare, headline)
 
 
 def group_headline(top_words: Column) -> Column:

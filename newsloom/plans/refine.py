@@ -15,6 +15,7 @@ from newsloom.operators.aggregates import bias_counts, top_words, word_counts
 from newsloom.operators.generate import TextModel, generate, title_lists
 from newsloom.operators.tables import union_all, with_bias
 from newsloom.operators.windows import number_within, top_n
+from newsloom.session import cut_lineage
 
 CLUSTER = ["category", "cluster_id"]
 SEEDS, COMPANIONS = 6, 3
@@ -83,7 +84,8 @@ def model_patterns(members: DataFrame, model: TextModel) -> DataFrame:
 
 
 def event_patterns(members: DataFrame, model: TextModel | None = None, word_pattern: str = fv.HANGUL_WORD) -> DataFrame:
-    return model_patterns(members, model) if model else frequent_word_patterns(members, word_pattern)
+    patterns = model_patterns(members, model) if model else frequent_word_patterns(members, word_pattern)
+    return cut_lineage(patterns)  # one short row per cluster, read by every later step
 
 
 # --- assignment and shaping -----------------------------------------------------------------
@@ -124,10 +126,11 @@ def shape_groups(assigned: DataFrame) -> DataFrame:
 
     Singletons are numbered in their cluster by time and id, over as many tasks as it takes.
     """
-    counts = assigned.where(F.col("event_pos").isNotNull()).groupBy(*CLUSTER, "event_pos").agg(
+    rows = cut_lineage(assigned)
+    counts = rows.where(F.col("event_pos").isNotNull()).groupBy(*CLUSTER, "event_pos").agg(
         F.count(F.lit(1)).alias("event_size")
     )
-    sized = assigned.join(counts, [*CLUSTER, "event_pos"], "left")
+    sized = rows.join(counts, [*CLUSTER, "event_pos"], "left")
     stem = (
         F.when(~F.col("has_patterns"), "fallback")
         .when(F.col("event_pos").isNull(), "noise")
@@ -138,7 +141,7 @@ def shape_groups(assigned: DataFrame) -> DataFrame:
         .when(F.startswith("stem", F.lit("small_")), "small_group")
         .otherwise(F.col("stem"))
     )
-    marked = sized.drop("event_size").withColumn("stem", stem).withColumn("event_type", kind)
+    marked = sized.withColumn("stem", stem).withColumn("event_type", kind).drop("event_size")
     kept = marked.where(F.col("stem").isNull()).withColumn("group_id", F.col("event_id"))
     single = number_within(
         marked.where(F.col("stem").isNotNull()), [*CLUSTER, "stem"], [F.asc("published_at"), F.asc("id")], "n"
@@ -201,7 +204,7 @@ def refine_groups(
 ) -> DataFrame:
     """All members with their final group."""
     shaped = shape_groups(assign_events(members, patterns))
-    return merge_singletons(add_headlines(shaped, word_pattern, headline_rules), merge_rules)
+    return cut_lineage(merge_singletons(add_headlines(shaped, word_pattern, headline_rules), merge_rules))
 
 
 def rank_groups(

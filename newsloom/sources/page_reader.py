@@ -88,48 +88,84 @@ def matches(path: list[Element], selector: str) -> bool:
     return True
 
 
-class PageReader(HTMLParser):
-    """One pass over a page.
+@dataclass(frozen=True)
+class Place:
+    """Where a field is found: a selector, and an attribute of the element or else its text.
 
-    ``scopes`` open numbered scopes; ``fields`` are ``(name, selector, needs_scope)``; text below an
-    element matching ``exclude`` is left out of captures that need a scope.
+    ``join`` puts the stripped text nodes together; ``None`` keeps the text as it is.
     """
 
-    def __init__(self, scopes: list[str], fields: list[tuple[str, str, bool]], exclude: list[str]):
+    name: str
+    selector: str
+    attribute: str | None = None
+    join: str | None = ""
+    in_scope: bool = True
+    body: bool = False  # leaves excluded elements out
+
+
+class SiteReader:
+    """Selectors of one site, ordered for quick tests by tag name."""
+
+    def __init__(self, scopes: list[str], places: list[Place], exclude: list[str], join: str | None = ""):
+        self.join = join
+        self.scopes = self._by_tag(list(enumerate(scopes)), lambda x: x[1])
+        self.exclude = self._by_tag(exclude, lambda x: x)
+        self.places = self._by_tag(list(enumerate(places)), lambda x: x[1].selector)
+
+    @staticmethod
+    def _by_tag(items, selector):
+        """``tag -> items`` whose last step may match that tag, in the given order; None for all other tags."""
+        tags = {compile_selector(selector(i))[-1][1] for i in items}
+        return {t: [i for i in items if compile_selector(selector(i))[-1][1] in (t, "")] for t in tags | {""}}
+
+    @staticmethod
+    def of(table: dict, tag: str) -> list:
+        return table.get(tag) or table[""]
+
+
+class PageReader(HTMLParser):
+    """One pass over a page. Scopes are numbered in page order; a scope opens inside another only if more trusted."""
+
+    def __init__(self, site: SiteReader):
         super().__init__(convert_charrefs=True)
-        self.scope_rules, self.fields, self.exclude = scopes, fields, exclude
+        self.site = site
         self.path: list[Element] = []
         self.found: list[dict] = []
-        self.scopes = 0
+        self.n_scopes = 0
         self.text: list[str] = []
 
     def handle_starttag(self, tag, attrs):
         self._end_text()
         if tag in CLOSES_P and any(e.tag == "p" for e in self.path):
             self._close("p")
-        outer = self.path[-1] if self.path else None
         element = Element(tag, {k: v or "" for k, v in attrs})
-        if outer is not None:
+        if self.path:
+            outer = self.path[-1]
             element.scope, element.scope_rank, element.hidden = outer.scope, outer.scope_rank, outer.hidden
         self.path.append(element)
-        for rank, selector in enumerate(self.scope_rules[: element.scope_rank]):  # more trusted ones only
-            if matches(self.path, selector):
-                element.scope, element.scope_rank, element.hidden = self.scopes, rank, False
-                self.scopes += 1
-                self._capture(element, "scope", rank)
+        site = self.site
+        for rank, selector in site.of(site.scopes, tag):
+            if rank < element.scope_rank and matches(self.path, selector):
+                element.scope, element.scope_rank, element.hidden = self.n_scopes, rank, False
+                self.n_scopes += 1
+                self._capture(element, rank, Place("scope", selector, join=site.join, body=True))
                 break
         if element.scope >= 0 and not element.hidden:
-            element.hidden = any(matches(self.path, s) for s in self.exclude)
-        for rank, (name, selector, needs_scope) in enumerate(self.fields):
-            if (element.scope >= 0 or not needs_scope) and matches(self.path, selector):
-                if not (element.hidden and name in ("paragraph", "fallback")):
-                    self._capture(element, name, rank)
+            element.hidden = any(matches(self.path, s) for s in site.of(site.exclude, tag))
+        for rank, place in site.of(site.places, tag):
+            wanted = (element.scope >= 0 or not place.in_scope) and not (place.body and element.hidden)
+            if wanted and matches(self.path, place.selector):
+                self._capture(element, rank, place)
         if tag in VOID:
             self.path.pop()
 
-    def _capture(self, element: Element, name: str, rank: int) -> None:
-        capture = {"scope": element.scope, "name": name, "rank": rank, "texts": [], "attrs": list(element.attrs.items())}
-        element.captures.append(capture)
+    def _capture(self, element: Element, rank: int, place: Place) -> None:
+        capture = {
+            "scope": element.scope, "name": place.name, "rank": rank, "place": place, "nodes": [],
+            "attrs": element.attrs,
+        }
+        if place.attribute is None:
+            element.captures.append(capture)
         self.found.append(capture)
 
     def handle_endtag(self, tag):
@@ -151,33 +187,34 @@ class PageReader(HTMLParser):
         if not self.text:
             return
         data, self.text = "".join(self.text), []
-        silent = bool(self.path) and self.path[-1].tag in SILENT
-        hidden = bool(self.path) and self.path[-1].hidden
-        for depth, element in enumerate(self.path):
+        if not self.path:
+            return
+        inner = self.path[-1]
+        silent = inner.tag in SILENT
+        for element in self.path:
             for capture in element.captures:
-                in_body = capture["name"] in ("scope", "paragraph", "fallback")
-                own_script = silent and depth == len(self.path) - 1
-                if (silent and not own_script) or (in_body and (hidden or silent)):
+                if capture["place"].body and (inner.hidden or silent):
                     continue
-                capture["texts"].append(data)
+                if not silent or element is inner:
+                    capture["nodes"].append(data)
 
-    def read(self, html: str) -> list[dict]:
-        self.feed(html)
-        self.close()
-        self._end_text()
-        return self.found
+
+def _text(nodes: list[str], join: str | None) -> str:
+    return "".join(nodes) if join is None else join.join(t for n in nodes if (t := n.strip()))
 
 
-def read_page(html: str | None, rule: dict) -> Iterator[dict]:
-    """Captures of one page under one site rule."""
+def read_page(html: str | None, site: SiteReader) -> Iterator[dict]:
+    """What one page holds at the places of its site."""
     if not html:
         return
-    reader = PageReader(rule["scopes"], rule["fields"], rule["exclude"])
-    for capture in reader.read(html):
+    reader = PageReader(site)
+    reader.feed(html)
+    reader.close()
+    reader._end_text()
+    for found in reader.found:
+        place = found["place"]
+        text = found["attrs"].get(place.attribute) if place.attribute else _text(found["nodes"], place.join)
         yield {
-            "scope": capture["scope"],
-            "name": capture["name"],
-            "rank": capture["rank"],
-            "texts": capture["texts"],
-            "attrs": capture["attrs"],
+            "scope": found["scope"], "name": found["name"], "rank": found["rank"], "text": text,
+            "attrs": list(found["attrs"].items()),
         }

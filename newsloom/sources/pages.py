@@ -1,11 +1,16 @@
-"""Landed news pages: captures by an Arrow step, then everything else as Spark expressions."""
+"""Landed news pages: an Arrow step reports what is where, everything else is Spark expressions.
+
+Site rules are data. They reach the expressions as one literal map from site to rule, so the plan does
+not grow with the number of sites.
+"""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsloom import schemas
@@ -13,12 +18,20 @@ from newsloom.functions import dates, text
 from newsloom.functions import fixed_values as fv
 from newsloom.operators.tables import link_allowed, title_long_enough
 from newsloom.operators.windows import keep_first
-from newsloom.sources.page_reader import read_page
+from newsloom.sources.page_reader import Place, SiteReader, read_page
 from newsloom.sources.site_rules import NOTE_MARK, PLAIN_RULE, RICH_FIELDS, SITE_RULES
 
-CAPTURES = "array<struct<scope:int,name:string,rank:int,texts:array<string>,attrs:map<string,string>>>"
+CAPTURES = "array<struct<scope:int,name:string,rank:int,text:string,attrs:map<string,string>>>"
 ITEM_FIELDS = ["title", "link", "section", "description", "date", "year", "month_day", "image", "image_alt", "author",
                "subtitle", "style"]
+RULE_DDL = (
+    "struct<base_url:string,per_page:int,min_title:boolean,unique_id:boolean,https:boolean,longer_than:int,drop:string,"
+    "fallback_longer_than:int,fallback_drop:string,whole_longer_than:int,whole_blocks:boolean,first:int,joiner:string,"
+    "reporter_tail:boolean,drop_contained:boolean,order_by:boolean,byline:string,wire:boolean,squeeze:boolean,"
+    "raw_text:boolean>"
+)
+NEVER = "(?!)"  # matches nothing
+LD_SELECTOR = 'script[type="application/ld+json"]'
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -26,38 +39,83 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.schema("pages_raw")).parquet(path)
 
 
-def _selector(place: str) -> str:
-    return place.split("@")[0]
-
-
-def _attribute(place: str) -> str | None:
-    return place.split("@")[1] if "@" in place else None
-
+# --- rules ----------------------------------------------------------------------------------
 
-def _rule_for(source: str | None, rules: Mapping[str, dict]) -> dict:
-    return rules.get(source or "", PLAIN_RULE)
+def _place(name: str, where: str, **options) -> Place:
+    selector, _, attribute = where.partition("@")
+    return Place(name, selector, attribute or None, **options)
 
 
-def _list_spec(rule: dict) -> dict:
+def _list_reader(rule: dict) -> SiteReader:
     items = rule.get("list", {"items": []})
-    fields = [(name, _selector(p), True) for name in ITEM_FIELDS for p in items.get(name, [])]
-    return {"scopes": items["items"], "fields": fields, "exclude": []}
+    places = [_place(name, p) for name in ITEM_FIELDS for p in items.get(name, [])]
+    return SiteReader(items["items"], places, [])
 
 
-def _body_spec(rule: dict) -> dict:
+def _body_reader(rule: dict) -> SiteReader:
     body = rule["body"]
-    fields = [("paragraph", s, True) for s in body["paragraph"]] + [("fallback", s, True) for s in body["fallback"]]
-    fields += [(name, s, True) for name, places in RICH_FIELDS.items() for s in places]
-    fields += [("date", _selector(p), False) for p in rule["dates"] if not p.startswith("$")]
-    fields += [("json_ld", 'script[type="application/ld+json"]', False), ("page_title", "title", False)]
-    for name, places in rule.get("page_fields", {}).items():
-        fields += [(f"page_{name}", _selector(p), False) for p in places]
-    return {"scopes": body["containers"], "fields": fields, "exclude": body["exclude"]}
-
-
-def _capture_udf(kind: str, rules: Mapping[str, dict]):
-    make = {"list": _list_spec, "body": _body_spec}[kind]
-    specs = {name: make(rule) for name, rule in rules.items()}
+    places = [Place(n, s, join=body["join"], body=True) for n in ("paragraph", "fallback") for s in body[n]]
+    places += [
+        Place(name, s, join="\n" if name == "note" else "") for name, selectors in RICH_FIELDS.items() for s in selectors
+    ]
+    dated = rule["dates"] if "$datePublished" in rule["dates"] else [*rule["dates"], "$datePublished"]
+    places += [
+        Place("date_ld", LD_SELECTOR, join=None, in_scope=False) if p.startswith("$") else _place("date", p, in_scope=False)
+        for p in dated
+    ]
+    places.append(Place("page_title", "title", in_scope=False))
+    for name, where in rule.get("page_fields", {}).items():
+        places += [_place(f"page_{name}", p, in_scope=False) for p in where]
+    return SiteReader(body["containers"], places, body["exclude"], None if rule["keep"].get("whole_blocks") else body["join"])
+
+
+def _rule_row(name: str, rule: dict) -> dict:
+    keep, items = rule["keep"], rule.get("list", {})
+
+    def any_of(patterns: list[str]) -> str:
+        return "|".join(f"(?:{p})" for p in patterns) if patterns else NEVER
+
+    return {
+        "base_url": rule["base_url"],
+        "per_page": items.get("per_page"),
+        "min_title": items.get("min_title", False),
+        "unique_id": items.get("unique_id", False),
+        "https": name == "segye",
+        "longer_than": keep["longer_than"],
+        "drop": any_of(keep["drop"]),
+        "fallback_longer_than": keep.get("fallback_longer_than", keep["longer_than"]),
+        "fallback_drop": any_of(keep.get("fallback_drop", [])),
+        "whole_longer_than": keep.get("whole_longer_than"),
+        "whole_blocks": keep.get("whole_blocks", False),
+        "first": keep.get("first"),
+        "joiner": keep["joiner"],
+        "reporter_tail": keep.get("reporter_tail", False),
+        "drop_contained": keep.get("drop_contained", False),
+        "order_by": "order_by" in keep,
+        "byline": keep.get("byline", NEVER),
+        "wire": keep.get("wire", False),
+        "squeeze": keep.get("squeeze", False),
+        "raw_text": rule["body"]["join"] is None,
+    }
+
+
+def with_rule(df: DataFrame, rules: Mapping[str, dict]) -> DataFrame:
+    """Adds ``rule``, looked up in a literal map by the ``source`` column."""
+    table = F.from_json(F.lit(json.dumps({n: _rule_row(n, r) for n, r in rules.items()})), f"map<string,{RULE_DDL}>")
+    plain = F.from_json(F.lit(json.dumps(_rule_row("", PLAIN_RULE))), RULE_DDL)
+    return df.withColumn("rule", F.coalesce(F.try_element_at(table, F.col("source")), plain))
+
+
+def _rule(field: str) -> Column:
+    return F.col(f"rule.{field}")
+
+
+# --- captures -------------------------------------------------------------------------------
+
+def with_captures(pages: DataFrame, kind: str, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
+    """Adds ``captures`` for list pages (``kind="list"``) or article pages (``kind="body"``); drops the page itself."""
+    make = {"list": _list_reader, "body": _body_reader}[kind]
+    readers = {name: make(rule) for name, rule in rules.items()}
     plain = make(PLAIN_RULE)
     arrow_type = pa.list_(
         pa.struct(
@@ -65,7 +123,7 @@ def _capture_udf(kind: str, rules: Mapping[str, dict]):
                 ("scope", pa.int32()),
                 ("name", pa.string()),
                 ("rank", pa.int32()),
-                ("texts", pa.list_(pa.string())),
+                ("text", pa.string()),
                 ("attrs", pa.map_(pa.string(), pa.string())),
             ]
         )
@@ -74,81 +132,40 @@ def _capture_udf(kind: str, rules: Mapping[str, dict]):
     @F.arrow_udf(CAPTURES)
     def capture(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for source, html in batches:
-            yield pa.array(
-                [
-                    list(read_page(page, specs.get(name, plain)))
-                    for name, page in zip(source.to_pylist(), html.to_pylist(), strict=True)
-                ],
-                type=arrow_type,
-            )
-
-    return capture
-
+            pairs = zip(source.to_pylist(), html.to_pylist(), strict=True)
+            yield pa.array([list(read_page(page, readers.get(site, plain))) for site, page in pairs], type=arrow_type)
 
-def with_captures(pages: DataFrame, kind: str, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
-    """Adds ``captures`` for list pages (``kind="list"``) or article pages (``kind="body"``); drops the page text."""
-    capture = _capture_udf(kind, rules)
     return pages.withColumn("captures", capture("source", "html")).drop("html")
 
 
-def _by_source(rules: Mapping[str, dict], make) -> Column:
-    """One expression per site, chosen by the ``source`` column; sites with equal rules share a branch."""
-    branches: dict[str, tuple[list[str], Column]] = {}
-    for name, rule in rules.items():
-        expression = make(rule)
-        branches.setdefault(str(expression), ([], expression))[0].append(name)
-    chosen = make(PLAIN_RULE)
-    for names, expression in branches.values():
-        chosen = F.when(F.col("source").isin(*names), expression).otherwise(chosen)
-    return chosen
+# --- list pages -----------------------------------------------------------------------------
 
+def list_items(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
+    """``(page_id, source, pos, title, url, …)``: one row per listed article, in page order.
 
-def _node_text(texts: Column, join: str | None) -> Column:
-    """Text of a capture: stripped nodes joined, or the raw text with markup blanks squeezed."""
-    if join is None:
-        return text.strip_markup(F.array_join(texts, ""))
-    nodes = F.filter(F.transform(texts, text.py_strip), lambda t: t != "")
-    return F.array_join(nodes, join)
+    A field takes its first filled place. Items are put together within their page, without a shuffle.
+    """
+    captured = with_rule(with_captures(pages.select("page_id", "source", "html"), "list", rules), rules)
+    located = F.filter("captures", lambda c: (c["scope"] >= 0) & ~text.is_blank(text.py_strip(c["text"])))
+    scopes = F.array_distinct(F.transform(F.filter("captures", lambda c: c["name"] == "scope"), lambda c: c["scope"]))
+    scoped = captured.withColumn("captures", located).select("page_id", "source", "rule", "captures", F.explode(scopes).alias("pos"))
 
+    def value(name: str) -> Column:
+        hits = F.filter("captures", lambda c: (c["scope"] == F.col("pos")) & (c["name"] == name))
+        best = F.array_min(F.transform(hits, lambda c, i: F.struct(c["rank"].alias("rank"), i.alias("i"), c["text"].alias("text"))))
+        return text.py_strip(best["text"]).alias(name)
 
-# --- list pages -----------------------------------------------------------------------------
-
-def list_items(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
-    """``(page_id, source, pos, title, url, …)``: one row per listed article, in page order."""
-    captured = with_captures(pages, "list", rules)
-    located = captured.select("page_id", "source", F.explode("captures").alias("c")).where(F.col("c.scope") >= 0)
-
-    def chosen(name: str) -> Column:
-        """First filled value of a field, by the order of its places; partial minimum per item."""
-        def value(rule: dict) -> Column:
-            spec = rule.get("list", {"items": []})
-            places = [(n, p) for n in ITEM_FIELDS for p in spec.get(n, [])]
-            picked = F.lit(None).cast("string")
-            for rank, (n, place) in enumerate(places):
-                if n == name:
-                    attr = _attribute(place)
-                    found = F.try_element_at(F.col("c.attrs"), F.lit(attr)) if attr else _node_text(F.col("c.texts"), "")
-                    picked = F.when(F.col("c.rank") == rank, found).otherwise(picked)
-            return text.blank_to_null(text.py_strip(picked))
-
-        filled = F.when(F.col("c.name") == name, _by_source(rules, value))
-        ordered = F.min(F.when(filled.isNotNull(), F.struct(F.col("c.rank").alias("rank"), filled.alias("v"))))
-        return ordered["v"].alias(name)
-
-    items = located.groupBy("page_id", "source", F.col("c.scope").alias("pos")).agg(*[chosen(n) for n in ITEM_FIELDS])
-    base = _by_source(rules, lambda r: F.lit(r["base_url"]))
-    url = F.when(F.col("source") == "segye", text.absolute_url(F.col("link"), base, force_https=True)).otherwise(
-        text.absolute_url(F.col("link"), base)
-    )
+    items = scoped.select("page_id", "source", "rule", "pos", *[value(n) for n in ITEM_FIELDS])
     numbers = F.lit(None).cast("string")
     for name, pattern in text.ARTICLE_ID_PATTERNS.items():
         numbers = F.when(F.col("source") == name, text.article_id(F.col("link"), pattern)).otherwise(numbers)
+    url = text.absolute_url(F.col("link"), _rule("base_url"))
     return items.where(F.col("title").isNotNull() & F.col("link").isNotNull()).select(
         "page_id",
         "source",
         "pos",
-        F.when(F.col("source") == "hankyung", text.squeeze(F.col("title"))).otherwise(F.col("title")).alias("title"),
-        url.alias("url"),
+        F.when(_rule("unique_id"), text.squeeze(F.col("title"))).otherwise(F.col("title")).alias("title"),
+        F.when(_rule("https"), F.regexp_replace(url, "^http://", "https://")).otherwise(url).alias("url"),
         numbers.alias("article_id"),
         F.col("link").alias("href"),
         "section",
@@ -165,23 +182,15 @@ def list_items(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> Data
 
 def accepted_items(items: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
     """List items after link, title-length, uniqueness and per-page rules."""
-    long_titles = [n for n, r in rules.items() if r.get("list", {}).get("min_title")]
-    unique_ids = [n for n, r in rules.items() if r.get("list", {}).get("unique_id")]
-    kept = items.where(link_allowed(F.col("source"), F.col("href"), F.col("section"))).where(
-        ~F.col("source").isin(*long_titles) | title_long_enough(F.col("title"))
-    )
-    identity = F.when(F.col("source").isin(*unique_ids), F.coalesce("article_id", "url")).otherwise(
-        F.col("pos").cast("string")
-    )
+    ruled = with_rule(items, rules).where(link_allowed(F.col("source"), F.col("href"), F.col("section")))
+    kept = ruled.where(~_rule("min_title") | title_long_enough(F.col("title")))
+    identity = F.when(_rule("unique_id"), F.coalesce("article_id", "url")).otherwise(F.col("pos").cast("string"))
     unique = keep_first(kept.withColumn("__identity", identity), ["page_id", "source", "__identity"], [F.asc("pos")])
-    cap = _by_source(rules, lambda r: F.lit(r.get("list", {}).get("per_page")).cast("int"))
-    return first_per_page(unique.drop("__identity"), cap)
+    return first_per_page(unique.drop("__identity"), _rule("per_page")).drop("rule")
 
 
 def first_per_page(items: DataFrame, cap: Column) -> DataFrame:
     """The first ``cap`` items of every page; a page is one document, so its items fit one task."""
-    from pyspark.sql import Window
-
     page = Window.partitionBy("page_id", "source").orderBy("pos")
     return items.withColumn("item_rank", F.row_number().over(page)).where(cap.isNull() | (F.col("item_rank") <= cap))
 
@@ -192,114 +201,28 @@ def _named(name: str) -> Column:
     return F.filter("captures", lambda c: c["name"] == name)
 
 
-def article_candidates(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
-    """Adds body candidates of the most trusted container, date texts, headings, images, links, byline."""
-    captured = with_captures(pages, "body", rules)
-    # The most trusted container that occurs; the first of its kind on the page.
-    scope = F.array_min(F.transform(_named("scope"), lambda c: F.struct(c["rank"].alias("rank"), c["scope"].alias("scope"))))
-    located = captured.withColumn("body", scope["scope"]).withColumn("container_found", F.col("body").isNotNull())
+def _inside(name: str) -> Column:
+    return F.filter("captures", lambda c: (c["name"] == name) & (c["scope"] == F.col("body")))
 
-    def inside(name: str) -> Column:
-        return F.filter("captures", lambda c: (c["name"] == name) & (c["scope"] == F.col("body")))
 
-    def body_texts(name: str) -> Column:
-        return _by_source(
-            rules, lambda r: F.transform(inside(name), lambda c: _node_text(c["texts"], r["body"]["join"]))
-        )
+def _texts(captures: Column) -> Column:
+    return F.transform(captures, lambda c: c["text"])
 
-    numbered = F.transform(
-        inside("paragraph"),
-        lambda c, i: F.struct(
-            i.alias("pos"),
-            F.try_element_at(c["attrs"], F.lit("data-divno")).alias("number"),
-            _node_text(c["texts"], "").alias("text"),
-        ),
-    )
-    paragraphs = F.when(
-        F.col("source").isin(*[n for n, r in rules.items() if r["keep"].get("order_by")]),
-        text.order_by_number(numbered),
-    ).otherwise(body_texts("paragraph"))
-    whole = _by_source(
-        rules,
-        lambda r: F.array_join(
-            F.transform(
-                inside("scope"),
-                lambda c: F.array_join(c["texts"], "")
-                if r["keep"].get("whole_blocks")
-                else _node_text(c["texts"], r["body"]["join"]),
-            ),
-            "\n",
-        ),
-    )
 
-    def date_texts(rule: dict) -> Column:
-        """Candidate texts in order of trust."""
-        places = [p for p in rule["dates"] if not p.startswith("$")]
-        offset = len(_body_spec(rule)["fields"]) - len(places) - 2 - sum(map(len, rule.get("page_fields", {}).values()))
-
-        def value(c: Column) -> Column:
-            picked = _node_text(c["texts"], "")
-            for i, place in enumerate(places):
-                if _attribute(place):
-                    found = F.try_element_at(c["attrs"], F.lit(_attribute(place)))
-                    picked = F.when(c["rank"] == offset + i, found).otherwise(picked)
-            return F.struct(c["rank"].alias("rank"), picked.alias("v"))
-
-        ordered = F.transform(F.array_sort(F.transform(_named("date"), value)), lambda d: d["v"])
-        linked = F.transform(
-            _named("json_ld"),
-            lambda c: F.coalesce(
-                F.get_json_object(F.array_join(c["texts"], ""), "$.datePublished"),
-                F.get_json_object(F.array_join(c["texts"], ""), "$.dateModified"),
-            ),
-        )
-        first = any(p.startswith("$") for p in rule["dates"])
-        both = F.concat(linked, ordered) if first else F.concat(ordered, linked)
-        return F.filter(both, lambda t: t.isNotNull() & (t != ""))
+def _attribute(capture: Column, name: str) -> Column:
+    return F.try_element_at(capture["attrs"], F.lit(name))
 
-    def attribute(c: Column, name: str) -> Column:
-        return F.try_element_at(c["attrs"], F.lit(name))
 
-    links = F.transform(
-        inside("link"), lambda c: F.struct(_node_text(c["texts"], "").alias("text"), attribute(c, "href").alias("href"))
-    )
-    captions = F.transform(inside("caption"), lambda c: _node_text(c["texts"], ""))
-    images = F.transform(
-        inside("image"),
-        lambda c, i: F.struct(
-            attribute(c, "src").alias("src"),
-            F.coalesce(attribute(c, "alt"), F.lit("")).alias("alt"),
-            F.coalesce(F.get(captions, i), F.lit("")).alias("caption"),
-            attribute(F.get(inside("figure"), i), "data-idxno").alias("idxno"),
-        ),
-    )
-    notes = F.filter(
-        F.transform(inside("note"), lambda c: F.array_join(c["texts"], "\n")),
-        lambda t: F.contains(t, F.lit(NOTE_MARK)),
-    )
+def _date_texts() -> Column:
+    """Candidate date texts in order of trust."""
 
-    def page_text(name: str) -> Column:
-        return F.get(F.transform(_named(f"page_{name}"), lambda c: _node_text(c["texts"], "")), F.lit(0))
+    def value(c: Column) -> Column:
+        linked = F.coalesce(F.get_json_object(c["text"], "$.datePublished"), F.get_json_object(c["text"], "$.dateModified"))
+        return F.struct(c["rank"].alias("rank"), F.when(c["name"] == "date_ld", linked).otherwise(c["text"]).alias("text"))
 
-    mailto = F.get(F.transform(_named("page_mailto"), lambda c: attribute(c, "href")), F.lit(0))
-    return located.select(
-        *[c for c in captured.columns if c != "captures"],
-        "container_found",
-        paragraphs.alias("paragraphs"),
-        body_texts("fallback").alias("fallbacks"),
-        whole.alias("whole_text"),
-        _by_source(rules, date_texts).alias("date_texts"),
-        page_text("title").alias("page_title"),
-        F.filter(
-            F.transform(inside("heading"), lambda c: _node_text(c["texts"], "")), lambda t: t != ""
-        ).alias("headings"),
-        images.alias("images"),
-        F.get(images, F.lit(0)).alias("lead_image"),
-        first_by_href(links).alias("links"),
-        F.get(notes, F.lit(0)).alias("methodology"),
-        text.byline_author(page_text("author")).alias("page_author"),
-        F.coalesce(text.blank_to_null(page_text("email")), text.mailto_address(mailto)).alias("page_email"),
-    )
+    dated = F.filter("captures", lambda c: c["name"].isin("date", "date_ld"))
+    ordered = F.transform(F.array_sort(F.transform(dated, value)), lambda d: d["text"])
+    return F.filter(ordered, lambda t: ~text.is_blank(t))
 
 
 def first_by_href(links: Column) -> Column:
@@ -310,71 +233,118 @@ def first_by_href(links: Column) -> Column:
     )
 
 
-def body_text(rules: Mapping[str, dict] = SITE_RULES) -> Column:
-    """``struct(content, byline)`` from the candidate columns, by each site's keep rules."""
-
-    def kept(rule: dict) -> Column:
-        keep = rule["keep"]
-        paragraphs = F.col("paragraphs")
-        if keep.get("reporter_tail"):
-            paragraphs = F.transform(paragraphs, lambda p: text.py_strip(text.drop_reporter_tail(p)))
-        main = text.keep_paragraphs(F.transform(paragraphs, text.squeeze), keep["longer_than"], keep["drop"])
-        if "first" in keep:
-            main = F.slice(main, 1, keep["first"])
-        options = [main]
-        if rule["body"]["fallback"]:
-            spare = F.col("fallbacks")
-            if keep.get("reporter_tail"):
-                tails = fv.REPORTER_TAIL_PATTERNS[:2]
-                spare = F.transform(spare, lambda p: text.py_strip(text.drop_reporter_tail(p, tails)))
-            spare = text.keep_paragraphs(
-                spare, keep.get("fallback_longer_than", keep["longer_than"]), keep.get("fallback_drop", [])
-            )
-            options.append(text.drop_contained(spare) if keep.get("drop_contained") else spare)
-        if keep.get("whole_blocks"):
-            blocks = F.transform(F.split("whole_text", r"\n\s*\n"), lambda b: text.squeeze(text.py_strip(b)))
-            options.append(text.keep_paragraphs(blocks, keep["longer_than"]))
-        if "whole_longer_than" in keep:
-            options.append(
-                F.when(F.length("whole_text") > keep["whole_longer_than"], F.array("whole_text")).otherwise(
-                    F.array().cast("array<string>")
-                )
-            )
-        chosen = options[-1]
-        for option in reversed(options[:-1]):
-            chosen = F.when(F.size(option) > 0, option).otherwise(chosen)
-        pattern = keep.get("byline")
-        split = text.split_tail_byline(chosen, (lambda p: p.rlike(pattern)) if pattern else (lambda p: F.lit(False)))
-        joined = F.array_join(split["paragraphs"], keep["joiner"])
-        if keep.get("wire"):
-            joined = text.clean_wire(joined)
-        elif keep.get("squeeze"):
-            joined = text.squeeze(joined)
-        return F.struct(text.py_strip(joined).alias("content"), split["byline"].alias("byline"))
-
-    return _by_source(rules, kept)
+def article_candidates(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
+    """Adds body candidates of the most trusted container, date texts, headings, images, links, byline."""
+    kept = [c for c in pages.columns if c != "html"]
+    captured = with_rule(with_captures(pages, "body", rules), rules)
+    # The most trusted kind of container; the first of its kind on the page.
+    best = F.array_min(F.transform(_named("scope"), lambda c: F.struct(c["rank"].alias("r"), c["scope"].alias("s"))))
+    located = captured.withColumn("body", best["s"])
+    plain = F.when(_rule("raw_text"), F.transform(_texts(_inside("paragraph")), text.strip_markup)).otherwise(
+        _texts(_inside("paragraph"))
+    )
+    numbered = F.transform(
+        _inside("paragraph"),
+        lambda c, i: F.struct(i.alias("pos"), _attribute(c, "data-divno").alias("number"), c["text"].alias("text")),
+    )
+    staged = located.select(
+        *kept,
+        "rule",
+        F.col("body").isNotNull().alias("container_found"),
+        F.when(_rule("order_by"), text.order_by_number(numbered)).otherwise(plain).alias("paragraphs"),
+        _texts(_inside("fallback")).alias("fallbacks"),
+        F.coalesce(F.get(_texts(_inside("scope")), F.lit(0)), F.lit("")).alias("whole_text"),
+        _date_texts().alias("date_texts"),
+        F.get(_texts(_named("page_title")), F.lit(0)).alias("page_title"),
+        F.filter(_texts(_inside("heading")), lambda t: t != "").alias("headings"),
+        _inside("image").alias("__images"),
+        _inside("figure").alias("__figures"),
+        _texts(_inside("caption")).alias("__captions"),
+        F.transform(
+            _inside("link"), lambda c: F.struct(c["text"].alias("text"), _attribute(c, "href").alias("href"))
+        ).alias("__links"),
+        F.get(F.filter(_texts(_inside("note")), lambda t: F.contains(t, F.lit(NOTE_MARK))), F.lit(0)).alias("methodology"),
+        F.get(_texts(_named("page_author")), F.lit(0)).alias("__author"),
+        F.coalesce(
+            text.blank_to_null(F.get(_texts(_named("page_email")), F.lit(0))),
+            text.mailto_address(F.get(_texts(_named("page_mailto")), F.lit(0))),
+        ).alias("page_email"),
+    )
+    images = F.transform(
+        "__images",
+        lambda c, i: F.struct(
+            _attribute(c, "src").alias("src"),
+            F.coalesce(_attribute(c, "alt"), F.lit("")).alias("alt"),
+            F.coalesce(F.get("__captions", i), F.lit("")).alias("caption"),
+            _attribute(F.get("__figures", i), "data-idxno").alias("idxno"),
+        ),
+    )
+    return staged.withColumns(
+        {
+            "images": images,
+            "links": first_by_href(F.col("__links")),
+            "page_author": text.byline_author(F.col("__author")),
+        }
+    ).drop("__images", "__figures", "__captions", "__links", "__author")
+
+
+def with_body(candidates: DataFrame) -> DataFrame:
+    """Adds ``content`` and ``byline`` by each site's keep rules, from candidate columns."""
+    squeezed = F.transform("paragraphs", text.squeeze)
+    tails = fv.REPORTER_TAIL_PATTERNS
+
+    def untailed(paragraphs: Column, patterns: list[str]) -> Column:
+        cut = F.transform(paragraphs, lambda p: text.py_strip(text.drop_reporter_tail(p, patterns)))
+        return F.when(_rule("reporter_tail"), cut).otherwise(paragraphs)
+
+    def kept(paragraphs: Column, floor: str, drop: str) -> Column:
+        return F.filter(paragraphs, lambda p: (F.length(p) > _rule(floor)) & ~F.rlike(p, _rule(drop)))
+
+    main = candidates.withColumn("__main", kept(untailed(squeezed, tails), "longer_than", "drop")).withColumn(
+        "__main", F.when(_rule("first").isNotNull(), F.slice("__main", F.lit(1), _rule("first"))).otherwise(F.col("__main"))
+    )
+    spare = main.withColumn("__spare", kept(untailed(F.col("fallbacks"), tails[:2]), "fallback_longer_than", "fallback_drop"))
+    spare = spare.withColumn(
+        "__spare", F.when(_rule("drop_contained"), text.drop_contained(F.col("__spare"))).otherwise(F.col("__spare"))
+    )
+    blocks = F.transform(F.split("whole_text", r"\n\s*\n"), lambda b: text.squeeze(text.py_strip(b)))
+    whole = (
+        F.when(_rule("whole_blocks"), F.filter(blocks, lambda b: F.length(b) > _rule("longer_than")))
+        .when(F.length("whole_text") > _rule("whole_longer_than"), F.array("whole_text"))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    chosen = spare.withColumn(
+        "__chosen",
+        F.when(F.size("__main") > 0, F.col("__main")).when(F.size("__spare") > 0, F.col("__spare")).otherwise(whole),
+    )
+    split = chosen.withColumn("__split", text.split_tail_byline(F.col("__chosen"), lambda p: F.rlike(p, _rule("byline"))))
+    joined = split.withColumn("__joined", F.call_function("array_join", F.col("__split.paragraphs"), _rule("joiner")))
+    content = (
+        F.when(_rule("wire"), text.clean_wire(F.col("__joined")))
+        .when(_rule("squeeze"), text.squeeze(F.col("__joined")))
+        .otherwise(F.col("__joined"))
+    )
+    return joined.withColumns(
+        {"content": F.coalesce(text.py_strip(content), F.lit("")), "byline": F.col("__split.byline")}
+    ).drop("__main", "__spare", "__chosen", "__split", "__joined")
 
 
 def extract_articles(pages: DataFrame, as_of: Column, rules: Mapping[str, dict] = SITE_RULES) -> DataFrame:
     """Article pages to ``content``, ``published_at``, byline and rich fields; one narrow stage, no shuffle."""
-    candidates = article_candidates(pages, rules)
-    return (
-        candidates.withColumn("__body", body_text(rules))
-        .withColumn("__date", dates.resolve_published(F.col("date_texts"), as_of))
-        .select(
-            *[c for c in pages.columns if c != "html"],
-            "container_found",
-            F.coalesce("__body.content", F.lit("")).alias("content"),
-            "__date.published_at",
-            "__date.date_defaulted",
-            F.col("__body.byline").alias("byline"),
-            F.coalesce("page_author", text.byline_author(F.col("__body.byline"))).alias("author"),
-            F.coalesce("page_email", text.byline_email(F.col("__body.byline"))).alias("email"),
-            "page_title",
-            "headings",
-            "images",
-            "lead_image",
-            "links",
-            "methodology",
-        )
+    bodied = with_body(article_candidates(pages, rules))
+    return bodied.withColumn("__date", dates.resolve_published(F.col("date_texts"), as_of)).select(
+        *[c for c in pages.columns if c != "html"],
+        "container_found",
+        "content",
+        "__date.published_at",
+        "__date.date_defaulted",
+        "byline",
+        F.coalesce("page_author", text.byline_author(F.col("byline"))).alias("author"),
+        F.coalesce("page_email", text.byline_email(F.col("byline"))).alias("email"),
+        "page_title",
+        "headings",
+        "images",
+        F.get("images", F.lit(0)).alias("lead_image"),
+        "links",
+        "methodology",
     )
