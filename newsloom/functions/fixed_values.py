@@ -21,7 +21,12 @@ SCORE_THRESHOLD = 1.0
 NO_BODY_REASON = "본문 없음"
 
 # Noise patterns, applied in this order (pattern, replacement).
-SPACE_CLASS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The space class is Unicode white space plus the four separators U+001C to U+001F.
+SPACE_CLASS = r"[ \p{IsWhite_Space}\x1c-\x1f]"
+SPACE_CHARS = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 NOISE_PATTERNS = [
     (r"\([^)]*\)", ""),
     (r"[가-힣]{2,4}" + SPACE_CLASS + r"*기자" + SPACE_CLASS + r"*=", ""),

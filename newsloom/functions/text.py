@@ -26,7 +26,7 @@ def let(value: Column, body) -> Column:
 
 def py_strip(text: Column) -> Column:
     """Strip every Unicode space on both ends (``trim`` knows the plain blank only)."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(fv.SPACE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
@@ -111,25 +111,28 @@ def classify_by_keywords(
     The fallback category takes part as one more candidate that scores exactly the threshold and
     sorts last, so that any category reaching the threshold beats it.
     """
-    title, lead = F.lower(title), F.lower(lead)
-    candidates = [
-        F.struct(
-            (
-                F.lit(fv.TITLE_WEIGHT) * count_keywords(title, words)
-                + F.lit(fv.LEAD_WEIGHT) * count_keywords(lead, words)
-            ).alias("score"),
-            F.lit(-position).alias("precedence"),
-            F.lit(name).alias("category"),
+
+    def best(low: Column) -> Column:
+        candidates = [
+            F.struct(
+                (
+                    F.lit(fv.TITLE_WEIGHT) * count_keywords(low["title"], words)
+                    + F.lit(fv.LEAD_WEIGHT) * count_keywords(low["lead"], words)
+                ).alias("score"),
+                F.lit(-position).alias("precedence"),
+                F.lit(name).alias("category"),
+            )
+            for position, (name, words) in enumerate(rules.items())
+            if words
+        ]
+        fallback = F.struct(
+            F.lit(fv.SCORE_THRESHOLD).alias("score"),
+            F.lit(-len(rules) - 1).alias("precedence"),
+            F.lit(other).alias("category"),
         )
-        for position, (name, words) in enumerate(rules.items())
-        if words
-    ]
-    fallback = F.struct(
-        F.lit(fv.SCORE_THRESHOLD).alias("score"),
-        F.lit(-len(rules) - 1).alias("precedence"),
-        F.lit(other).alias("category"),
-    )
-    return F.array_max(F.array(*candidates, fallback))
+        return F.array_max(F.array(*candidates, fallback))
+
+    return let(F.struct(F.lower(title).alias("title"), F.lower(lead).alias("lead")), best)
 
 
 def classify_word(word: Column) -> Column:

@@ -33,7 +33,7 @@ def embed_with(df: DataFrame, text_column: str, model: BatchModel, batch_size: i
 
 def embed_hashed(df: DataFrame, text_column: str, dimensions: int = 256) -> DataFrame:
     """``df`` with a deterministic unit vector: hashed term counts weighted by inverse document frequency."""
-    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"(?U)\W+", minTokenLength=2)
+    words = RegexTokenizer(inputCol="__text", outputCol="__words", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     counts = HashingTF(inputCol="__words", outputCol="__tf", numFeatures=dimensions)
     weights = IDF(inputCol="__tf", outputCol="__tfidf")
     unit = Normalizer(inputCol="__tfidf", outputCol="__unit")
