@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,13 +37,13 @@ def page_rows(pages: DataFrame, as_of: Column, rules: Mapping[str, dict] = SITE_
     )
 
 
-def _stored(spark: SparkSession, path: str, before: int) -> DataFrame:
-    """Articles appended by earlier batches; a replayed batch does not see its own rows."""
-    schema = f"{ARTICLES_DDL}, batch_id long"
+def _stored(spark: SparkSession, path: str, run: str, before: int) -> DataFrame:
+    """Articles appended by other runs and by earlier batches; a replayed batch does not see its own rows."""
+    schema = f"{ARTICLES_DDL}, run string, batch_id long"
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("batch_id") < before)
+    return spark.read.schema(schema).parquet(path).where((F.col("run") != run) | (F.col("batch_id") < before))
 
 
 def start_ingest(
@@ -58,18 +59,20 @@ def start_ingest(
 
     ``rows``: streaming ``(title, url, content, media_id, published_at, fetched_at)``. Repeats within a
     week are dropped by streaming state, older ones by the anti join with the stored URLs. Every batch
-    owns one partition and overwrites it, so a batch replayed after a failure leaves no duplicates.
+    of a checkpoint owns one partition and overwrites it, so a batch replayed after a failure leaves no
+    duplicates; when a checkpoint is lost, start with a new path.
     ``stored`` gives further ``(media_id, url)`` rows that count as known.
     """
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
     fresh = rows.withWatermark("fetched_at", f"{LATE_DAYS} days").dropDuplicatesWithinWatermark(["url"])
 
     def append(batch: DataFrame, batch_id: int) -> None:
-        known = _stored(batch.sparkSession, articles_path, batch_id).select("media_id", "url")
+        known = _stored(batch.sparkSession, articles_path, run, batch_id).select("media_id", "url")
         if stored is not None:
             known = known.unionByName(stored().select("media_id", "url"))
         cleaned = clean_articles(new_articles(batch, known, now), rules, other).withColumn("is_preprocessed", F.lit(True))
         names = [c.split()[0] for c in ARTICLES_DDL.split(", ")]
-        cleaned.select(*names).write.mode("overwrite").parquet(f"{articles_path}/batch_id={batch_id}")
+        cleaned.select(*names).write.mode("overwrite").parquet(f"{articles_path}/run={run}/batch_id={batch_id}")
 
     return (
         fresh.writeStream.foreachBatch(append)
@@ -80,4 +83,4 @@ def start_ingest(
 
 
 def read_ingested(spark: SparkSession, articles_path: str) -> DataFrame:
-    return spark.read.schema(f"{ARTICLES_DDL}, batch_id long").parquet(articles_path)
+    return spark.read.schema(f"{ARTICLES_DDL}, run string, batch_id long").parquet(articles_path)
