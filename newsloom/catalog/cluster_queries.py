@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from newsloom.catalog.base import Tables, query
+from newsloom.functions.numbers import norm
 from newsloom.operators.neighbours import knn
 from newsloom.plans.cluster import cluster_categories, density_cluster
 from newsloom.plans.embed import embed_hashed, embed_with, reduce_dimensions
@@ -24,13 +25,14 @@ def _(t: Tables):
     return scored.select("doc_id", *[F.col("embedding")[i].cast("double").alias(f"d{i}") for i in range(3)])
 
 
-@query("emb1_hashed_terms")
+@query("emb1_hashed_terms", r"""SELECT doc_id, CAST(256 AS INT) AS dims,
+ CASE WHEN regexp_matches(text, '[\p{L}\p{N}_]{2}') THEN 1.0 ELSE 0.0 END AS length FROM documents""")
 def _(t: Tables):
     scored = embed_hashed(t.raw("documents"), "text")
-    return scored.select("doc_id", F.size("embedding").alias("dims"))
+    return scored.select("doc_id", F.size("embedding").alias("dims"), F.round(norm(F.col("embedding")), 3).alias("length"))
 
 
-@query("clu1_reduced_vectors")
+@query("clu1_reduced_vectors", "SELECT vec_id, CAST(15 AS INT) AS dims FROM embeddings")
 def _(t: Tables):
     return reduce_dimensions(t.raw("embeddings")).select("vec_id", F.size("reduced").alias("dims"))
 
@@ -70,9 +72,11 @@ def _(t: Tables):
     )
 
 
-@query("clu5_all_categories")
+@query("clu5_all_categories", SQL_CLUSTERS.replace(
+    "SELECT e.label, e.vec_id,", "SELECT CAST(e.label AS VARCHAR) AS political_category, e.vec_id AS id,"
+) + " WHERE e.label IN (SELECT label FROM embeddings GROUP BY label HAVING count(*) >= 30)")
 def _(t: Tables):
     articles = t.raw("embeddings").select(
         F.col("vec_id").alias("id"), F.col("label").cast("string").alias("political_category"), "embedding"
     )
-    return cluster_categories(articles, eps_quantile=0.8)
+    return cluster_categories(articles, reduce=False, eps=EPS, min_samples=SAMPLES, min_cluster_size=SIZE)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from newsloom.catalog.base import SQL_ARTICLES, Tables, query, sql_clean, sql_clean_title, sql_lead, sql_strip
+from newsloom.catalog.base import SQL_ARTICLES, SQL_SPACE, Tables, query, sql_clean, sql_clean_title, sql_lead, sql_strip
 from newsloom.catalog.text_queries import SQL_CATEGORY, TEST_OTHER, TEST_RULES, sql_scores
 from newsloom.session import scratch_path
 from newsloom.sources import pages
@@ -21,37 +21,66 @@ def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-@query("ext1_list_items")
+def sql_nodes(x: str, join: str) -> str:
+    """Text nodes of a piece of markup: entities decoded, each stripped, blanks dropped, joined."""
+    plain = "regexp_replace(replace(n, '&quot;', '\"'), '&amp;?', '&', 'g')"
+    return (
+        f"array_to_string(list_filter(list_transform(string_split_regex({x}, '<[^>]*>'), lambda n: {sql_strip(plain)}), "
+        f"lambda n: n <> ''), '{join}')"
+    )
+
+
+SQL_PAGES = f"""art AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*?)</article>', 1) AS a,
+   regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) AS nav FROM pages),
+ paras AS (SELECT page_id, html, a, list_transform(string_split(a, '<p>')[2:],
+   lambda p: {sql_nodes("split_part(p, '</p>', 1)", " ")}) AS ps FROM art),
+ bodies AS (SELECT *, {sql_strip(f"array_to_string(list_filter(list_transform(ps, lambda p: regexp_replace(p, '{SQL_SPACE}+', ' ', 'g')), lambda p: length(p) > 10), chr(10) || chr(10))")} AS content FROM paras),
+ found AS (SELECT page_id, unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a>', 1)) AS href,
+   unnest(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a>', 2)) AS label,
+   generate_subscripts(regexp_extract_all(nav, '<li><a href="([^"]*)">([^<]*)</a>', 1), 1) - 1 AS pos FROM art),
+ items AS (SELECT page_id, pos, {sql_nodes('label', '')} AS title, {sql_nodes('href', '')} AS link FROM found)"""
+
+
+@query("ext1_list_items", f"""WITH {SQL_PAGES} SELECT page_id, CAST(pos AS INT) AS pos, title,
+ CASE WHEN starts_with(link, '/') OR regexp_matches(link, '^https?://') THEN link ELSE '/' || link END AS url,
+ row_number() OVER (PARTITION BY page_id ORDER BY pos) AS item_rank FROM items WHERE title <> '' AND link <> ''""")
 def _(t: Tables):
     items = pages.accepted_items(pages.list_items(_landed(t)))
     return items.select("page_id", "pos", "title", "url", F.col("item_rank").cast("long").alias("item_rank"))
 
 
-@query("win4_items_per_page")
+@query("win4_items_per_page", f"WITH {SQL_PAGES} SELECT page_id, least(count(*), 3) AS n FROM items WHERE title <> '' "
+       "AND link <> '' GROUP BY page_id")
 def _(t: Tables):
     first = pages.first_per_page(pages.list_items(_landed(t)), F.lit(3))
     return first.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ext2_article_bodies")
+@query("ext2_article_bodies", f"""WITH {SQL_PAGES} SELECT page_id, true AS container_found, md5(content) AS content_md5,
+ {sql_nodes("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)", '')} AS page_title FROM bodies""")
 def _(t: Tables):
     found = pages.extract_articles(_landed(t), _as_of())
     return found.select("page_id", "container_found", F.md5("content").alias("content_md5"), "page_title")
 
 
-@query("ext3_paragraph_rules")
+@query("ext3_paragraph_rules", f"""WITH {SQL_PAGES} SELECT page_id, CAST(length(ps) AS INT) AS n_paragraphs,
+ CAST(length(content) AS INT) AS n_chars FROM bodies""")
 def _(t: Tables):
     found = pages.with_body(pages.article_candidates(_landed(t)))
     return found.select("page_id", F.size("paragraphs").alias("n_paragraphs"), F.length("content").alias("n_chars"))
 
 
-@query("ext4_published_dates")
+@query("ext4_published_dates", """SELECT page_id, 1717200000 AS published, true AS date_defaulted FROM pages
+ WHERE NOT regexp_matches(html, 'article:published_time|<time|ld.json')""")
 def _(t: Tables):
     found = pages.extract_articles(_landed(t), _as_of())
     return found.select("page_id", F.unix_seconds("published_at").alias("published"), "date_defaulted")
 
 
-@query("ext5_rich_fields")
+@query("ext5_rich_fields", f"""WITH {SQL_PAGES} SELECT page_id,
+ {sql_nodes("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)", '')} AS headings,
+ CAST(length(regexp_extract_all(a, '<a href')) AS INT) AS n_links, CAST(length(regexp_extract_all(a, '<img')) AS INT) AS n_images
+ FROM art""")
 def _(t: Tables):
     found = pages.extract_articles(_landed(t), _as_of())
     return found.select(

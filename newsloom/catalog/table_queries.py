@@ -365,12 +365,12 @@ def _(t: Tables):
     return aggregates.quality_totals(_gaps(t))
 
 
-SQL_LABELS = """labels_of AS (SELECT event_type AS category, CASE WHEN user_id % 7 = 0 THEN -1 ELSE user_id END AS cluster_id,
+SQL_LABELS = """labels_of AS (SELECT event_type AS category, CASE WHEN value < 5 THEN -1 ELSE user_id END AS cluster_id,
  event_id AS id FROM events)"""
 
 
 def _labels(t: Tables):
-    cluster = F.when(F.col("user_id") % 7 == 0, -1).otherwise(F.col("user_id"))
+    cluster = F.when(F.col("value") < 5, -1).otherwise(F.col("user_id"))
     return t.raw("events").select(
         F.col("event_type").alias("category"), cluster.alias("cluster_id"), F.col("event_id").alias("id")
     )

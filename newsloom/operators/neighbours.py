@@ -5,7 +5,7 @@ pivot) and a ring (its distance to that pivot, in steps). A location within radi
 must lie in a cell and ring whose distance interval meets ``[d(p, pivot) - r, d(p, pivot) + r]``, so p is
 sent to those rings only. The members and the visitors of a ring are both dealt into tiles of bounded
 size; one task step compares one tile of members with one tile of visitors, and returns at most k
-neighbours per visitor, or a spanning forest of the tile pair. Nothing is approximate and no ring,
+neighbours per visitor, or one link per location of the tile pair. Nothing is approximate and no ring,
 however full, has to fit one task.
 """
 
@@ -290,7 +290,7 @@ def core_distances(index: RingIndex, locs: DataFrame, min_samples: int, radius:
 
 
 def _forest_step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-    """A spanning forest of the pairs of one tile pair that lie within the visitor's radius."""
+    """Links from every location of one tile pair to the least location it reaches by steps within the radius."""
     empty = _frame({"block": [], "a": [], "b": []})
     if not len(members) or not len(visitors):
         return empty
@@ -301,26 +301,22 @@ def _forest_step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
     unsure = ~sure & (approx <= radius[:, None] ** 2 + slack)
     for i, j in zip(*np.nonzero(unsure), strict=True):
         sure[i, j] = np.sqrt(((v[i] - m[j]) ** 2).sum()) <= radius[i]
-    names_m, names_v = members["loc"].to_numpy(), visitors["loc"].to_numpy()
-    parent: dict = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    edges = []
-    for i in range(len(v)):
-        for j in np.flatnonzero(sure[i]):
-            a, b = root(names_v[i]), root(names_m[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                edges.append((names_v[i], names_m[j]))
-    if not edges:
-        return empty
-    a, b = zip(*edges, strict=True)
-    return _frame({"block": [members["block"].iloc[0]] * len(a), "a": list(a), "b": list(b)})
+    names, at = np.unique(
+        np.concatenate([members["loc"].to_numpy(), visitors["loc"].to_numpy()]), return_inverse=True
+    )
+    at_m, at_v = at[: len(m)], at[len(m) :]
+    # Spread the least position over the links, halving paths on the way, until nothing changes.
+    label = np.arange(len(names))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, at_v, np.where(sure, label[at_m][None, :], len(names)).min(1))
+        np.minimum.at(label, at_m, np.where(sure, label[at_v][:, None], len(names)).min(0))
+        label = label[label]
+        if np.array_equal(label, before):
+            break
+    linked = np.flatnonzero(label != np.arange(len(names)))
+    block = members["block"].iloc[0]
+    return _frame({"block": [block] * len(linked), "a": names[linked].tolist(), "b": names[label[linked]].tolist()})
 
 
 def radius_forest(index: RingIndex, core: DataFrame) -> DataFrame:
