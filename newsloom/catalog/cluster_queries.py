@@ -10,7 +10,7 @@ from newsloom.operators.neighbours import knn
 from newsloom.plans.cluster import cluster_categories, density_cluster
 from newsloom.plans.embed import embed_hashed, embed_with, reduce_dimensions
 
-EPS, SAMPLES, SIZE = 1.26, 6, 15
+EPS, SAMPLES, SIZE = 1.29, 6, 8
 
 
 def letter_model(texts: list[str]) -> list[list[float]]:
