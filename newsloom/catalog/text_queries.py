@@ -9,7 +9,7 @@ from newsloom.catalog.base import (
 )
 from newsloom.functions import dates, numbers, rules, text
 from newsloom.functions import fixed_values as fv
-from newsloom.plans.preprocess import clean_articles, preprocess
+from newsloom.plans.preprocess import preprocess, preprocess_in_place
 from newsloom.sources.story_feed import flatten_stories, parse_stories
 
 # Keyword rules over the invented words of the test documents, as the Korean ones match nothing there.
@@ -88,6 +88,20 @@ def _(t: Tables):
     )
 
 
+@query("snk4_preprocess_in_place", f"""WITH {SQL_CLEANED} SELECT a.id, CASE WHEN s.id IS NULL THEN a.title ELSE s.title END AS title,
+ md5(CASE WHEN s.id IS NULL THEN a.content ELSE s.content END) AS content_md5, s.lead AS lead_paragraph,
+ CASE WHEN s.id IS NOT NULL THEN {SQL_CATEGORY} END AS political_category, a.content <> '' OR a.is_preprocessed AS is_preprocessed
+ FROM articles a LEFT JOIN (SELECT * FROM scored WHERE NOT is_preprocessed) s ON s.id = a.id""")
+def _(t: Tables):
+    stored = t.articles().withColumns(
+        {c: F.lit(None).cast("string") for c in ("lead_paragraph", "political_category")}
+    ).withColumn("preprocessed_at", F.lit(None).cast("timestamp"))
+    table = preprocess_in_place(stored, F.lit("2024-01-25").cast("timestamp"), TEST_RULES, TEST_OTHER)
+    return table.select(
+        "id", "title", F.md5("content").alias("content_md5"), "lead_paragraph", "political_category", "is_preprocessed"
+    )
+
+
 @query("flt8_rejected_bodies", "SELECT CAST(item_id AS VARCHAR) AS id, '본문 없음' AS reason FROM benchmark b "
        "WHERE coalesce(split_part(b.text, chr(10), 2), '') = ''")
 def _(t: Tables):

@@ -42,14 +42,23 @@ def articles_per_outlet(articles: DataFrame, outlets: DataFrame) -> DataFrame:
     )
 
 
-def article_totals(articles: DataFrame, as_of: Column) -> DataFrame:
+def _total_columns(as_of: Column) -> list[Column]:
     in_window = F.col("published_at") >= as_of - F.make_interval(days=F.lit(fv.RECENT_DAYS))
-    return articles.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.count_if(in_window).alias("recent"),
         F.count_if(F.col("is_preprocessed")).alias("preprocessed"),
         (F.count(F.lit(1)) - F.count_if(F.col("is_preprocessed"))).alias("not_preprocessed"),
-    )
+    ]
+
+
+def article_totals(articles: DataFrame, as_of: Column) -> DataFrame:
+    return articles.agg(*_total_columns(as_of))
+
+
+def article_totals_per_outlet(articles: DataFrame, as_of: Column) -> DataFrame:
+    """The same totals by ``media_id``, from which both the grand totals and the outlet counts follow."""
+    return articles.groupBy("media_id").agg(*_total_columns(as_of))
 
 
 def table_profile(df: DataFrame, name: str, ts: str) -> DataFrame:

@@ -22,7 +22,7 @@ def generate(df: DataFrame, prompt: str, model: TextModel | None, fallback: str
              batch_size: int = BATCH) -> DataFrame:
     """``df`` with the model's answer; a failed or missing answer gives the fallback.
 
-    Null prompts are not sent. A failing batch is retried text by text, so one bad text spoils no other.
+    Null prompts are not sent, and no plan sends a prompt twice. A failing batch is retried text by text, so one bad text spoils no other.
     """
     spare = F.col(fallback) if fallback else F.lit(None).cast("string")
     if model is None:
@@ -45,7 +45,7 @@ def generate(df: DataFrame, prompt: str, model: TextModel | None, fallback: str
                     out[i] = text
             yield pd.Series(out, index=texts.index, dtype=object)
 
-    return df.withColumn(answer, F.coalesce(answers(F.col(prompt)), spare))
+    return df.withColumn(answer, F.coalesce(answers.asNondeterministic()(F.col(prompt)), spare))
 
 
 def numbered_lines(rows: Column) -> Column:

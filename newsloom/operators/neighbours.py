@@ -98,7 +98,7 @@ class RingIndex:
                 found = np.sqrt(_squared(_matrix(vectors), pivots.value))
                 yield pd.Series(list(found), index=vectors.index)
 
-        return distances
+        return distances.asNondeterministic()  # evaluated once per row
 
     def _ring(self, distance: Column) -> Column:
         return F.floor(distance / F.lit(self.width)).cast("int")

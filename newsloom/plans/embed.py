@@ -28,7 +28,8 @@ def embed_with(df: DataFrame, text_column: str, model: BatchModel, batch_size: i
                 vectors.extend(model(texts.iloc[at : at + batch_size].tolist()))
             yield pd.Series(vectors, index=texts.index)
 
-    return df.withColumn("embedding", score(F.col(text_column)))
+    # Never evaluated twice: a model call is dear.
+    return df.withColumn("embedding", score.asNondeterministic()(F.col(text_column)))
 
 
 def embed_hashed(df: DataFrame, text_column: str, dimensions: int = 256) -> DataFrame:

@@ -27,15 +27,16 @@ def table_summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def article_statistics(articles: DataFrame, outlets: DataFrame, as_of: Column) -> DataFrame:
-    """``(section, item, value)``: totals, then article counts per outlet."""
-    totals = aggregates.article_totals(articles, as_of)
+    """``(section, item, value)``: totals, and article counts per outlet, from one pass over the articles."""
+    per_media = aggregates.article_totals_per_outlet(articles, as_of)
     items = ["total", "recent", "preprocessed", "not_preprocessed"]
+    totals = per_media.agg(*[F.coalesce(F.sum(i), F.lit(0)).alias(i) for i in items])
     long = totals.select(
         F.inline(F.array(*[F.struct(F.lit("totals").alias("section"), F.lit(i).alias("item"), F.col(i).alias("value"))
                            for i in items]))
     )
-    per_outlet = aggregates.articles_per_outlet(articles, outlets).select(
-        F.lit("outlet").alias("section"), F.col("name").alias("item"), F.col("n_articles").alias("value")
+    per_outlet = outlets.join(per_media, outlets["id"] == per_media["media_id"], "left").select(
+        F.lit("outlet").alias("section"), outlets["name"].alias("item"), F.coalesce("total", F.lit(0)).alias("value")
     )
     return union_all(long, per_outlet)
 

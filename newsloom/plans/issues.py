@@ -68,9 +68,14 @@ def write_texts(
     perspective_model: TextModel | None = None,
     word_pattern: str = fv.HANGUL_WORD,
 ) -> DataFrame:
-    """Issues with title, summary and perspectives written; ``articles`` carry their ``issue_id``."""
+    """Issues with title, summary and perspectives written; ``articles`` carry their ``issue_id``.
+
+    Answers are materialised once, so reading the result again asks no model again.
+    """
     columns = ("issue_summary", "left_perspective", "right_perspective")
     blank = issues.withColumns({c: F.lit(None).cast("string") for c in columns if c not in issues.columns})
-    titled = keyed_update(blank, content.issue_titles(articles, title_model, word_pattern))
-    summed = keyed_update(titled, content.issue_summaries(articles, summary_model))
-    return keyed_update(summed, content.issue_perspectives(issues, articles, outlets, perspective_model))
+    titled = keyed_update(blank, cut_lineage(content.issue_titles(articles, title_model, word_pattern)))
+    summed = keyed_update(titled, cut_lineage(content.issue_summaries(articles, summary_model)))
+    return keyed_update(
+        summed, cut_lineage(content.issue_perspectives(issues, articles, outlets, perspective_model))
+    )

@@ -135,7 +135,8 @@ def with_captures(pages: DataFrame, kind: str, rules: Mapping[str, dict] = SITE_
             pairs = zip(source.to_pylist(), html.to_pylist(), strict=True)
             yield pa.array([list(read_page(page, readers.get(site, plain))) for site, page in pairs], type=arrow_type)
 
-    return pages.withColumn("captures", capture("source", "html")).drop("html")
+    # Marked so that a later filter is not pushed below it as a second parse.
+    return pages.withColumn("captures", capture.asNondeterministic()("source", "html")).drop("html")
 
 
 # --- list pages -----------------------------------------------------------------------------
