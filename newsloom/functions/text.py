@@ -15,8 +15,35 @@ from newsloom.functions import fixed_values as fv
 SPACE = fv.SPACE_CLASS
 
 
+# Literals of which a match needs one: a byte search spares most texts the regular expression.
+NEEDLES = {
+    r"\([^)]*\)": ["("],
+    r"\[[^\]]*\]": ["["],
+    r"[◇【】…]": ["◇", "【", "】", "…"],
+    r"<[^>]*>": ["<"],
+    r"&[a-zA-Z0-9#]+;": ["&"],
+    fv.NOISE_PATTERNS[1][0]: ["기자"],
+    fv.WIRE_PATTERNS[0][0]: ["기자"],
+    fv.EMAIL_PATTERN: ["@"],
+}
+
+
 def replace_all(text: Column, patterns: Sequence[tuple[str, str]]) -> Column:
-    return reduce(lambda c, rule: F.regexp_replace(c, rule[0], rule[1]), patterns, text)
+    """Apply patterns in order."""
+
+    def apply(c: Column, rule: tuple[str, str]) -> Column:
+        pattern, replacement = rule
+        needles = NEEDLES.get(pattern)
+        if needles is None:
+            return F.regexp_replace(c, pattern, replacement)
+
+        def guarded(t: Column) -> Column:
+            possible = reduce(lambda a, b: a | b, [F.contains(t, F.lit(n)) for n in needles])
+            return F.when(possible, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+        return let(c, guarded)
+
+    return reduce(apply, patterns, text)
 
 
 def let(value: Column, body) -> Column:
