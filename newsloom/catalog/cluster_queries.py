@@ -52,6 +52,11 @@ def _(t: Tables):
     )
 
 
+@query("join8_most_similar", f"WITH {SQL_PAIRS} SELECT label, vec_id, neighbour FROM near WHERE rank = 1")
+def _(t: Tables):
+    return knn(t.raw("embeddings"), 1, "label", key="vec_id").select("label", "vec_id", "neighbour")
+
+
 SQL_CLUSTERS = f"""WITH RECURSIVE {SQL_PAIRS},
  core AS (SELECT label, vec_id FROM near WHERE rank = {SAMPLES} AND d <= {EPS}),
  edges AS (SELECT p.label, p.vec_id AS a, p.neighbour AS b FROM pairs p JOIN core x ON x.vec_id = p.vec_id

@@ -343,6 +343,13 @@ def _(t: Tables):
     return _final_groups(t).select("id", "group_key", "event_type", "group_title")
 
 
+@query("set2_union_of_groups", f"""{SQL_EVENTS}, {SQL_FINAL} SELECT event_type = 'merged' AS merged, count(*) AS members FROM final
+ GROUP BY 1""")
+def _(t: Tables):
+    merged = (F.col("event_type") == "merged").alias("merged")
+    return _final_groups(t).groupBy(merged).agg(F.count(F.lit(1)).alias("members"))
+
+
 @query("grp7_group_sizes", f"""{SQL_EVENTS}, {SQL_FINAL} SELECT category, group_key, count(*) AS n, count(*) >= 3 AS major
  FROM final GROUP BY 1, 2""")
 def _(t: Tables):

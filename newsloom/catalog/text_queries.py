@@ -177,6 +177,38 @@ def _(t: Tables):
     )
 
 
+@query("txt17_reporter_tail", "SELECT conv_id, turn, text AS body FROM conversations WHERE NOT contains(text, '기자')")
+def _(t: Tables):
+    tailed = F.when(F.col("role") == "user", F.concat("text", F.lit("…홍길동 기자 "))).otherwise(F.col("text"))
+    return t.raw("conversations").where(~F.contains("text", F.lit("기자"))).select(
+        "conv_id", "turn", text.drop_reporter_tail(tailed).alias("body")
+    )
+
+
+@query("txt21_image_urls", """SELECT page_id, CASE WHEN contains(url, '/fr/') THEN NULL ELSE url END AS image_url FROM pages""")
+def _(t: Tables):
+    src = F.when(F.contains("url", F.lit("/fr/")), F.concat("url", F.lit("#1X1.png"))).otherwise(F.col("url"))
+    style = F.concat(F.lit("width:9px; background-image: url('"), src, F.lit("')"))
+    found = text.real_image(text.background_image(style))
+    return t.raw("pages").select("page_id", found.alias("image_url"))
+
+
+@query("srt4_numbered_paragraphs", """SELECT conv_id, turn, string_agg(w, ' ' ORDER BY CASE WHEN length(w) > 6 THEN 999
+ ELSE length(w) END, pos) AS ordered FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w,
+ generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations) GROUP BY 1, 2""")
+def _(t: Tables):
+    numbered = F.transform(
+        F.split("text", " "),
+        lambda w, i: F.struct(
+            i.alias("pos"),
+            F.when(F.length(w) > 6, "last").otherwise(F.length(w).cast("string")).alias("number"),
+            w.alias("text"),
+        ),
+    )
+    ordered = F.array_join(text.order_by_number(numbered), " ")
+    return t.raw("conversations").select("conv_id", "turn", ordered.alias("ordered"))
+
+
 @query("txt18_absolute_url", r"""SELECT page_id, regexp_replace(url, '^http://', 'https://') AS https_url,
  'https://example.com' || regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS rebased,
  regexp_extract(url, '^https?://([^/:?#]+)', 1) AS host FROM pages""")

@@ -81,6 +81,8 @@ class RingIndex:
         self.members = cut_lineage(placed.drop("__d"))
         farthest = self.members.agg(F.max("far")).first()[0] or 0.0
         self.width = max(farthest / rings, 1e-9)
+        # Well above the rounding error of a distance between vectors of this length.
+        self.margin = 1e-6 * (1.0 + float(np.sqrt((self.pivots**2).sum(1)).max(initial=0.0)) + farthest)
         self.members = self.members.withColumn("ring", self._ring(F.col("far")))
 
     @staticmethod
@@ -111,8 +113,7 @@ class RingIndex:
         # One row per block, of at most as many cells as there are pivots.
         per_block = extents.groupBy("block").agg(F.collect_list(F.struct("cell", "near", "far", "first", "last")).alias("cells"))
         known = visitors.withColumn("__d", self._pivot_distances()(F.col("vector"))).join(per_block, "block")
-        margin = 1e-6
-        reach = F.col("radius") + margin
+        reach = F.col("radius") + self.margin
 
         def away(c: Column) -> Column:
             return F.element_at("__d", c["cell"] + 1)

@@ -10,7 +10,9 @@ from newsloom.sources import scans
 
 SF_DIR = "/root/testdata/sf0.001"
 # These start jobs while they are built; their parts are checked by the other queries and tests.
-EAGER = {"str1_incremental_ingest", "clu2_nearest_neighbours", "clu3_density_clusters", "clu5_all_categories"}
+EAGER = {
+    "str1_incremental_ingest", "clu2_nearest_neighbours", "clu3_density_clusters", "clu5_all_categories", "join8_most_similar",
+}
 
 
 def plan(df) -> str:
