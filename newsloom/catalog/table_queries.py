@@ -415,7 +415,7 @@ def _(t: Tables):
 
 
 @query("agg15_category_totals", """SELECT CAST(sum(n) AS BIGINT) AS issues, CAST(sum(u) AS BIGINT) AS articles,
- count(*) FILTER (n > 2000) AS succeeded, string_agg(event_type, ', ' ORDER BY event_type) FILTER (n > 2000) AS categories
+ count(*) FILTER (n > 2000) AS succeeded, coalesce(string_agg(event_type, ', ' ORDER BY event_type) FILTER (n > 2000), '') AS categories
  FROM (SELECT event_type, count(*) AS n, sum(user_id) AS u FROM events GROUP BY event_type)""")
 def _(t: Tables):
     results = t.raw("events").groupBy(F.col("event_type").alias("category")).agg(
