@@ -8,7 +8,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -21,9 +20,18 @@ SILENT = frozenset(["script", "style", "template"])
 Test = tuple[str, str, str]
 
 
-@cache
-def compile_selector(selector: str) -> tuple[tuple[str, str, tuple[Test, ...]], ...]:
-    """Steps ``(combinator, tag, attribute tests)`` of a selector, left to right."""
+Steps = tuple[tuple[str, str, tuple[Test, ...]], ...]
+COMPILED: dict[str, Steps] = {}
+
+
+def compile_selector(selector: str) -> Steps:
+    """Steps ``(combinator, tag, attribute tests)`` of a selector, left to right; each selector is read once."""
+    if selector not in COMPILED:
+        COMPILED[selector] = _steps(selector)
+    return COMPILED[selector]
+
+
+def _steps(selector: str) -> Steps:
     steps, combinator = [], " "
     for token in re.findall(r"""(?:[^\s>\["]|\[[^\]]*\])+|>""", selector):
         if token == ">":
