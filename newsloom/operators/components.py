@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from newsloom.session import cut_lineage
 
-MAX_ROUNDS = 60
-
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Link each node's larger (or smaller) neighbours to its least neighbour.
@@ -41,13 +39,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(block, loc, root)`` of every node on an edge ``(block, a, b)``; the root is the least node."""
     current = cut_lineage(edges.where(F.col("a") != F.col("b")).distinct())
     seen = _fingerprint(current)
-    for _ in range(MAX_ROUNDS):
+    while True:
         current = cut_lineage(_star(_star(current, large=True), large=False))
         now = _fingerprint(current)
         if now == seen:
             break
         seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = current.select("block", F.col("b").alias("loc"), F.col("b").alias("root")).distinct()
     return current.select("block", F.col("a").alias("loc"), F.col("b").alias("root")).unionByName(roots)

@@ -13,7 +13,7 @@ def con():
     return duck(SF_DIR)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.ENTRIES))
 def test_query_matches_sql(spark, con, name):
     problem = compare(spark, con, SF_DIR, name)
     assert problem in ("", "agree, but on no rows")
