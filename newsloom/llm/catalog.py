@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.decontaminate import contaminated
+from newsloom.llm.language import predicted_languages
+from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
+from newsloom.llm.suffix_dedup import removal_digests
 from newsloom.session import configure
 
 
@@ -13,13 +17,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold: at least 80 % of the item's 5-word shingles."""
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "item_shingles")
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix takes each document, for sources weighing 1, 2, 3 in turn."""
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without bytes of repeated 400-byte strings."""
+    return removal_digests(table(spark, sf_dir, "documents"), min_bytes=400)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 4-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return predicted_languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_mix_sources": op2_mix_sources,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op7_near_duplicates": op7_near_duplicates,
+    "op9_language": op9_language,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+  UNION ALL
+  SELECT 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')
+  FROM benchmark),
+shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(sizes.n) AS item_shingles
+FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.id = i.id
+GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(sizes.n)""",
+}
