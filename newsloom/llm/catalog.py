@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.decontaminate import contaminated
 from newsloom.llm.language import predicted_languages
+from newsloom.llm.licenses import scan_licenses
 from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.suffix_dedup import removal_digests
@@ -38,6 +39,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return predicted_languages(table(spark, sf_dir, "documents"))
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_licenses": op8_licenses,
     "op9_language": op9_language,
 }
 
