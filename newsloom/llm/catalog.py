@@ -10,7 +10,9 @@ from newsloom.llm.language import predicted_languages
 from newsloom.llm.licenses import scan_licenses
 from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
+from newsloom.llm.page_text import page_texts
 from newsloom.llm.suffix_dedup import removal_digests
+from newsloom.llm.vector_duplicates import vector_duplicates
 from newsloom.session import configure
 
 
@@ -34,6 +36,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"), min_bytes=400)
 
 
+def op5_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate vectors of a label: cosine of 0.98 and more."""
+    return vector_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 4-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -49,13 +56,20 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op5_vector_duplicates": op5_vector_duplicates,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
+    "op10_page_text": op10_page_text,
 }
 
 SQL: dict[str, str] = {
