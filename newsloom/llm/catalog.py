@@ -13,6 +13,7 @@ from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.page_text import page_texts
 from newsloom.llm.suffix_dedup import removal_digests
 from newsloom.llm.vector_duplicates import vector_duplicates
+from newsloom.llm.warc import archived_pages
 from newsloom.session import configure
 
 
@@ -41,6 +42,11 @@ def op5_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to WARC archives and read back."""
+    return archived_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 4-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
@@ -66,6 +72,7 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op5_vector_duplicates": op5_vector_duplicates,
+    "op6_warc": op6_warc,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
@@ -89,4 +96,19 @@ sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(sizes.n) AS item_shingles
 FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(sizes.n)""",
+    # SHA-1 as base32: each of the 32 letters is five bits of the digest
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+bits AS (
+  SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000','0001','0010','0011','0100','0101','0110',
+    '0111','1000','1001','1010','1011','1100','1101','1110','1111'][strpos('0123456789abcdef', x[i:i])]), '') AS b,
+    min(page_id) OVER (PARTITION BY h) AS least
+  FROM p)
+SELECT page_id, strlen(h) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(
+    1 + 16 * (b[5 * i + 1:5 * i + 1])::INT + 8 * (b[5 * i + 2:5 * i + 2])::INT + 4 * (b[5 * i + 3:5 * i + 3])::INT
+    + 2 * (b[5 * i + 4:5 * i + 4])::INT + (b[5 * i + 5:5 * i + 5])::INT)::INT]), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM bits""",
 }
