@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.llm.context_trees import score_texts
 from newsloom.llm.decontaminate import contaminated
 from newsloom.llm.language import predicted_languages
 from newsloom.llm.licenses import scan_licenses
@@ -37,6 +38,11 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digests(table(spark, sf_dir, "documents"), min_bytes=400)
 
 
+def op4_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code lengths of all texts, learned from six sevenths of them."""
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op5_vector_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of a label: cosine of 0.98 and more."""
     return vector_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
@@ -49,7 +55,8 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on 4-word shingles."""
-    return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    found = near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +78,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_context_trees": op4_context_trees,
     "op5_vector_duplicates": op5_vector_duplicates,
     "op6_warc": op6_warc,
     "op7_near_duplicates": op7_near_duplicates,

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.spans import _power, mix
-from newsloom.llm.tables import held_out, small_batches, stored
+from newsloom.llm.tables import gathered, held_out, small_batches, stored
 
 WORD_LETTERS = 31
 PIECE_LETTERS = 10
 START = "▁"  # how the vocabulary marks the beginning of a word
 # Labelled texts per language that the model is fitted on (about, by a hash of the id), and rounds of fitting.
-SAMPLE_TEXTS = 4000
-ROUNDS = 3
+SAMPLE_TEXTS = 1500
+ROUNDS = 2
 SMOOTHING = 0.1
 KNOWN_WORDS = 300_000  # words whose scores a worker remembers before it begins anew
 LETTERS = regex.compile(r"\p{L}+")
@@ -135,7 +135,8 @@ class Lattice:
             for k, piece in enumerate(self.at[j], start=1):
                 n = len(piece)
                 share = sums[j - k][:n, 0] * chance[piece] * after[j] / whole[:n] * weight[:n]
-                np.add.at(counts, piece, share)
+                # "no piece" is numbered -1; its share is 0
+                counts += np.bincount(piece + 1, weights=share, minlength=len(chance) + 1)[1:]
         return counts
 
 
@@ -217,7 +218,7 @@ def _count_words(batches):
 def _expect(languages: list[str], keys: np.ndarray, chance: np.ndarray):
     def step(batches):
         total = np.zeros(chance.shape)
-        for batch in batches:
+        for batch in gathered(batches, 1 << 15):
             by: dict[str, list] = {}
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
                 for part in stretches(word):
@@ -276,26 +277,30 @@ def fit(labelled: DataFrame, path: str | None = None, sample: int = SAMPLE_TEXTS
     return Model(languages, prior, keys, chance)
 
 
-def _predictions(parts: tuple, names: list[str]):
+def _predictions(parts: tuple, names: list[str], said: tuple[str, str]):
     def step(batches):
         model = Model(*parts)
         for batch in batches:
             lang, score = model.predict(batch.column("text").to_pylist())
             yield pa.record_batch(
                 [*(batch.column(n) for n in names), pa.array(lang, pa.string()), pa.array(score, pa.float64())],
-                names=[*names, "lang_pred", "score"],
+                names=[*names, *said],
             )
 
     return step
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with ``lang_pred`` and ``score``, its probability."""
+def identify(
+    docs: DataFrame, model: Model, keep: list[str], said: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """The columns ``keep`` of ``docs`` with the language and its probability, under the names ``said``."""
     parts = (model.languages, model.prior, model.keys, model.chance)
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in keep)
     source = docs.select(*dict.fromkeys([*keep, "text"]))
-    return small_batches(source).mapInArrow(_predictions(parts, keep), f"{schema}, lang_pred string, score double")
+    return small_batches(source).mapInArrow(
+        _predictions(parts, keep, said), f"{schema}, `{said[0]}` string, `{said[1]}` double"
+    )
 
 
 def predicted_languages(docs: DataFrame, path: str | None = None, sample: int = SAMPLE_TEXTS) -> DataFrame:

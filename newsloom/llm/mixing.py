@@ -111,20 +111,23 @@ def source_targets(sized: DataFrame, cap: int) -> DataFrame:
     return weighed.select("src", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17, exact: int = EXACT_TOKENS) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, cap: int = 3, seed: int = 17, exact: int = EXACT_TOKENS, carry: bool = False
+) -> DataFrame:
     """``(doc_id, size, source_size, target, taken, copies)``, one row per row of ``docs``.
 
     ``copies`` says how often the mix takes the document (at most ``cap`` times), ``taken`` how many tokens that
-    is.
+    is. With ``carry`` the whole row of ``docs`` comes along as a struct ``row``.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = (
-        docs.select("doc_id", "source", size.alias("size"))
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = (
+        docs.select("doc_id", "source", size.alias("size"), *whole)
         .withColumn("src", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")))
         .withColumn("turn", F.xxhash64(F.lit(seed), "doc_id", "size"))
         .withColumn("salt", F.pmod(F.shiftright("turn", 32), F.lit(SALTS)).cast("int"))
     )
-    sized = stored(sized, "sized")
+    sized = stored(rows.drop("row"), "sized")
     targets = source_targets(sized, cap)
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plans = targets.withColumn("base", base.cast("long")).withColumn(
@@ -147,16 +150,19 @@ def mix_sources(docs: DataFrame, cap: int = 3, seed: int = 17, exact: int = EXAC
         .join(plans, "src")
         .select("src", "size", "salt", "n", "quota", "base", "source_size", "target")
     )
-    placed = sized.join(quotas, ["src", "size", "salt"])
+    placed = (rows if carry else sized).join(quotas, ["src", "size", "salt"])
     split = (F.col("quota") > 0) & (F.col("quota") < F.col("n"))
     rank = F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("turn", "doc_id"))
     once = F.when(F.col("quota") > 0, 1).otherwise(0)
-    columns = ["doc_id", "size", "source_size", "target"]
+    columns = ["doc_id", "size", "source_size", "target", *(["row"] if carry else [])]
     mixed = (
         placed.where(~split).select(*columns, (F.col("base") + once).alias("copies"))
     ).unionByName(
         placed.where(split).select(*columns, (F.col("base") + (rank <= F.col("quota")).cast("int")).alias("copies"))
     )
     return mixed.select(
-        *columns, (F.col("size") * F.col("copies")).alias("taken"), F.col("copies").cast("int").alias("copies")
+        *columns[:4],
+        (F.col("size") * F.col("copies")).alias("taken"),
+        F.col("copies").cast("int").alias("copies"),
+        *columns[4:],
     )
