@@ -9,8 +9,8 @@ partition. Equal bins make a candidate: an item of which m shingles are shared i
 at most. Candidates are verified on the exact shingles, as text.
 
 Null or empty texts contain nothing and are contained in nothing. A text of fewer words than a shingle is one
-shingle. Rows with equal id and text are one document; a null id stays null. Items that share an id are
-one item with the shingles of all. Columns other than ids and texts are not looked at.
+shingle. Rows that share an id are one document, of which any may hold an item; rows and items without id are known
+by their text. Items that share an id are one item with the shingles of all. Columns other than ids and texts are not looked at.
 """
 
 from __future__ import annotations
@@ -75,12 +75,12 @@ def contaminated(
 
     ``shared / item_shingles >= threshold``; one row for each document and item.
     """
-    item_words = benchmark.select("item_id", words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
+    item_words = benchmark.select(
+        "item_id", node_of("item_id").alias("item"), words_column(F.col("text")).alias("w")
+    ).where(F.size("w") > 0)
     items = stored(
-        item_words.select(
-            "item_id", F.explode(shingle_texts(F.col("w"), words)).alias("shingle")
-        )
-        .groupBy("item_id")
+        item_words.select("item_id", "item", F.explode(shingle_texts(F.col("w"), words)).alias("shingle"))
+        .groupBy("item_id", "item")
         .agg(F.collect_set("shingle").alias("shingles")),
         "items",
     )
@@ -88,16 +88,18 @@ def contaminated(
         F.array_distinct(
             F.transform(
                 "shingles",
-                lambda s: F.xxhash64(*[F.get(F.transform(F.split(s, " "), lambda w: F.xxhash64(w)), F.lit(k)) for k in range(words)]),
+                lambda s: F.xxhash64(
+                    *[F.get(F.transform(F.split(s, " "), lambda w: F.xxhash64(w)), F.lit(k)) for k in range(words)]
+                ),
             )
         )
     )
     entries = (
-        items.select("item_id", hashed_item.alias("h"))
-        .select("item_id", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1))).alias("part"))
+        items.select("item", hashed_item.alias("h"))
+        .select("item", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1))).alias("part"))
         .where(F.pow(F.lit(4.0), F.col("part")) >= F.lit(threshold) * F.size("h"))
-        .select("item_id", "part", F.explode(_sketch(F.col("h"), F.col("part"))).alias("least"))
-        .select("item_id", F.col("least").bitwiseXOR(F.col("part").cast("long")).alias("key"))
+        .select("item", "part", F.explode(_sketch(F.col("h"), F.col("part"))).alias("least"))
+        .select("item", F.col("least").bitwiseXOR(F.col("part").cast("long")).alias("key"))
     )
     entries = stored(entries.distinct(), "entries")
     held = entries.count()
@@ -116,23 +118,27 @@ def contaminated(
         "node", F.col("least").bitwiseXOR(F.col("part").cast("long")).alias("key")
     )
     candidates = stored(
-        sketched.join(_guarded(entries, held, limit), "key").select("node", "item_id").distinct(), "candidates"
+        sketched.join(_guarded(entries, held, limit), "key").select("node", "item").distinct(), "candidates"
     )
-    pairs = candidates.groupBy("node").agg(F.collect_set("item_id").alias("items"))
+    pairs = candidates.groupBy("node").agg(F.collect_set("item").alias("items"))
     found = (
         source.join(pairs, "node")
-        .select("doc_id", "node", "items", shingle_texts(words_column(F.col("text")), words).alias("own"))
-        .select("doc_id", "node", "own", F.explode("items").alias("item_id"))
-        .join(_guarded(items, held, limit), "item_id")
+        # the words are a column of their own, or every shingle would split its text again
+        .select("doc_id", "node", "items", words_column(F.col("text")).alias("w"))
+        .select("doc_id", "node", "items", shingle_texts(F.col("w"), words).alias("own"))
+        .select("doc_id", "node", "own", F.explode("items").alias("item"))
+        .join(_guarded(items, held, limit), "item")
         .select(
             "doc_id",
             "node",
+            "item",
             "item_id",
             F.size(F.array_intersect("shingles", "own")).cast("long").alias("shared"),
             F.size("shingles").cast("long").alias("item_shingles"),
         )
         .where(F.col("shared") >= F.lit(threshold) * F.col("item_shingles"))
     )
-    return found.groupBy("doc_id", "node", "item_id").agg(
+    best = found.groupBy("doc_id", "node", "item", "item_id").agg(
         F.max("shared").alias("shared"), F.max("item_shingles").alias("item_shingles")
     )
+    return best.select("doc_id", "node", "item_id", "shared", "item_shingles")
