@@ -188,8 +188,7 @@ class Model:
                 names.append("und")
                 scores.append(0.0)
                 continue
-            missing = count.keys() - self.known.keys()
-            if missing:  # forgotten while this batch was learnt
+            if any(w not in self.known for w in count):  # forgotten while this batch was learnt
                 self._learn(set(count))
             rows = np.fromiter((self.known[w] for w in count), dtype=np.int64, count=len(count))
             total = self.prior + np.fromiter(count.values(), dtype=np.float64, count=len(count)) @ self.scores[rows]
