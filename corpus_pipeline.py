@@ -20,7 +20,7 @@ from newsloom.llm.language import fit, identify
 from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.suffix_dedup import without_repeats
-from newsloom.llm.tables import node_of, stored
+from newsloom.llm.tables import node_of, stored, unused
 from newsloom.session import configure
 
 # A language is rejected below this probability.
@@ -32,16 +32,22 @@ REPEAT_BYTES = 200
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters, of a language that the model is sure of."""
     model = fit(docs.select("doc_id", "text", "lang"))
-    found = identify(docs, model, docs.columns, ("__lang", "__score"))
-    return found.where((F.col("__lang") != "und") & (F.col("__score") >= SURE)).select(*docs.columns)
+    said, score = unused(docs, "lang_pred"), unused(docs, "score")
+    found = identify(docs, model, docs.columns, (said, score))
+    return found.where((F.col(said) != "und") & (F.col(score) >= SURE)).select(*docs.columns)
+
+
+def _without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that none of the nodes stands for."""
+    node = unused(docs, "node")
+    marked = docs.withColumn(node, node_of("doc_id"))
+    return marked.join(nodes.withColumnRenamed("node", node), node, "left_anti").select(*docs.columns)
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group, and all documents without words."""
     groups = near_duplicates(docs, words=5, percent=80)
-    dropped = groups.where("node <> chosen").select("node").distinct()
-    marked = docs.withColumn("__node", node_of("doc_id"))
-    return marked.join(dropped, marked["__node"] == dropped["node"], "left_anti").select(*docs.columns)
+    return _without(docs, groups.where("node <> chosen").select("node").distinct())
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +62,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that hold no benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = stored(contaminated(docs, benchmark, words=5, threshold=0.8).select("node").distinct(), "contaminated")
-    marked = docs.withColumn("__node", node_of("doc_id"))
-    return marked.join(found, marked["__node"] == found["node"], "left_anti").select(*docs.columns)
+    return _without(docs, found)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

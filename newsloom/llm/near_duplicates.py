@@ -8,7 +8,8 @@ about T times the Jaccard similarity as sampling without replacement allows. The
 
 Equal shingle sets become one class first, so copies never meet in pairs. Classes whose sketches agree on a
 whole band share a bucket. In a bucket everyone is compared with its least member; what is left are pairs of
-different components, which are compared in a second round. Links are confirmed on the full shingle sets.
+different components, which are compared in a second round. There a pair is passed over if shingles that no other candidate
+has leave too few for the similarity asked for. Links are confirmed on the full shingle sets.
 
 Null ids: a row without id is a node of its own, by its text. Null or wordless text: no shingles, no links.
 Rows that share an id are one node; repeated rows come back as often as they came in. Columns other than the
@@ -113,6 +114,31 @@ def _confirm(words: int, percent: int):
     return step
 
 
+def _shingle_rows(words: int):
+    def step(batches):
+        for batch in batches:
+            for node, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+                found = shingles(words_of(text.as_py()), words).view(np.int64)
+                yield pa.record_batch(
+                    [pa.array(np.full(len(found), node)), pa.array(found)], names=["node", "shingle"]
+                )
+
+    return step
+
+
+def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """``(node, n, own)`` of each candidate: its shingles, and those that no other candidate has.
+
+    Nodes of several texts are left out: their sizes say nothing.
+    """
+    rows = stored(texts.mapInArrow(_shingle_rows(words), "node long, shingle long"), "shingles")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.max("node").alias("node"))
+    own = single.where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+    return texts.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("node").join(
+        rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node"
+    ).join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -129,10 +155,11 @@ def near_duplicates(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)``, one row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, kept, node, chosen)``, one row per row of ``docs``.
 
     Documents are linked whose shingle sets have ``100 * intersection >= percent * union``; the component's id
-    is its smallest doc_id (null if none of its rows has one), and kept says that the row has that id.
+    is its smallest doc_id (null if none of its rows has one), and kept says that the row has that id. ``node`` stands
+    for the row, and ``chosen`` for the row that stays if one of the component does, with or without ids.
     """
     source = small_batches(docs.select("doc_id", node_of("doc_id").alias("node"), "text"))
     sketches = stored(
@@ -174,11 +201,18 @@ def near_duplicates(
         .where("parts > 1")
         .select("bucket", F.col("most.root").alias("main"))
     )
-    rest = stored(placed.join(mixed, "bucket").where("node > least"), "mixed")
-    minor = rest.where("root <> main").select("bucket", F.col("node").alias("x"), F.col("root").alias("of"))
+    rest = placed.join(mixed, "bucket").where("node > least")
+    sizes = _own_shingles(texts.join(rest.select("node").distinct(), "node"), words)
+    rest = stored(rest.join(sizes, "node", "left").select("bucket", "node", "root", "main", "n", "own"), "mixed")
+    minor = rest.where("root <> main").select(
+        "bucket", F.col("node").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("own").alias("ox")
+    )
+    common = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("own"))
+    enough = F.coalesce(100 * common >= percent * (F.col("nx") + F.col("n") - common), F.lit(True))
+    other = (F.col("root") != F.col("of")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
     across = (
-        minor.join(rest.select("bucket", "node", "root", "main"), "bucket")
-        .where((F.col("root") != F.col("of")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node"))))
+        minor.join(rest, ["bucket"])
+        .where(other & enough)
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
     )
@@ -189,8 +223,12 @@ def near_duplicates(
         F.col("loc").alias("rep"), "root"
     )
     named = classes.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    labelled = filled.select("doc_id", "n_shingles", "set_key").join(named, "set_key")
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    result = labelled.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    alone = sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return result.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    labelled = filled.select("doc_id", "node", "n_shingles", "set_key").join(named, "set_key")
+    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("least"))
+    chosen = F.coalesce("component_id", "least").alias("chosen")
+    result = labelled.join(least, "root").select("doc_id", "n_shingles", "component_id", "node", chosen)
+    alone = sketches.where("n_shingles = 0").select(
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.col("node").alias("chosen")
+    )
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
+    return result.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "node", "chosen")

@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.spans import _TABLE, BASE, PrefixHash, _power
-from newsloom.llm.tables import node_of, small_batches, stored
+from newsloom.llm.tables import node_of, small_batches, stored, unused
 
 GRAM = 64
-BLOCK = 256
+BLOCK = 4096
 # Texts are scanned in stretches of this many bytes; low bits of the ordering key hold the place in the stretch.
 STRETCH = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
@@ -367,18 +367,19 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, min_bytes: int = 400, **options) -> DataFrame:
-    """``docs`` with a column ``spans``: null where nothing is repeated."""
+def with_spans(docs: DataFrame, min_bytes: int = 400, spans: str = "spans", **options) -> DataFrame:
+    """``docs`` with a column of repeated spans: null where nothing is repeated."""
+    node, th = unused(docs, "node"), unused(docs, "th")
     marked = repeated_spans(docs, min_bytes, **options)
-    keys = {"__node": node_of("doc_id"), "__th": F.xxhash64("text")}
-    marked = marked.select(F.col("node").alias("__node"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
-    return docs.withColumns(keys).join(marked, ["__node", "__th"], "left").drop("__node", "__th")
+    marked = marked.select(F.col("node").alias(node), F.col("th").alias(th), F.col("spans").alias(spans))
+    keyed = docs.withColumns({node: node_of("doc_id"), th: F.xxhash64("text")})
+    return keyed.join(marked, [node, th], "left").select(*docs.columns, spans)
 
 
 def _digests(batches):
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, spans in zip(batch.column("text"), batch.column("__spans").to_pylist(), strict=True):
+        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
             data = (text.as_py() or "").encode("utf-8", "surrogatepass")
             cuts = joined_spans([(x["start"], x["end"]) for x in spans or ()])
             said, at = hashlib.sha256(), 0
@@ -405,7 +406,7 @@ def removal_digests(docs: DataFrame, min_bytes: int = 400, **options) -> DataFra
     )
 
 
-def _shorten(names: list[str]):
+def _shorten(names: list[str], spans: str):
     def kept(text: str, spans) -> str:
         data = text.encode("utf-8", "surrogatepass")
         out, at = [], 0
@@ -424,7 +425,7 @@ def _shorten(names: list[str]):
         for batch in batches:
             texts = [
                 kept(t.as_py(), s) if s else t.as_py()
-                for t, s in zip(batch.column("text"), batch.column("__spans").to_pylist(), strict=True)
+                for t, s in zip(batch.column("text"), batch.column(spans).to_pylist(), strict=True)
             ]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.record_batch(columns, names=names)
@@ -434,4 +435,5 @@ def _shorten(names: list[str]):
 
 def without_repeats(docs: DataFrame, min_bytes: int = 400, **options) -> DataFrame:
     """``docs`` without the repeated bytes of their texts; a character is removed as a whole or not at all."""
-    return with_spans(docs, min_bytes, **options).mapInArrow(_shorten(docs.columns), docs.schema)
+    spans = unused(docs, "spans")
+    return with_spans(docs, min_bytes, spans, **options).mapInArrow(_shorten(docs.columns, spans), docs.schema)

@@ -44,6 +44,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name = f"_{name}"
+    return name
+
+
 def node_of(id_column: str, text: str = "text") -> Column:
     """A long that stands for a row: its id, or a hash of its text where the id is null."""
     return F.coalesce(F.col(id_column).cast("long"), F.xxhash64(F.lit("no id"), F.col(text)))
