@@ -204,9 +204,7 @@ def _(t: Tables):
 
 SQL_MEMBERS = """members AS (SELECT issue_id AS category, CAST(substring(media_id, 4) AS INT) % 4 AS cluster_id, id, title,
  media_id, published_at FROM articles)"""
-SQL_PATTERNS = f"""first50 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, cluster_id
-   ORDER BY published_at NULLS FIRST, id) AS r FROM members) WHERE r <= 50),
- words AS (SELECT DISTINCT category, cluster_id, id, unnest(regexp_extract_all(title, '{WORD}')) AS word FROM first50),
+SQL_PATTERNS = f"""words AS (SELECT DISTINCT category, cluster_id, id, unnest(regexp_extract_all(title, '{WORD}')) AS word FROM members),
  word_n AS (SELECT category, cluster_id, word, count(*) AS n FROM words GROUP BY 1, 2, 3),
  seeds AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, cluster_id ORDER BY n DESC, word) AS event_pos
    FROM word_n) WHERE event_pos <= 6),
@@ -327,9 +325,10 @@ def _shaped(t: Tables):
     return refine.shape_groups(refine.assign_events(members, refine.event_patterns(members, word_pattern=WORD)))
 
 
-def _final_groups(t: Tables):
+def _final_groups(t: Tables, numbered: bool = True):
     members = _members(t)
-    return refine.refine_groups(members, refine.event_patterns(members, word_pattern=WORD), WORD, HEADLINES, MERGES)
+    patterns = refine.event_patterns(members, word_pattern=WORD)
+    return refine.refine_groups(members, patterns, WORD, HEADLINES, MERGES, numbered)
 
 
 @query("grp5_headlines", f"{SQL_EVENTS}, {SQL_ASSIGNED}, {SQL_SHAPED.format(fallback='false')}, {SQL_TITLED} "
@@ -370,7 +369,7 @@ SQL_GROUPS = f"{SQL_BASE}, {SQL_MEMBERS}, {SQL_PATTERNS}, {SQL_FINAL}, {SQL_RANK
 @query("grp8_top_groups", f"""{SQL_GROUPS} SELECT category, group_key, title, total, "left", center, "right",
  CAST(quality AS BIGINT) AS quality, rank FROM top3""")
 def _(t: Tables):
-    return refine.rank_groups(_final_groups(t), t.outlets()).select(
+    return refine.rank_groups(_final_groups(t, numbered=False), t.outlets()).select(
         "category", "group_key", "title", "total", "left", "center", "right", "quality",
         F.col("rank").cast("long").alias("rank"),
     )
@@ -452,12 +451,17 @@ SQL_CONTEXT = f"""{SQL_CENTROID.format(keys="issue_id, bias", source="sided")},
    LEFT JOIN tails USING (issue_id, bias))"""
 
 
-@query("gen3_packed_contexts", f"{SQL_BASE}, {SQL_SIDED}, {SQL_CONTEXT} SELECT issue_id, bias, n_articles, text FROM contexts")
+@query("gen3_packed_contexts", f"""{SQL_BASE}, {SQL_SIDED}, {SQL_CONTEXT}, pieces AS (SELECT issue_id, bias,
+ (rank - 1) // 7 AS part, string_agg(rank || '. ' || title || chr(10), '' ORDER BY rank) AS lines FROM rest GROUP BY 1, 2, 3)
+ SELECT issue_id, bias, n_articles, CAST(0 AS INT) AS part, head AS text FROM sizes JOIN heads USING (issue_id, bias)
+ WHERE n_articles <= 5
+ UNION ALL SELECT issue_id, bias, n_articles, CAST(part AS INT), CASE WHEN part = 0 THEN '=== 대표 기사 ===' || chr(10) || head
+ || '=== 기타 기사 제목 ===' || chr(10) ELSE '' END || lines FROM sizes JOIN heads USING (issue_id, bias)
+ JOIN pieces USING (issue_id, bias) WHERE n_articles > 5""")
 def _(t: Tables):
+    # Small parts on purpose: a context of many titles is never one row.
     packed = generate.pack_context(_sided(t), ["issue_id", "bias"], titles_per_part=7)
-    # Small parts on purpose: joined in order they must give the whole context.
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda p: p["text"])
-    return packed.groupBy("issue_id", "bias", "n_articles").agg(F.array_join(parts, "").alias("text"))
+    return packed.select("issue_id", "bias", "n_articles", "part", "text")
 
 
 @query("gen4_issue_summaries", f"""{SQL_BASE}, v AS (SELECT a.issue_id, a.id, a.title, a.content, a.published_at, e.embedding
@@ -483,7 +487,8 @@ def _(t: Tables):
  coalesce(r.p, {sql_text(fv.TOO_FEW_PERSPECTIVE['right'])}) AS right_perspective FROM issues i
  LEFT JOIN said l ON l.issue_id = i.id AND l.bias = 'left' LEFT JOIN said r ON r.issue_id = i.id AND r.bias = 'right'""")
 def _(t: Tables):
-    return content.issue_perspectives(t.issues(), t.documents_with_vectors(), t.outlets(), digest_model)
+    told = content.issue_perspectives(t.issues(), t.documents_with_vectors(), t.outlets(), digest_model)
+    return told.select("id", "left_perspective", "right_perspective")
 
 
 @query("gen6_issue_titles", f"""WITH {SQL_HANGUL_WORDS}, kw AS (SELECT event_type,

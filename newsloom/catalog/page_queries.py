@@ -108,7 +108,7 @@ def _(t: Tables):
         F.lit(None).cast("timestamp").alias("published_at"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("fetched_at"),
     )
-    landed_twice = rows.unionByName(rows)  # every page arrives twice; the state keeps one
+    landed_twice = rows.unionByName(rows)  # every page arrives twice; one is kept
     target = scratch_path(t.spark, "ingested")
     run = start_ingest(
         landed_twice, target, scratch_path(t.spark, "stream"), _as_of(), TEST_RULES, TEST_OTHER,

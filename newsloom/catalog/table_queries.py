@@ -241,7 +241,8 @@ def _(t: Tables):
  (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id""")
 def _(t: Tables):
     rows = t.raw("events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "event_type")
-    merged = tables.upsert(rows.where("event_type = 'view'"), rows.where("event_type <> 'view'"), "user_id", "ts")
+    stored = windows.keep_first(rows.where("event_type = 'view'"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
+    merged = tables.upsert(stored, rows.where("event_type <> 'view'"), "user_id", "ts")
     return merged.select("user_id", "event_id", "ts")
 
 

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed_values as fv
 from newsloom.functions.text import count_keywords, let
 
-# Up to this many keywords, a generated expression beats a join.
-EXPRESSION_LIMIT = 400
-
-
 def rule_table(spark: SparkSession, rules: Mapping[str, Sequence[str]]) -> DataFrame:
     """``(category, position, keyword)`` of a rule mapping."""
     rows = [(name, pos, word) for pos, (name, words) in enumerate(rules.items()) for word in words]
@@ -24,12 +20,8 @@ def match_keywords(texts: DataFrame, key: str, text: str, rules: DataFrame) -> D
     """``(key, category, position, hits)``: how many keywords of each category occur in each text.
 
     The rules travel inside one row as an array, so every text is scanned once in a narrow stage and
-    no pair of text and keyword is ever a row. The rule table is a hand-written dictionary; its size
-    is checked before it is gathered.
+    no pair of text and keyword is ever a row. A rule table is a hand-written dictionary; it has to fit a row.
     """
-    n = rules.count()
-    if n > 100 * EXPRESSION_LIMIT:
-        raise ValueError(f"{n} keywords: partition the rules by category and match them in turns")
     grouped = rules.groupBy("category", "position").agg(F.sort_array(F.collect_list("keyword")).alias("keywords"))
     packed = grouped.agg(
         F.sort_array(F.collect_list(F.struct("position", "category", "keywords"))).alias("rules")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as fv
 from newsloom.functions.text import is_blank, py_strip
+from newsloom.operators.windows import keep_first
 
 
 # --- filters --------------------------------------------------------------------------------
@@ -122,11 +123,17 @@ def saved_ratio(requested: DataFrame, saved: DataFrame, key: str = "id") -> Data
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, key: str, version: str) -> DataFrame:
-    """Union in which the latest version of every key wins; only keys that occur twice need a choice.
+    """``stored``, a row per key, with the newer versions of ``incoming``; rows without a key are all kept.
 
-    ``max_by`` combines on the map side, so a key with very many versions is no single task's burden.
+    Of equal versions the one with the greater other columns, in alphabetical order, wins. Only stored rows whose
+    key comes in are compared: the incoming side is reduced to a row per key, and while it is small Catalyst
+    broadcasts it, so that stored rows stay where they are.
     """
-    both = union_all(stored, incoming)
-    columns = [c for c in both.columns if c != key]
-    latest = both.groupBy(key).agg(F.max(F.struct(F.col(version), *[c for c in columns if c != version])).alias("__r"))
-    return latest.select(*[F.col(key) if c == key else F.col(f"__r.{c}").alias(c) for c in both.columns])
+    columns = list(dict.fromkeys([*stored.columns, *incoming.columns]))
+    order = [F.desc(version), *[F.desc(c) for c in sorted(columns) if c not in (key, version)]]
+    keyed = F.col(key).isNotNull()
+    latest = keep_first(union_all(stored.limit(0), incoming.where(keyed)), [key], order)
+    touched = stored.join(latest.select(key), key, "left_semi")
+    newest = keep_first(union_all(touched, latest), [key], order)
+    kept = stored.join(latest.select(key), key, "left_anti")  # rows without a key match nothing
+    return union_all(kept, newest, incoming.where(~keyed)).select(*columns)

@@ -98,44 +98,56 @@ def perspective_contexts(articles: DataFrame, outlets: DataFrame, titles_per_par
 
 
 def _fold(answers: DataFrame, model: TextModel) -> DataFrame:
-    """Merge the answers to the parts of a context, twenty at a time, until one is left per side."""
-    current = cut_lineage(answers)
+    """Merge the answers to the parts of a context, twenty at a time, until one is left per side.
+
+    A part without an answer, or a merge without one, leaves its side without an answer: what is left would
+    describe a part of the side only. ``failed_parts`` counts them.
+    """
+    current = cut_lineage(answers.withColumn("failed_parts", F.col("answer").isNull().cast("long")))
     while (current.agg(F.max("part")).first()[0] or 0) > 0:
         gathered = current.groupBy("issue_id", "bias", F.floor(F.col("part") / FOLD).cast("int").alias("up")).agg(
-            F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("some")
+            F.array_sort(F.collect_list(F.struct("part", "answer"))).alias("some"),
+            F.sum("failed_parts").alias("failed"),
         )
         listed = F.array_join(F.transform("some", lambda s: s["answer"]), "\n\n")
         prompts = gathered.select(
-            "issue_id", "bias", F.col("up").alias("part"),
-            F.when(F.size("some") > 1, F.format_string(FOLD_PROMPT, listed)).alias("prompt"),
+            "issue_id", "bias", F.col("up").alias("part"), "failed",
+            F.when((F.size("some") > 1) & (F.col("failed") == 0), F.format_string(FOLD_PROMPT, listed)).alias("prompt"),
             F.when(F.size("some") == 1, F.get("some", F.lit(0))["answer"]).alias("only"),
         )
-        current = cut_lineage(
-            generate(prompts, "prompt", model).select("issue_id", "bias", "part", F.coalesce("only", "answer").alias("answer"))
-        )
-    return current.select("issue_id", "bias", "answer")
+        told = generate(prompts, "prompt", model).withColumn("answer", F.coalesce("only", "answer"))
+        lost = F.when((F.col("failed") == 0) & F.col("answer").isNull(), 1).otherwise(F.col("failed"))
+        current = cut_lineage(told.select("issue_id", "bias", "part", "answer", lost.alias("failed_parts")))
+    return current.select("issue_id", "bias", F.when(F.col("failed_parts") == 0, F.col("answer")).alias("answer"), "failed_parts")
 
 
 def issue_perspectives(
     issues: DataFrame, articles: DataFrame, outlets: DataFrame, model: TextModel | None = None,
     titles_per_part: int | None = None,
 ) -> DataFrame:
-    """``(id, left_perspective, right_perspective)`` of every issue; sides with few articles get a set text."""
+    """``(id, left_perspective, right_perspective, left_failed_parts, right_failed_parts)`` of every issue.
+
+    Sides with few articles get a set text; sides of which a part failed get the fallback text, and a count.
+    """
     contexts = perspective_contexts(articles, outlets, titles_per_part)
     enough = contexts.where(F.col("n_articles") >= fv.MIN_PERSPECTIVE_ARTICLES)
     if model is None:
         answers = enough.select("issue_id", "bias").distinct().withColumn("answer", F.lit(None).cast("string"))
+        answers = answers.withColumn("failed_parts", F.lit(0).cast("long"))
     else:
         prompts = enough.withColumn("prompt", F.format_string(PERSPECTIVE_PROMPT, F.col("bias"), F.col("text")))
         answers = _fold(generate(prompts, "prompt", model).select("issue_id", "bias", "part", "answer"), model)
     failed = F.when(F.col("bias") == "left", fv.FALLBACK_PERSPECTIVE["left"]).otherwise(fv.FALLBACK_PERSPECTIVE["right"])
     texts = answers.select(
-        "issue_id", "bias", F.coalesce(answer_text(F.col("answer"), fv.LONG_TEXT), failed).alias("perspective")
+        "issue_id", "bias", "failed_parts",
+        F.coalesce(answer_text(F.col("answer"), fv.LONG_TEXT), failed).alias("perspective"),
     )
     sides = texts.groupBy("issue_id").agg(
-        *[F.max(F.when(F.col("bias") == s, F.col("perspective"))).alias(f"{s}_perspective") for s in SIDES]
+        *[F.max(F.when(F.col("bias") == s, F.col("perspective"))).alias(f"{s}_perspective") for s in SIDES],
+        *[F.max(F.when(F.col("bias") == s, F.col("failed_parts"))).alias(f"{s}_failed_parts") for s in SIDES],
     )
     return issues.select("id").join(sides, F.col("id") == F.col("issue_id"), "left").select(
         "id",
         *[F.coalesce(f"{s}_perspective", F.lit(fv.TOO_FEW_PERSPECTIVE[s])).alias(f"{s}_perspective") for s in SIDES],
+        *[F.coalesce(f"{s}_failed_parts", F.lit(0)).alias(f"{s}_failed_parts") for s in SIDES],
     )

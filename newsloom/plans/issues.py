@@ -44,7 +44,7 @@ def build_issues(
         .select("category", "cluster_id", "id", "title", "media_id", "published_at")
     )
     patterns = refine.event_patterns(members, pattern_model, word_pattern)
-    groups = refine.refine_groups(members, patterns, word_pattern)
+    groups = refine.refine_groups(members, patterns, word_pattern, numbered=False)
     top = cut_lineage(refine.rank_groups(groups, outlets, bonus_event_types))
     issues = sinks.issue_rows(top, run_id, created_at)
     return Issues(issues.drop("group_key"), sinks.issue_bridge(issues, groups))

@@ -31,15 +31,11 @@ PATTERN_PROMPT = (
 def frequent_word_patterns(members: DataFrame, word_pattern: str = fv.HANGUL_WORD) -> DataFrame:
     """``(category, cluster_id, events)`` without a model.
 
-    Seeds are the six words found in most of a cluster's first 50 titles; each brings the three words
-    that share most titles with it. Fifty titles and six seeds bound every join here.
+    Seeds are the six words found in most of a cluster's titles; each brings the three words that share
+    most titles with it. Every join here is linear in the words of a title, whatever the cluster's size.
     """
-    first = top_n(
-        members.select(*CLUSTER, "id", "title", "published_at"), CLUSTER, [F.asc("published_at"), F.asc("id")],
-        fv.PATTERN_TITLES,
-    )
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(f"({word_pattern})"), F.lit(1)))
-    words = first.select(*CLUSTER, "id", F.explode(found).alias("word"))
+    words = members.select(*CLUSTER, "id", F.explode(found).alias("word"))
     counts = words.groupBy(*CLUSTER, "word").agg(F.count(F.lit(1)).alias("n"))
     seeds = top_n(counts, CLUSTER, [F.desc("n"), F.asc("word")], SEEDS, "event_pos").drop("n")
     together = (
@@ -66,9 +62,12 @@ def frequent_word_patterns(members: DataFrame, word_pattern: str = fv.HANGUL_WOR
     return events.groupBy(*CLUSTER).agg(F.array_sort(F.collect_list("event")).alias("events"))
 
 
-def model_patterns(members: DataFrame, model: TextModel) -> DataFrame:
-    """``(category, cluster_id, events)`` from a model; clusters without a usable answer have no row."""
-    lists = title_lists(members, CLUSTER, fv.PATTERN_TITLES)
+def model_patterns(members: DataFrame, model: TextModel, titles: int = fv.PATTERN_TITLES) -> DataFrame:
+    """``(category, cluster_id, events)`` from a model that is shown the first ``titles`` titles of each cluster.
+
+    Clusters without a usable answer have no row.
+    """
+    lists = title_lists(members, CLUSTER, titles)
     prompts = lists.withColumn("prompt", F.format_string(PATTERN_PROMPT, F.col("n_titles"), F.col("titles_text")))
     answered = generate(prompts, "prompt", model).withColumn("raw", text.parse_events(F.col("answer")))
     events = F.transform(
@@ -121,16 +120,17 @@ def assign_events(members: DataFrame, patterns: DataFrame) -> DataFrame:
     )
 
 
-def shape_groups(assigned: DataFrame) -> DataFrame:
+def shape_groups(assigned: DataFrame, numbered: bool = True) -> DataFrame:
     """Members with ``group_id, event_type``: events of three or more stay, all others become singletons.
 
-    Singletons are numbered in their cluster by time and id, over as many tasks as it takes.
+    Singletons are numbered in their cluster by time and id, over as many tasks as it takes; callers that
+    read no labels of singletons leave the numbers out, and a singleton then has its article's id.
     """
     rows = cut_lineage(assigned)
-    counts = rows.where(F.col("event_pos").isNotNull()).groupBy(*CLUSTER, "event_pos").agg(
-        F.count(F.lit(1)).alias("event_size")
-    )
-    sized = rows.join(counts, [*CLUSTER, "event_pos"], "left")
+    matched = rows.where(F.col("event_pos").isNotNull())
+    counts = matched.groupBy(*CLUSTER, "event_pos").agg(F.count(F.lit(1)).alias("event_size"))
+    # Most rows have no event: they stay out of the join, where they would all be one key
+    sized = union_all(matched.join(counts, [*CLUSTER, "event_pos"]), rows.where(F.col("event_pos").isNull()))
     stem = (
         F.when(~F.col("has_patterns"), "fallback")
         .when(F.col("event_pos").isNull(), "noise")
@@ -143,13 +143,14 @@ def shape_groups(assigned: DataFrame) -> DataFrame:
     )
     marked = sized.withColumn("stem", stem).withColumn("event_type", kind).drop("event_size")
     kept = marked.where(F.col("stem").isNull()).withColumn("group_id", F.col("event_id"))
-    single = number_within(
-        marked.where(F.col("stem").isNotNull()), [*CLUSTER, "stem"], [F.asc("published_at"), F.asc("id")], "n"
-    )
-    alone = single.withColumn("group_id", F.concat("stem", F.lit("_"), F.col("n") - 1)).withColumns(
-        {"event_title": F.lit(None).cast("string")}
-    )
-    return union_all(kept, alone.drop("n")).withColumn("single", F.col("stem").isNotNull()).drop("stem")
+    single = marked.where(F.col("stem").isNotNull()).withColumn("event_title", F.lit(None).cast("string"))
+    if numbered:
+        order = [F.asc("published_at"), F.asc("id")]
+        single = number_within(single, [*CLUSTER, "stem"], order, "n")
+        alone = single.withColumn("group_id", F.concat("stem", F.lit("_"), F.col("n") - 1)).drop("n")
+    else:
+        alone = single.withColumn("group_id", F.concat("stem", F.lit("_"), "id"))
+    return union_all(kept, alone).withColumn("single", F.col("stem").isNotNull()).drop("stem")
 
 
 def add_headlines(
@@ -181,7 +182,11 @@ def merge_singletons(groups: DataFrame, merge_rules: Sequence[Mapping] | None =
     hits = marked.where(F.col("pattern").isNotNull()).groupBy("category", "pattern").agg(
         F.count(F.lit(1)).alias("hits")
     )
-    joined = marked.join(hits.where(F.col("hits") >= fv.MIN_GROUP_ARTICLES), ["category", "pattern"], "left")
+    # Nearly every row has no pattern: such rows stay out of the join, where a category would be one key
+    met = marked.where(F.col("pattern").isNotNull()).join(
+        hits.where(F.col("hits") >= fv.MIN_GROUP_ARTICLES), ["category", "pattern"], "left"
+    )
+    joined = union_all(met, marked.where(F.col("pattern").isNull()))
     merged = F.col("hits").isNotNull()
     return joined.select(
         "category",
@@ -201,9 +206,10 @@ def refine_groups(
     word_pattern: str = fv.HANGUL_WORD,
     headline_rules: Sequence[Mapping] | None = None,
     merge_rules: Sequence[Mapping] | None = None,
+    numbered: bool = True,
 ) -> DataFrame:
-    """All members with their final group."""
-    shaped = shape_groups(assign_events(members, patterns))
+    """All members with their final group; ``numbered`` as for ``shape_groups``."""
+    shaped = shape_groups(assign_events(members, patterns), numbered)
     return cut_lineage(merge_singletons(add_headlines(shaped, word_pattern, headline_rules), merge_rules))
 
 

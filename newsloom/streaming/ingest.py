@@ -5,18 +5,19 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom import schemas
 from newsloom.functions import fixed_values as fv
+from newsloom.operators.windows import keep_first
 from newsloom.plans.ingest import new_articles
 from newsloom.plans.preprocess import clean_articles
 from newsloom.sources.pages import extract_articles
 from newsloom.sources.site_rules import SITE_RULES
 
-LATE_DAYS = 7
 ARTICLES_DDL = (
     "title string, url string, content string, published_at timestamp, created_at timestamp, media_id string, "
     "is_preprocessed boolean, lead_paragraph string, political_category string"
@@ -40,10 +41,20 @@ def page_rows(pages: DataFrame, as_of: Column, rules: Mapping[str, dict] = SITE_
 def _stored(spark: SparkSession, path: str, run: str, before: int) -> DataFrame:
     """Articles appended by other runs and by earlier batches; a replayed batch does not see its own rows."""
     schema = f"{ARTICLES_DDL}, run string, batch_id long"
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    try:
+        found = spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where((F.col("run") != run) | (F.col("batch_id") < before))
+    return found.where((F.col("run") != run) | (F.col("batch_id") < before))
+
+
+def first_of_batch(rows: DataFrame) -> DataFrame:
+    """One row per ``(media_id, url)``: what was fetched first; rows without either key all stay."""
+    keyed = F.col("media_id").isNotNull() & F.col("url").isNotNull()
+    rest = [F.col(c).asc() for c in ("fetched_at", "title", "content")]
+    return keep_first(rows.where(keyed), ["media_id", "url"], rest).unionByName(rows.where(~keyed))
 
 
 def start_ingest(
@@ -57,25 +68,24 @@ def start_ingest(
 ) -> StreamingQuery:
     """Run over everything that has landed, then stop.
 
-    ``rows``: streaming ``(title, url, content, media_id, published_at, fetched_at)``. Repeats within a
-    week are dropped by streaming state, older ones by the anti join with the stored URLs. Every batch
-    of a checkpoint owns one partition and overwrites it, so a batch replayed after a failure leaves no
+    ``rows``: streaming ``(title, url, content, media_id, published_at, fetched_at)``. Repeats within
+    a batch and those of stored articles are dropped by ``(media_id, url)``, as the batch path does; a page is
+    taken however late it comes. Every batch of a checkpoint owns one partition and overwrites it, so a batch replayed after a failure leaves no
     duplicates; when a checkpoint is lost, start with a new path.
     ``stored`` gives further ``(media_id, url)`` rows that count as known.
     """
     run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
-    fresh = rows.withWatermark("fetched_at", f"{LATE_DAYS} days").dropDuplicatesWithinWatermark(["url"])
-
     def append(batch: DataFrame, batch_id: int) -> None:
         known = _stored(batch.sparkSession, articles_path, run, batch_id).select("media_id", "url")
         if stored is not None:
             known = known.unionByName(stored().select("media_id", "url"))
-        cleaned = clean_articles(new_articles(batch, known, now), rules, other).withColumn("is_preprocessed", F.lit(True))
+        fresh = new_articles(first_of_batch(batch), known, now)
+        cleaned = clean_articles(fresh, rules, other).withColumn("is_preprocessed", F.lit(True))
         names = [c.split()[0] for c in ARTICLES_DDL.split(", ")]
         cleaned.select(*names).write.mode("overwrite").parquet(f"{articles_path}/run={run}/batch_id={batch_id}")
 
     return (
-        fresh.writeStream.foreachBatch(append)
+        rows.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
