@@ -70,22 +70,46 @@ def _(t: Tables):
     return found.select("page_id", F.size("paragraphs").alias("n_paragraphs"), F.length("content").alias("n_chars"))
 
 
-@query("ext4_published_dates", """SELECT page_id, 1717200000 AS published, true AS date_defaulted FROM pages
- WHERE NOT regexp_matches(html, 'article:published_time|<time|ld.json')""")
+def _dated_pages(t: Tables):
+    """Pages with a date written into each in one of three layouts, or none; some are followed by an older date."""
+    day = F.lpad((F.col("page_id") % 20 + 1).cast("string"), 2, "0")
+    meta = F.format_string('<head><meta property="article:published_time" content="2024-05-%sT10:00:00+09:00">', day)
+    time = F.format_string('<article><time datetime="2024-05-%s 10:00"></time>', day)
+    older = F.concat(time, F.lit('<time datetime="2023-01-01 00:00"></time>'))
+    kind = F.col("page_id") % 4
+    return _landed(t).withColumn(
+        "html",
+        F.when(kind == 0, F.replace("html", F.lit("<head>"), meta))
+        .when(kind == 1, F.replace("html", F.lit("<article>"), time))
+        .when(kind == 2, F.replace("html", F.lit("<article>"), older))
+        .otherwise(F.col("html")),
+    )
+
+
+@query("ext4_published_dates", """SELECT page_id, page_id % 4 = 3 AS date_defaulted, CASE WHEN page_id % 4 = 3 THEN 1717200000
+ ELSE CAST(epoch(make_timestamp(2024, 5, page_id % 20 + 1, 1, 0, 0)) AS BIGINT) END AS published FROM pages""")
 def _(t: Tables):
-    found = pages.extract_articles(_landed(t), _as_of())
+    found = pages.extract_articles(_dated_pages(t), _as_of())
     return found.select("page_id", F.unix_seconds("published_at").alias("published"), "date_defaulted")
 
 
 @query("ext5_rich_fields", f"""WITH {SQL_PAGES} SELECT page_id,
- {sql_nodes("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)", '')} AS headings,
- CAST(length(regexp_extract_all(a, '<a href')) AS INT) AS n_links, CAST(length(regexp_extract_all(a, '<img')) AS INT) AS n_images
+ {sql_nodes("regexp_extract(a, '(?s)<h1>(.*?)</h1>', 1)", '')} AS headings, '1' AS levels,
+ CAST(length(regexp_extract_all(a, '<a href')) AS INT) AS n_links, '/a.jpg:|/b.jpg:second ' || page_id AS images
  FROM art""")
 def _(t: Tables):
-    found = pages.extract_articles(_landed(t), _as_of())
+    # Two figures, of which only the second has a caption.
+    figures = F.format_string(
+        '<article><figure><img src="/a.jpg"></figure><figure><img src="/b.jpg"><figcaption>second %d</figcaption></figure>',
+        F.col("page_id"),
+    )
+    landed = _landed(t).withColumn("html", F.replace("html", F.lit("<article>"), figures))
+    found = pages.extract_articles(landed, _as_of())
+    shown = F.transform("images", lambda i: F.concat(i["src"], F.lit(":"), i["caption"]))
     return found.select(
-        "page_id", F.array_join("headings", " | ").alias("headings"), F.size("links").alias("n_links"),
-        F.size("images").alias("n_images"),
+        "page_id", F.array_join("headings", " | ").alias("headings"),
+        F.array_join(F.transform("outline", lambda h: h["level"].cast("string")), "").alias("levels"),
+        F.size("links").alias("n_links"), F.array_join(shown, "|").alias("images"),
     )
 
 

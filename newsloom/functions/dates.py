@@ -70,18 +70,27 @@ def parse_relative(text: Column, as_of: Column) -> Column:
 
 
 def resolve_published(candidates: Column, as_of: Column) -> Column:
-    """``struct(published_at, date_defaulted)``: first candidate text that parses, else ``as_of``.
+    """``struct(published_at, date_defaulted, updated_at)``: first candidate text that parses, else ``as_of``.
 
-    ``candidates`` is an ``array<string>`` in order of trust.
+    ``candidates`` is an ``array<string>`` in order of trust. A text labelled as an update only, counts as the
+    publication if no other parses.
     """
     parsed = F.filter(
-        F.transform(candidates, lambda t: F.coalesce(parse_relative(t, as_of), parse_loose_instant(t, as_of))),
-        lambda ts: ts.isNotNull(),
+        F.transform(
+            candidates,
+            lambda t: F.struct(
+                F.coalesce(parse_relative(t, as_of), parse_loose_instant(t, as_of)).alias("at"),
+                (t.rlike("|".join(fv.UPDATED_WORDS)) & ~t.rlike("|".join(fv.PUBLISHED_WORDS))).alias("update"),
+            ),
+        ),
+        lambda x: x["at"].isNotNull(),
     )
-    first = F.get(parsed, F.lit(0))
+    updated = F.get(F.filter(parsed, lambda x: x["update"]), F.lit(0))["at"]
+    first = F.coalesce(F.get(F.filter(parsed, lambda x: ~x["update"]), F.lit(0))["at"], updated)
     return F.struct(
         F.coalesce(first, as_of).alias("published_at"),
         first.isNull().alias("date_defaulted"),
+        updated.alias("updated_at"),
     )
 
 

@@ -54,6 +54,7 @@ class Element:
     hidden: bool = False
     scope: int = -1
     scope_rank: int = 1_000
+    figure: int = -1
     captures: list = field(default_factory=list)
 
     def passes(self, tag: str, tests: tuple[Test, ...]) -> bool:
@@ -140,6 +141,7 @@ class PageReader(HTMLParser):
         self.path: list[Element] = []
         self.found: list[dict] = []
         self.n_scopes = 0
+        self.n_figures = 0
         self.text: list[str] = []
 
     def handle_starttag(self, tag, attrs):
@@ -150,6 +152,7 @@ class PageReader(HTMLParser):
         if self.path:
             outer = self.path[-1]
             element.scope, element.scope_rank, element.hidden = outer.scope, outer.scope_rank, outer.hidden
+            element.figure = outer.figure
         self.path.append(element)
         site = self.site
         for rank, selector in site.of(site.scopes, tag):
@@ -163,6 +166,8 @@ class PageReader(HTMLParser):
         for rank, place in site.of(site.places, tag):
             wanted = (element.scope >= 0 or not place.in_scope) and not (place.body and element.hidden)
             if wanted and matches(self.path, place.selector):
+                if place.name == "figure":  # what lies within belongs to this figure
+                    element.figure, self.n_figures = self.n_figures, self.n_figures + 1
                 self._capture(element, rank, place)
         if tag in VOID:
             self.path.pop()
@@ -170,7 +175,7 @@ class PageReader(HTMLParser):
     def _capture(self, element: Element, rank: int, place: Place) -> None:
         capture = {
             "scope": element.scope, "name": place.name, "rank": rank, "place": place, "nodes": [],
-            "attrs": element.attrs,
+            "attrs": element.attrs, "figure": element.figure, "tag": element.tag,
         }
         if place.attribute is None:
             element.captures.append(capture)
@@ -224,5 +229,5 @@ def read_page(html: str | None, site: SiteReader) -> Iterator[dict]:
         text = found["attrs"].get(place.attribute) if place.attribute else _text(found["nodes"], place.join)
         yield {
             "scope": found["scope"], "name": found["name"], "rank": found["rank"], "text": text,
-            "attrs": list(found["attrs"].items()),
+            "attrs": list(found["attrs"].items()), "figure": found["figure"], "tag": found["tag"],
         }

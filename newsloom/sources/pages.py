@@ -21,7 +21,7 @@ from newsloom.operators.windows import keep_first
 from newsloom.sources.page_reader import Place, SiteReader, read_page
 from newsloom.sources.site_rules import NOTE_MARK, PLAIN_RULE, RICH_FIELDS, SITE_RULES
 
-CAPTURES = "array<struct<scope:int,name:string,rank:int,text:string,attrs:map<string,string>>>"
+CAPTURES = "array<struct<scope:int,name:string,rank:int,text:string,attrs:map<string,string>,figure:int,tag:string>>"
 ITEM_FIELDS = ["title", "link", "section", "description", "date", "year", "month_day", "image", "image_alt", "author",
                "subtitle", "style"]
 RULE_DDL = (
@@ -125,6 +125,8 @@ def with_captures(pages: DataFrame, kind: str, rules: Mapping[str, dict] = SITE_
                 ("rank", pa.int32()),
                 ("text", pa.string()),
                 ("attrs", pa.map_(pa.string(), pa.string())),
+                ("figure", pa.int32()),
+                ("tag", pa.string()),
             ]
         )
     )
@@ -215,11 +217,13 @@ def _attribute(capture: Column, name: str) -> Column:
 
 
 def _date_texts() -> Column:
-    """Candidate date texts in order of trust."""
+    """Candidate date texts in order of trust; of equal trust, in page order."""
 
-    def value(c: Column) -> Column:
+    def value(c: Column, i: Column) -> Column:
         linked = F.coalesce(F.get_json_object(c["text"], "$.datePublished"), F.get_json_object(c["text"], "$.dateModified"))
-        return F.struct(c["rank"].alias("rank"), F.when(c["name"] == "date_ld", linked).otherwise(c["text"]).alias("text"))
+        return F.struct(
+            c["rank"].alias("rank"), i.alias("i"), F.when(c["name"] == "date_ld", linked).otherwise(c["text"]).alias("text")
+        )
 
     dated = F.filter("captures", lambda c: c["name"].isin("date", "date_ld"))
     ordered = F.transform(F.array_sort(F.transform(dated, value)), lambda d: d["text"])
@@ -260,9 +264,21 @@ def article_candidates(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES)
         F.filter(_texts(_inside("heading")), lambda t: t != "").alias("headings"),
         _inside("image").alias("__images"),
         _inside("figure").alias("__figures"),
-        _texts(_inside("caption")).alias("__captions"),
+        _inside("caption").alias("__captions"),
+        F.filter(
+            F.transform(
+                _inside("heading"),
+                lambda c: F.struct(F.substring(c["tag"], 2, 1).cast("int").alias("level"), c["text"].alias("text")),
+            ),
+            lambda h: h["text"] != "",
+        ).alias("outline"),
         F.transform(
-            _inside("link"), lambda c: F.struct(c["text"].alias("text"), _attribute(c, "href").alias("href"))
+            _inside("link"),
+            lambda c: F.struct(
+                c["text"].alias("text"),
+                _attribute(c, "href").alias("href"),
+                text.absolute_url(_attribute(c, "href"), _rule("base_url")).alias("url"),
+            ),
         ).alias("__links"),
         F.get(F.filter(_texts(_inside("note")), lambda t: F.contains(t, F.lit(NOTE_MARK))), F.lit(0)).alias("methodology"),
         F.get(_texts(_named("page_author")), F.lit(0)).alias("__author"),
@@ -271,13 +287,18 @@ def article_candidates(pages: DataFrame, rules: Mapping[str, dict] = SITE_RULES)
             text.mailto_address(F.get(_texts(_named("page_mailto")), F.lit(0))),
         ).alias("page_email"),
     )
+    def of_figure(captures: str, image: Column) -> Column:
+        """The first capture within the image's own figure."""
+        return F.get(F.filter(captures, lambda c: c["figure"] == image["figure"]), F.lit(0))
+
     images = F.transform(
         "__images",
-        lambda c, i: F.struct(
+        lambda c: F.struct(
             _attribute(c, "src").alias("src"),
+            text.absolute_url(_attribute(c, "src"), _rule("base_url")).alias("url"),
             F.coalesce(_attribute(c, "alt"), F.lit("")).alias("alt"),
-            F.coalesce(F.get("__captions", i), F.lit("")).alias("caption"),
-            _attribute(F.get("__figures", i), "data-idxno").alias("idxno"),
+            F.coalesce(of_figure("__captions", c)["text"], F.lit("")).alias("caption"),
+            _attribute(of_figure("__figures", c), "data-idxno").alias("idxno"),
         ),
     )
     return staged.withColumns(
@@ -343,7 +364,9 @@ def extract_articles(pages: DataFrame, as_of: Column, rules: Mapping[str, dict]
         F.coalesce("page_author", text.byline_author(F.col("byline"))).alias("author"),
         F.coalesce("page_email", text.byline_email(F.col("byline"))).alias("email"),
         "page_title",
+        "__date.updated_at",
         "headings",
+        "outline",
         "images",
         F.get("images", F.lit(0)).alias("lead_image"),
         "links",

@@ -163,3 +163,42 @@ def test_list_rules(listed):
     assert len(listed["donga"]) == 10  # page cap, wrong section left out
     (segye,) = listed["segye"]
     assert segye["url"] == "https://www.segye.com/newsView/1"
+
+
+def _article(spark, source, body):
+    landed = spark.createDataFrame([("p", source, f"<html><body>{body}</body></html>")], "page_id string, source string, html string")
+    return pages.extract_articles(landed, F.lit(AS_OF).cast("timestamp")).first()
+
+
+def test_captions_stay_with_their_figure(spark):
+    found = _article(
+        spark, "plain",
+        '<article><figure data-idxno="7"><img src="a.jpg"><img src="b.jpg"></figure><h2>two</h2><h3>three</h3>'
+        '<figure data-idxno="8"><img src="c.jpg"><figcaption>third</figcaption></figure><img src="d.jpg"></article>',
+    )
+    assert [(i["src"], i["caption"], i["idxno"]) for i in found["images"]] == [
+        ("a.jpg", "", "7"), ("b.jpg", "", "7"), ("c.jpg", "third", "8"),
+    ]
+    assert [(h["level"], h["text"]) for h in found["outline"]] == [(2, "two"), (3, "three")]
+
+
+@pytest.mark.parametrize(
+    ("texts", "published", "updated"),
+    [
+        (["입력 2025-09-05 10:00", "수정 2025-09-06 12:00"], "2025-09-05 01:00", "2025-09-06 03:00"),
+        (["수정 2025-09-06 12:00", "게재 2025-09-05 10:00"], "2025-09-05 01:00", "2025-09-06 03:00"),
+        (["2025-09-07 09:00", "2025-09-01 09:00"], "2025-09-07 00:00", None),
+        (["수정 2025-09-06 12:00"], "2025-09-06 03:00", "2025-09-06 03:00"),
+    ],
+)
+def test_updates_are_no_publication(spark, texts, published, updated):
+    from newsloom.functions import dates
+
+    as_of = F.lit(AS_OF).cast("timestamp")
+    row = spark.range(1).select(
+        *[
+            F.date_format(dates.resolve_published(F.array(*map(F.lit, texts)), as_of)[c], "yyyy-MM-dd HH:mm").alias(c)
+            for c in ("published_at", "updated_at")
+        ]
+    ).first()
+    assert (row["published_at"], row["updated_at"]) == (published, updated)
