@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from newsloom.catalog.base import SQL_ARTICLES, SQL_BASE, SQL_OUTLETS, Tables, query, sql_strip
 from newsloom.operators import aggregates, tables, windows
 from newsloom.plans import ingest, inspection
+from newsloom.session import scratch_path
 from newsloom.sources import scans, sinks
 
 AS_OF = "2024-01-25T00:00:00Z"
@@ -246,10 +247,33 @@ def _(t: Tables):
     return merged.select("user_id", "event_id", "ts")
 
 
-@query("snk3_insert_records", f"""WITH {SQL_BATCH} SELECT page_id, url, media_id,
- length({sql_strip('content')}) >= 20 AS kept FROM batch""")
+@query("snk3_insert_records", f"""WITH {SQL_BATCH} SELECT 'Page ' || page_id AS title, url, media_id, md5(content) AS content_md5,
+ 1706140800 AS created, false AS is_preprocessed FROM batch b WHERE length({sql_strip('content')}) >= 20
+ AND NOT EXISTS (SELECT 1 FROM stored s WHERE s.media_id = b.media_id AND s.url = b.url)""")
 def _(t: Tables):
-    return _batch(t).select("page_id", "url", "media_id", tables.long_enough(F.col("content")).alias("kept"))
+    # Inserted into a table in the shared folder, and read back.
+    batch = _batch(t).withColumn("title", F.concat(F.lit("Page "), "page_id")).withColumn("published_at", as_of())
+    target = scratch_path(t.spark, "inserted")
+    sinks.append(ingest.new_articles(batch, _stored(t), as_of()), target)
+    return t.spark.read.parquet(target).select(
+        "title", "url", "media_id", F.md5("content").alias("content_md5"), F.unix_seconds("created_at").alias("created"),
+        "is_preprocessed",
+    )
+
+
+@query("snk4_rewritten_partitions", f"""WITH {SQL_ARTICLES} SELECT id, media_id,
+ CASE WHEN media_id IN ('src1', 'src4') AND NOT is_preprocessed THEN '* ' || title ELSE title END AS title,
+ is_preprocessed OR media_id IN ('src1', 'src4') AS is_preprocessed FROM articles""")
+def _(t: Tables):
+    # Two of the stored partitions hold rows to rewrite; run twice, as after a failure.
+    target = scratch_path(t.spark, "articles")
+    sinks.append(t.articles().select("id", "title", "media_id", "is_preprocessed"), target, by="media_id")
+    cleaned = t.articles().where("NOT is_preprocessed AND media_id IN ('src1', 'src4')").select(
+        "id", F.concat(F.lit("* "), "title").alias("title"), F.lit(True).alias("is_preprocessed")
+    )
+    for _ in range(2):
+        sinks.rewrite_rows(target, cleaned, "media_id")
+    return t.spark.read.parquet(target).select("id", "media_id", "title", "is_preprocessed")
 
 
 @query("snk4_apply_preprocessed", f"""WITH {SQL_ARTICLES} SELECT id,

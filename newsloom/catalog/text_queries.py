@@ -10,7 +10,9 @@ from newsloom.catalog.base import (
 from newsloom.functions import dates, numbers, rules, text
 from newsloom.functions import fixed_values as fv
 from newsloom.plans.preprocess import preprocess, preprocess_in_place
-from newsloom.sources.story_feed import flatten_stories, parse_stories
+from newsloom.session import scratch_path
+from newsloom.sources.pages import extract_articles
+from newsloom.sources.story_feed import feed_stories, flatten_stories, parse_stories
 
 # Keyword rules over the invented words of the test documents, as the Korean ones match nothing there.
 TEST_RULES = {
@@ -177,12 +179,13 @@ def _(t: Tables):
     )
 
 
-@query("txt17_reporter_tail", "SELECT conv_id, turn, text AS body FROM conversations WHERE NOT contains(text, '기자')")
+@query("txt17_reporter_tail", """SELECT conv_id, turn, '홍길동 기자가 말했다: ' || text || CASE turn % 3 WHEN 0 THEN '' ELSE ' ' END AS body
+ FROM conversations""")
 def _(t: Tables):
-    tailed = F.when(F.col("role") == "user", F.concat("text", F.lit("…홍길동 기자 "))).otherwise(F.col("text"))
-    return t.raw("conversations").where(~F.contains("text", F.lit("기자"))).select(
-        "conv_id", "turn", text.drop_reporter_tail(tailed).alias("body")
-    )
+    # The word stands inside every text and stays there; three kinds of tails go.
+    tail = F.when(F.col("turn") % 3 == 0, "…홍길동 기자 ").when(F.col("turn") % 3 == 1, " 홍길동 기자").otherwise(" 기자 홍길동")
+    tailed = F.concat(F.lit("홍길동 기자가 말했다: "), "text", tail)
+    return t.raw("conversations").select("conv_id", "turn", text.drop_reporter_tail(tailed).alias("body"))
 
 
 @query("txt21_image_urls", """SELECT page_id, CASE WHEN contains(url, '/fr/') THEN NULL ELSE url END AS image_url FROM pages""")
@@ -463,6 +466,33 @@ def _(t: Tables):
     return flat.select("story_id", "title", "url", "author", "section", F.array_join("tags", ",").alias("tags"))
 
 
+@query("src3_story_feed", """SELECT CAST(doc_id AS VARCHAR) AS story_id,
+ regexp_replace(split_part(text, chr(10), 1), '^ +| +$', '', 'g') AS title,
+ 'https://www.chosun.com/politics/' || doc_id AS url, source AS author
+ FROM documents WHERE split_part(text, chr(10), 1) <> '' AND doc_id % 3 <> 1""")
+def _(t: Tables):
+    # Feed pages and story documents land as files; the feed lists two thirds of the stories, some twice.
+    docs = t.raw("documents")
+    folder = scratch_path(t.spark, "feed")
+    story = F.struct(
+        F.col("doc_id").cast("string").alias("_id"),
+        F.concat(F.lit("/politics/"), "doc_id").alias("canonical_url"),
+        F.struct(F.substring_index("text", "\n", 1).alias("basic")).alias("headlines"),
+        F.struct(F.array(F.struct(F.col("source").alias("name"))).alias("by")).alias("credits"),
+    )
+    docs.select(F.to_json(story)).write.text(f"{folder}/stories")
+    page = F.floor(F.col("doc_id") / 500)
+    twice = F.when(F.col("doc_id") % 2 == 0, F.array(F.format_string("a%d", page), F.format_string("b%d", page)))
+    listed = docs.where("doc_id % 3 <> 1").select(
+        "doc_id", F.explode(F.coalesce(twice, F.array(F.format_string("a%d", page)))).alias("page")
+    )
+    element = F.struct(F.col("doc_id").cast("string").alias("_id"))
+    elements = F.struct(F.collect_list(element).alias("content_elements"))
+    feed = listed.groupBy("page").agg(F.to_json(elements).alias("value"))
+    feed.repartition("page").write.partitionBy("page").text(f"{folder}/pages")
+    return feed_stories(t.spark, f"{folder}/pages/*/*", f"{folder}/stories").select("story_id", "title", "url", "author")
+
+
 @query("jsn2_vector_json", """SELECT vec_id, CAST(length(embedding) AS INT) AS n,
  round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * x)), 5) AS squares FROM embeddings""")
 def _(t: Tables):
@@ -480,13 +510,15 @@ def _(t: Tables):
     return written.where(numbers.valid_vector(numbers.vector_from_json(F.col("j")))).select("event_id")
 
 
-@query("jsn3_structured_dates", """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS published FROM events""")
+@query("jsn3_structured_dates", """SELECT page_id, CAST(epoch(make_timestamp(2024, 5, page_id % 20 + 1, 1, 0, 0)) AS BIGINT)
+ AS published FROM pages""")
 def _(t: Tables):
-    iso = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss")
-    late = F.col("value") > 5
-    ld = F.to_json(F.struct(F.when(late, iso).alias("datePublished"), F.when(~late, iso).alias("dateModified")))
-    found = F.coalesce(F.get_json_object("ld", "$.datePublished"), F.get_json_object("ld", "$.dateModified"))
-    return t.raw("events").withColumn("ld", ld).select("event_id", found.alias("published"))
+    iso = F.format_string("2024-05-%02dT10:00:00+09:00", F.col("page_id") % 20 + 1)
+    key = F.when(F.col("page_id") % 2 == 0, "datePublished").otherwise("dateModified")
+    script = F.format_string('<head><script type="application/ld+json">{"@type": "NewsArticle", "%s": "%s"}</script>', key, iso)
+    landed = t.raw("pages").withColumn("source", F.lit("plain")).withColumn("html", F.replace("html", F.lit("<head>"), script))
+    found = extract_articles(landed, F.lit("2024-06-01T00:00:00Z").cast("timestamp"))
+    return found.select("page_id", F.unix_seconds("published_at").alias("published"))
 
 
 @query("txt14_fenced_events", """SELECT event_id, event_type AS title, event_type || '|' || user_id AS keywords FROM events""")

@@ -1,4 +1,4 @@
-"""Writers. Appends are plain; keyed rewrites replace whole partitions and never read the path they write."""
+"""Writers. Appends are plain; keyed rewrites stage and then replace the partitions they touch."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions import fixed_values as fv
 from newsloom.operators.tables import changed_rows, keyed_update, saved_ratio
+from newsloom.session import cut_lineage
 
 
 def new_outlets(batch: DataFrame, outlets: DataFrame, bias: str = fv.DEFAULT_BIAS) -> DataFrame:
@@ -25,6 +26,21 @@ def append(df: DataFrame, path: str, table: str | None = None, by: str | None =
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def rewrite_rows(path: str, updates: DataFrame, by: str, key: str = "id", schema: str | None = None) -> None:
+    """Writes the non-null columns of ``updates`` over the stored rows of the same key.
+
+    Only partitions that hold such a key are read and written again. Their new contents are staged first, so
+    nothing reads the path while it is written, and Spark swaps each partition in as a whole; to run it
+    again changes nothing.
+    """
+    spark = updates.sparkSession
+    stored = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    touched = stored.select(key, by).join(updates.select(key), key, "left_semi").select(by).distinct()
+    staged = cut_lineage(keyed_update(stored.join(touched, by, "left_semi").select(*stored.columns), updates, key))
+    writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(by).parquet(path)
+
+
 def apply_preprocessed(articles: DataFrame, cleaned: DataFrame, now: Column) -> DataFrame:
     """Stored articles with cleaned columns, flag and time written over."""
     updates = cleaned.select(

@@ -30,6 +30,12 @@ def read_stories(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(STORY_DDL).json(path)
 
 
+def feed_stories(spark: SparkSession, feed_path: str, stories_path: str) -> DataFrame:
+    """Article rows of the stories that the feed's pages list, once each however often they are listed."""
+    ids = read_feed_ids(spark, feed_path).distinct()
+    return flatten_stories(read_stories(spark, stories_path)).join(ids, "story_id", "left_semi").dropDuplicates(["story_id"])
+
+
 def parse_stories(docs: DataFrame, json_column: str) -> DataFrame:
     """Stories kept as JSON text in a column."""
     keys = [c for c in docs.columns if c != json_column]
