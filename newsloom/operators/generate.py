@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as fv
-from newsloom.operators.representatives import remaining, representatives
+from newsloom.operators.representatives import remaining, representatives, with_bodies
 from newsloom.operators.tables import union_all
 from newsloom.operators.windows import number_within, top_n
 
@@ -84,17 +84,18 @@ def pack_context(articles: DataFrame, keys: Sequence[str], titles_per_part: int
     The parts of a group joined in order are its context; groups of ordinary size have one part.
     """
     keys = list(keys)
-    counts = articles.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_articles"))
+    slim = articles.drop("content")
+    counts = slim.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_articles"))
     small = counts.where(F.col("n_articles") <= fv.FULL_CONTEXT_ARTICLES)
     large = counts.where(F.col("n_articles") > fv.FULL_CONTEXT_ARTICLES)
 
     order = [F.asc("published_at"), F.asc("id")]
-    few = top_n(articles.join(small, keys, "left_semi"), keys, order, fv.FULL_CONTEXT_ARTICLES)
-    whole = article_blocks(few, keys, titled=True).select(*keys, F.lit(0).alias("part"), F.col("blocks_text").alias("text"))
+    few = top_n(slim.join(small, keys, "left_semi"), keys, order, fv.FULL_CONTEXT_ARTICLES)
+    whole = article_blocks(with_bodies(few, articles, keys), keys, titled=True).select(*keys, F.lit(0).alias("part"), F.col("blocks_text").alias("text"))
 
-    many = articles.join(large, keys, "left_semi")
+    many = slim.join(large, keys, "left_semi")
     chosen = representatives(many, keys)
-    head = article_blocks(chosen, keys, titled=True).select(*keys, F.col("blocks_text").alias("head"))
+    head = article_blocks(with_bodies(chosen, articles, keys), keys, titled=True).select(*keys, F.col("blocks_text").alias("head"))
     others = remaining(many.select(*keys, "id", "title", "published_at"), chosen, keys)
     numbered = number_within(others, keys, order, "rank")
     sliced = numbered.withColumn("part", F.floor((F.col("rank") - 1) / titles_per_part).cast("int"))

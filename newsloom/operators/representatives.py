@@ -32,6 +32,11 @@ def representatives(
     return top_n(similarities(articles, keys, vector), keys, order, n, "rank")
 
 
+def with_bodies(chosen: DataFrame, articles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Chosen articles with their ``content``: bodies join the few that were chosen, and none is ranked."""
+    return chosen.join(articles.select(*keys, "id", "content"), [*keys, "id"])
+
+
 def remaining(articles: DataFrame, chosen: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Articles that were not chosen."""
     return articles.join(chosen.select(*keys, "id"), [*keys, "id"], "left_anti")

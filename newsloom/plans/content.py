@@ -9,7 +9,7 @@ from newsloom.functions import fixed_values as fv
 from newsloom.functions import text
 from newsloom.operators.aggregates import keyword_classes, word_counts
 from newsloom.operators.generate import TextModel, article_blocks, generate, pack_context, title_lists
-from newsloom.operators.representatives import representatives
+from newsloom.operators.representatives import representatives, with_bodies
 from newsloom.operators.tables import with_bias
 from newsloom.session import cut_lineage
 
@@ -68,7 +68,7 @@ def summary_prompts(articles: DataFrame) -> DataFrame:
     usable = articles.where(F.col("issue_id").isNotNull() & F.col("content").isNotNull()).select(
         "issue_id", "id", "title", "content", "embedding", "published_at"
     )
-    chosen = representatives(usable, ["issue_id"])
+    chosen = with_bodies(representatives(usable.drop("content"), ["issue_id"]), usable, ["issue_id"])
     blocks = article_blocks(chosen, ["issue_id"], titled=False)
     titled = chosen.groupBy("issue_id").agg(F.count_if(~text.is_blank(F.col("title"))).alias("n_titled"))
     fallback = F.when(F.col("n_titled") > 0, F.format_string(fv.FALLBACK_SUMMARY, F.col("n_blocks"))).otherwise(

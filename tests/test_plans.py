@@ -23,9 +23,9 @@ def formatted(df) -> str:
     return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(entry.ENTRIES) - EAGER))
 def test_no_cross_joins_or_row_udfs(spark, name):
-    shown = plan(entry.queries()[name](spark, SF_DIR))
+    shown = plan(entry.ENTRIES[name].run(spark, SF_DIR))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
         assert bad not in shown
 
@@ -49,3 +49,16 @@ def test_report_reads_two_columns_of_articles(spark):
 
     shown = formatted(issue_stats(t.articles(), t.outlets()))
     assert "text" not in shown.split("ReadSchema")[1].split("\n")[0]
+
+
+def test_bodies_join_after_the_ranking(spark):
+    from newsloom.operators.generate import pack_context
+
+    rows = spark.range(10).select(
+        F.lit("i").alias("issue_id"), F.lit("left").alias("bias"), F.col("id").cast("string").alias("id"), F.lit("t").alias("title"),
+        F.concat(F.lit("body "), "id").alias("content"), F.array(F.rand(1), F.rand(2)).alias("embedding"),
+        F.lit("2024-01-01").cast("timestamp").alias("published_at"),
+    )
+    optimised = pack_context(rows, ["issue_id", "bias"])._jdf.queryExecution().optimizedPlan().toString()
+    ranking = [line for line in optimised.splitlines() if "Window [" in line]
+    assert ranking and not any("content" in line for line in ranking)
