@@ -236,7 +236,10 @@ def nearest_locations(index: RingIndex, visitors: DataFrame, k: int) -> DataFram
 def knn(points: DataFrame, k: int, block: str, key: str = "id", vector: str = "embedding",
         tile: int = TILE) -> DataFrame:
     """``(block, id, neighbour, distance, rank)``: the k nearest other points of the same block, ties by id."""
-    prepared = points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
+    # Written once: points find their locations by their vectors, which a model might not give twice
+    prepared = cut_lineage(
+        points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
+    )
     locs = cut_lineage(locations(prepared, keep_ids=k + 1))
     index = RingIndex(locs, tile)
     pairs = nearest_locations(index, _reach(index, locs, k), k)

@@ -31,7 +31,10 @@ def density_cluster(
     of each other share a cluster; smaller clusters than ``min_cluster_size`` are noise. Without ``eps``,
     each block takes the given quantile of its own core distances.
     """
-    prepared = points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
+    # Written once: points find their locations by their vectors, which a model might not give twice
+    prepared = cut_lineage(
+        points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
+    )
     locs = cut_lineage(locations(prepared))
     index = RingIndex(locs, tile)
     distances = cut_lineage(core_distances(index, locs, min_samples, eps))

@@ -1,6 +1,7 @@
 """Neighbour search, components and clustering against brute force, with small tiles so that pruning is exercised."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,3 +142,14 @@ def test_every_category_in_one_job(spark):
     assert sizes == {"big": 230}  # the small category is below the floor
     per = found.where("cluster_id >= 0").groupBy("cluster_id").count().collect()
     assert per and all(r["count"] >= 15 for r in per)
+
+
+def test_vectors_that_a_model_gives_only_once(spark):
+    @F.pandas_udf("array<double>")
+    def unstable(ids: pd.Series) -> pd.Series:
+        rng = np.random.default_rng()
+        return pd.Series([rng.normal(size=3).tolist() for _ in ids])
+
+    points = spark.range(60).select("id", F.lit("c").alias("block"), unstable.asNondeterministic()("id").alias("embedding"))
+    assert density_cluster(points, "block", eps=0.5).select("id").distinct().count() == 60
+    assert knn(points, 2, "block").select("id").distinct().count() == 60
