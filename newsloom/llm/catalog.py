@@ -104,6 +104,19 @@ sizes AS (SELECT id, count(*) AS n FROM shingles WHERE kind = 'i' GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared, any_value(sizes.n) AS item_shingles
 FROM shingles d JOIN shingles i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' JOIN sizes ON sizes.id = i.id
 GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(sizes.n)""",
+    # all pairs of a label
+    "op5_vector_duplicates": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding,
+    lambda x: x IS NOT NULL AND isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT r.a AS vec_id, (SELECT count(*) FROM links l WHERE l.a = r.a) AS n_links, min(r.b) AS component_id,
+  r.a = min(r.b) AS kept
+FROM reach r GROUP BY r.a""",
     # SHA-1 as base32: each of the 32 letters is five bits of the digest
     "op6_warc": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
@@ -119,4 +132,33 @@ SELECT page_id, strlen(h) AS payload_bytes,
   CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
 FROM bits""",
+    # documents that share a shingle, by the size of what they share
+    "op7_near_duplicates": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM shingles x JOIN shingles y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * common.n >= 80 * (x.n + y.n - common.n)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(sizes.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept
+FROM reach r LEFT JOIN sizes ON sizes.doc_id = r.a GROUP BY r.a""",
+    # these pages' articles: what stands between paragraph and heading tags
+    "op10_page_text": r"""
+WITH blocks AS (
+  SELECT page_id, url, list_transform(string_split_regex(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>'),
+    lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+      '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS b
+  FROM pages),
+texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks)
+SELECT page_id, url, text, length(text) AS n_chars FROM texts""",
 }
