@@ -122,7 +122,8 @@ def contaminated(
     )
     pairs = candidates.groupBy("node").agg(F.collect_set("item").alias("items"))
     found = (
-        source.join(pairs, "node")
+        # by a shuffle at any size: how many documents are candidates has no bound
+        source.join(pairs.hint("merge"), "node")
         # the words are a column of their own, or every shingle would split its text again
         .select("doc_id", "node", "items", words_column(F.col("text")).alias("w"))
         .select("doc_id", "node", "items", shingle_texts(F.col("w"), words).alias("own"))

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.spans import _power, mix
+from newsloom.llm.spans import mix, powers
 from newsloom.llm.tables import gathered, held_out, small_batches, stored
 
 WORD_LETTERS = 31
@@ -142,8 +142,8 @@ class Lattice:
 
 def prefix_of(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     prefix = np.zeros(len(points) + 1, dtype=np.uint64)
-    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * _power("up", len(points)), out=prefix[1:])
-    return prefix, _power("down", len(points) + 1)
+    np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * powers("up", len(points)), out=prefix[1:])
+    return prefix, powers("down", len(points) + 1)
 
 
 def span_key(prefix: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -13,13 +13,13 @@ import numpy as np
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
-_TABLE = np.frombuffer(
+BYTE_TABLE = np.frombuffer(
     b"".join(hashlib.blake2b(bytes([b]), digest_size=8).digest() for b in range(256)), dtype=np.uint64
 )
 _powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
 
 
-def _power(kind: str, n: int) -> np.ndarray:
+def powers(kind: str, n: int) -> np.ndarray:
     """Powers 0..n-1 of BASE or of its inverse; doubled when a longer text comes."""
     have = _powers[kind]
     while len(have) < n:
@@ -47,8 +47,8 @@ class PrefixHash:
         self.bytes = np.frombuffer(data, dtype=np.uint8)
         n = len(self.bytes)
         self.prefix = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_TABLE[self.bytes] * _power("up", n), out=self.prefix[1:])
-        self.down = _power("down", n + 1)
+        np.cumsum(BYTE_TABLE[self.bytes] * powers("up", n), out=self.prefix[1:])
+        self.down = powers("down", n + 1)
 
     def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """A hash of each ``data[start:end]``."""

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.spans import _TABLE, BASE, PrefixHash, _power
+from newsloom.llm.spans import BASE, BYTE_TABLE, PrefixHash, powers
 from newsloom.llm.tables import node_of, small_batches, stored, unused
 
 GRAM = 64
@@ -113,9 +113,9 @@ class Extensions:
         width = max(self.length, default=0)
         rows = np.zeros((len(parts), width), dtype=np.uint64)
         for i, x in enumerate(parts):
-            rows[i, : len(x)] = _TABLE[np.frombuffer(x, dtype=np.uint8)]
+            rows[i, : len(x)] = BYTE_TABLE[np.frombuffer(x, dtype=np.uint8)]
         self.hash = np.zeros((len(parts), width + 1), dtype=np.uint64)
-        np.cumsum(rows * _power("up", width), axis=1, out=self.hash[:, 1:])
+        np.cumsum(rows * powers("up", width), axis=1, out=self.hash[:, 1:])
 
     def common(self, i: int, j: int) -> int:
         """Length of the common extension of two strings: binary search over their prefix hashes."""
