@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.spans import mix, shingles, words_of
-from newsloom.llm.tables import node_of, small_batches, stored
+from newsloom.llm.tables import discard, node_of, small_batches, stored
 from newsloom.operators.components import connected_components
 
 # At similarity 0.8 a pair agrees on a whole band of five with probability 0.33; that none of 30 bands does has
@@ -222,6 +222,7 @@ def near_duplicates(
     roots = connected_components(every.select(F.lit(0).alias("block"), "a", "b")).select(
         F.col("loc").alias("rep"), "root"
     )
+    discard(texts, shared, rest, found, more)
     named = classes.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
     labelled = filled.select("doc_id", "node", "n_shingles", "set_key").join(named, "set_key")
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("least"))

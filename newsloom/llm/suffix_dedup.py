@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.spans import BASE, BYTE_TABLE, PrefixHash, powers
-from newsloom.llm.tables import node_of, small_batches, stored, unused
+from newsloom.llm.tables import discard, node_of, packed, small_batches, stored, unpacked, unused
 
 GRAM = 64
 BLOCK = 4096
@@ -202,7 +202,7 @@ def _cut_contexts(min_bytes: int):
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("gram", "many", "node", "th", "offset", "lo", "copies", "bytes")}
             for row in batch.to_pylist():
-                data = row["text"].encode("utf-8", "surrogatepass")
+                data = unpacked(row["packed"])
                 for x in row["places"]:
                     out["gram"].append(x["gram"])
                     out["many"].append(x["many"])
@@ -301,6 +301,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
     hits = stored(
         found.join(open_grams.select("gram", "context", "copies", "kinds"), ["gram", "context"]), "hits"
     )
+    discard(found)
     whole = hits.where("copies > 1").select(
         "node", "th", F.col("lo").alias("start"), (F.col("hi") + min_bytes).alias("end")
     )
@@ -324,7 +325,8 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
         )
     )
     places = single.unionByName(witness).groupBy("node", "th").agg(F.collect_list("at").alias("places"))
-    one_each = source.join(places, ["node", "th"]).dropDuplicates(["node", "th"])
+    small = source.mapInArrow(_pack(["node", "th"]), "node long, th long, packed binary")
+    one_each = small.join(places, ["node", "th"]).dropDuplicates(["node", "th"])
     cut = stored(
         one_each.mapInArrow(
             _cut_contexts(min_bytes),
@@ -367,20 +369,31 @@ def joined_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def with_spans(docs: DataFrame, min_bytes: int = 400, spans: str = "spans", **options) -> DataFrame:
-    """``docs`` with a column of repeated spans: null where nothing is repeated."""
+def _pack(names: list[str], text: str = "text", to: str = "packed"):
+    def step(batches):
+        for batch in batches:
+            yield pa.record_batch([*(batch.column(n) for n in names), packed(batch.column(text))], names=[*names, to])
+
+    return step
+
+
+def _with_spans(docs: DataFrame, min_bytes: int, spans: str, text: str, **options) -> DataFrame:
+    """``docs`` with compressed texts in the column ``text``, and repeated spans: null where nothing is repeated."""
     node, th = unused(docs, "node"), unused(docs, "th")
     marked = repeated_spans(docs, min_bytes, **options)
     marked = marked.select(F.col("node").alias(node), F.col("th").alias(th), F.col("spans").alias(spans))
     keyed = docs.withColumns({node: node_of("doc_id"), th: F.xxhash64("text")})
-    return keyed.join(marked, [node, th], "left").select(*docs.columns, spans)
+    names = [c for c in keyed.columns if c != "text"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.select(*names).schema)
+    small = small_batches(keyed).mapInArrow(_pack(names, to=text), f"{schema}, `{text}` binary")
+    return small.join(marked, [node, th], "left").drop(node, th)
 
 
 def _digests(batches):
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")}
-        for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-            data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        for text, spans in zip(batch.column("packed"), batch.column("spans").to_pylist(), strict=True):
+            data = unpacked(text.as_py())
             cuts = joined_spans([(x["start"], x["end"]) for x in spans or ()])
             said, at = hashlib.sha256(), 0
             for a, b in cuts:
@@ -401,14 +414,13 @@ def _digests(batches):
 def removal_digests(docs: DataFrame, min_bytes: int = 400, **options) -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``: what removing every repeated byte leaves."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return with_spans(slim, min_bytes, **options).mapInArrow(
+    return _with_spans(slim, min_bytes, "spans", "packed", **options).mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
 
-def _shorten(names: list[str], spans: str):
-    def kept(text: str, spans) -> str:
-        data = text.encode("utf-8", "surrogatepass")
+def _shorten(names: list[str], spans: str, text: str):
+    def kept(data: bytes, spans) -> str:
         out, at = [], 0
         for a, b in joined_spans([(x["start"], x["end"]) for x in spans]):
             # whole characters only: a span that begins or ends inside one leaves that character
@@ -424,8 +436,8 @@ def _shorten(names: list[str], spans: str):
     def step(batches):
         for batch in batches:
             texts = [
-                kept(t.as_py(), s) if s else t.as_py()
-                for t, s in zip(batch.column("text"), batch.column(spans).to_pylist(), strict=True)
+                None if t.as_py() is None else kept(unpacked(t.as_py()), s or ())
+                for t, s in zip(batch.column(text), batch.column(spans).to_pylist(), strict=True)
             ]
             columns = [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names]
             yield pa.record_batch(columns, names=names)
@@ -435,5 +447,6 @@ def _shorten(names: list[str], spans: str):
 
 def without_repeats(docs: DataFrame, min_bytes: int = 400, **options) -> DataFrame:
     """``docs`` without the repeated bytes of their texts; a character is removed as a whole or not at all."""
-    spans = unused(docs, "spans")
-    return with_spans(docs, min_bytes, spans, **options).mapInArrow(_shorten(docs.columns, spans), docs.schema)
+    spans, text = unused(docs, "spans"), unused(docs, "packed")
+    cut = _with_spans(docs, min_bytes, spans, text, **options)
+    return cut.mapInArrow(_shorten(docs.columns, spans, text), docs.schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -41,7 +42,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing that is still to run reads it."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def packed(texts: pa.ChunkedArray | pa.Array) -> pa.Array:
+    """Texts as compressed UTF-8, for shuffles; null stays null."""
+    return pa.array(
+        [None if t is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts.to_pylist()],
+        pa.binary(),
+    )
+
+
+def unpacked(data: bytes | None) -> bytes:
+    return zlib.decompress(data) if data else b""
 
 
 def unused(df: DataFrame, name: str) -> str:
