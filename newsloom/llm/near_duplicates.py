@@ -204,15 +204,19 @@ def near_duplicates(
     rest = placed.join(mixed, "bucket").where("node > least")
     sizes = _own_shingles(texts.join(rest.select("node").distinct(), "node"), words)
     rest = stored(rest.join(sizes, "node", "left").select("bucket", "node", "root", "main", "n", "own"), "mixed")
-    minor = rest.where("root <> main").select(
-        "bucket", F.col("node").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("own").alias("ox")
-    )
+    # a pair is looked at in the least bucket that it shares
+    rest_of = rest.groupBy("node").agg(F.collect_set("bucket").alias("all"))
+    sides = rest.join(rest_of, "node")
+    minor = sides.where("root <> main").select(
+        "bucket", F.col("node").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("own").alias("ox"),
+        F.col("all").alias("ax"),
+    )
     common = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("own"))
     enough = F.coalesce(100 * common >= percent * (F.col("nx") + F.col("n") - common), F.lit(True))
     other = (F.col("root") != F.col("of")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
     across = (
-        minor.join(rest, ["bucket"])
-        .where(other & enough)
+        minor.join(sides, ["bucket"])
+        .where(other & enough & (F.array_min(F.array_intersect("ax", "all")) == F.col("bucket")))
         .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
         .distinct()
     )
