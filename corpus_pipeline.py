@@ -25,9 +25,9 @@ from newsloom.session import configure
 
 # A language is rejected below this probability.
 SURE = 0.5
-# Passages of this many bytes: 51 words take about 330, and hardly ever less than 240. Shorter grams than those of
-# the operator's default keep anchors apart.
-REPEAT_BYTES, REPEAT_GRAM = 230, 40
+# A passage has more than 50 words, however short they are (101 bytes at least), or this many bytes, as texts without
+# spaces and of long words have. Shorter grams than those of the operator's default keep anchors apart.
+REPEAT_WORDS, REPEAT_BYTES, REPEAT_GRAM = 51, 200, 40
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand elsewhere, as long as something is left."""
-    short = without_repeats(docs, min_bytes=REPEAT_BYTES, gram=REPEAT_GRAM)
+    short = without_repeats(docs, min_bytes=REPEAT_BYTES, words=REPEAT_WORDS, gram=REPEAT_GRAM)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     cut = short.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
     return cut.where(F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select(*docs.columns)

@@ -14,7 +14,10 @@ one anchor form a context, the bytes they cover.
    hashes and verified by their bytes, so a hash collision removes nothing.
 4. Grams with more than BLOCK contexts are not sorted in one task: each of their strings is matched by its digest.
 
-Null and empty texts, and those under ``min_bytes``, have no spans. Repeated rows are copies of one another, so
+Where ``words`` are given, a string ends after ``min_bytes`` or where so many words end, whichever comes first; its
+length follows from its own bytes and the end of its last word, so equal passages still give equal strings.
+
+Null and empty texts, and those shorter than a string, have no spans. Repeated rows are copies of one another, so
 all of their long strings are repeated. Null ids: a row is then known by its text. Columns other than id and
 text are passed on untouched.
 """
@@ -36,7 +39,9 @@ BLOCK = 4096
 # Texts are scanned in stretches of this many bytes; low bits of the ordering key hold the place in the stretch.
 STRETCH = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
-ANCHORS = "node long, th long, gram long, context long, p int, lo int, hi int"
+# ``size`` is the length of the string that starts at ``hi``.
+ANCHORS = "node long, th long, gram long, context long, p int, lo int, hi int, size int"
+SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
@@ -49,17 +54,59 @@ def _sliding_min(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
+def string_ends(data: bytes, min_bytes: int, words: int | None = None) -> np.ndarray:
+    """The end of the string that starts at each byte: ``min_bytes`` on, or where ``words`` words end before that.
+
+    What stands before the first space counts as a word. Starts that leave too little come last and are left out.
+    """
+    ends = np.arange(len(data)) + min_bytes
+    if words and len(data):
+        letter = ~SPACES[np.frombuffer(data, dtype=np.uint8)]
+        final = letter & ~np.append(letter[1:], False)
+        word_end = np.flatnonzero(final) + 1
+        nth = np.cumsum(final) - final + words - 1
+        inside = np.flatnonzero(nth < len(word_end))
+        ends[inside] = np.minimum(ends[inside], word_end[nth[inside]])
+    return ends[: np.searchsorted(ends, len(data), side="right")]
+
+
+def _shortest(min_bytes: int, words: int | None) -> int:
+    """Bytes of the shortest string: words of one letter with a space between two."""
+    return min(min_bytes, 2 * words - 1) if words else min_bytes
+
+
+def _owners(key: np.ndarray, ends: np.ndarray, min_bytes: int, gram: int) -> np.ndarray:
+    """The place of the least gram of each string."""
+    width, full = ends - np.arange(len(ends)) - gram + 1, min_bytes - gram + 1
+    least = np.zeros(len(ends), dtype=np.uint64)
+    if len(key) >= full:
+        whole = _sliding_min(key, full)[: len(ends)]
+        least[: len(whole)] = whole
+    short = np.flatnonzero(width < full)
+    power = np.left_shift(1, np.log2(width[short]).astype(np.int64))
+    for size in np.unique(power).tolist():
+        at, table = short[power == size], _sliding_min(key, size)
+        least[at] = np.minimum(table[at], table[at + width[at] - size])
+    return (least & PLACE).astype(np.int64)
+
+
 def anchors(data: bytes, min_bytes: int, gram: int = GRAM):
     """``(p, lo, hi, gram hash, context digest)``: strings starting at lo..hi own the anchor at p."""
-    p, lo, hi, hashes, digests = [], [], [], [], []
-    for base in range(0, max(len(data) - min_bytes + 1, 0), STRETCH):
+    return _anchors(data, min_bytes, gram, None)[:5]
+
+
+def _anchors(data: bytes, min_bytes: int, gram: int, words: int | None):
+    """The same, with the length of the string that starts at hi."""
+    p, lo, hi, hashes, digests, sizes = [], [], [], [], [], []
+    for base in range(0, max(len(data) - _shortest(min_bytes, words) + 1, 0), STRETCH):
         part = data[base : base + STRETCH + min_bytes - 1]
-        if len(part) < min_bytes:
+        ends = string_ends(part, min_bytes, words)[:STRETCH]
+        if not len(ends):
             break
         at = np.arange(len(part) - gram + 1)
         grams = PrefixHash(part).spans(at, at + gram)
         key = (grams & ~PLACE) | at.astype(np.uint64)
-        owner = (_sliding_min(key, min_bytes - gram + 1) & PLACE).astype(np.int64)
+        owner = _owners(key, ends, min_bytes, gram)
         cuts = np.flatnonzero(np.diff(owner)) + 1
         first = np.concatenate([[0], cuts])
         last = np.concatenate([cuts - 1, [len(owner) - 1]])
@@ -69,13 +116,14 @@ def anchors(data: bytes, min_bytes: int, gram: int = GRAM):
         hi += (last + base).tolist()
         hashes += grams[own].view(np.int64).tolist()
         for a, o, b in zip(first.tolist(), own.tolist(), last.tolist(), strict=True):
-            said = hashlib.md5(part[a : b + min_bytes], usedforsecurity=False)
-            said.update((o - a).to_bytes(4, "little"))
+            said = hashlib.md5(part[a : ends[b]], usedforsecurity=False)
+            said.update((o - a).to_bytes(4, "little") + (b - a).to_bytes(4, "little"))
             digests.append(int.from_bytes(said.digest()[:8], "little", signed=True))
-    return p, lo, hi, hashes, digests
+        sizes += (ends[last] - last).tolist()
+    return p, lo, hi, hashes, digests, sizes
 
 
-def _anchor_rows(min_bytes: int, gram: int):
+def _anchor_rows(min_bytes: int, gram: int, words: int | None):
     names = [c.split()[0] for c in ANCHORS.split(", ")]
 
     def step(batches):
@@ -84,9 +132,9 @@ def _anchor_rows(min_bytes: int, gram: int):
                 batch.column("node").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True
             ):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
-                if len(data) < min_bytes:
+                if len(data) < _shortest(min_bytes, words):
                     continue
-                p, lo, hi, hashes, digests = anchors(data, min_bytes, gram)
+                p, lo, hi, hashes, digests, sizes = _anchors(data, min_bytes, gram, words)
                 n = len(p)
                 yield pa.record_batch(
                     [
@@ -97,6 +145,7 @@ def _anchor_rows(min_bytes: int, gram: int):
                         pa.array(p, pa.int32()),
                         pa.array(lo, pa.int32()),
                         pa.array(hi, pa.int32()),
+                        pa.array(sizes, pa.int32()),
                     ],
                     names=names,
                 )
@@ -160,34 +209,43 @@ class Extensions:
         return out
 
 
-def repeated_starts(contexts: list[bytes], offset: list[int], min_bytes: int) -> list[np.ndarray]:
+def _context_ends(context: bytes, last: int, min_bytes: int, words: int | None) -> np.ndarray:
+    """The ends of the strings that start at 0..last of a context; the last one ends with it."""
+    return string_ends(context, min_bytes, words)[: last + 1]
+
+
+def repeated_starts(
+    contexts: list[bytes], offset: list[int], min_bytes: int, ends: list[np.ndarray] | None = None
+) -> list[np.ndarray]:
     """For contexts of one gram, each anchored at its offset: the starts of strings that another context holds."""
     right = Extensions([c[o:] for c, o in zip(contexts, offset, strict=True)])
     left = Extensions([c[:o][::-1] for c, o in zip(contexts, offset, strict=True)])
     to_right, to_left = right.reach(), left.reach()
-    which, back = [], []
-    for i, (c, o) in enumerate(zip(contexts, offset, strict=True)):
-        # a string starts up to o bytes before the anchor and ends within the context
-        most = min(o, int(to_left[i]))
-        least = max(o - (len(c) - min_bytes), min_bytes - int(to_right[i]), 0)
-        if least <= most:
-            back.append(np.arange(least, most + 1))
-            which.append(np.full(most + 1 - least, i))
+    ends = [string_ends(c, min_bytes) for c in contexts] if ends is None else ends
+    which, starts = [], []
+    for i, o in enumerate(offset):
+        # a string starts at the anchor or before it, and both extensions hold it
+        s = np.arange(min(o + 1, len(ends[i])))
+        s = s[(o - s <= to_left[i]) & (ends[i][: len(s)] - o <= to_right[i])]
+        starts.append(s)
+        which.append(np.full(len(s), i))
     found: list[list[int]] = [[] for _ in contexts]
-    if which:
-        i, l = np.concatenate(which), np.concatenate(back)  # noqa: E741
-        key = (left.hash[i, l] * np.uint64(BASE) + right.hash[i, min_bytes - l]) * np.uint64(0x9E3779B97F4A7C15)
-        key += l.astype(np.uint64)
+    if sum(map(len, which)):
+        i, s = np.concatenate(which), np.concatenate(starts)
+        e = np.concatenate([ends[k][x] for k, x in enumerate(starts)])
+        o = np.array(offset, dtype=np.int64)[i]
+        key = (left.hash[i, o - s] * np.uint64(BASE) + right.hash[i, e - o]) * np.uint64(0x9E3779B97F4A7C15)
+        key += ((o - s) + ((e - s) << 32)).astype(np.uint64)
         _, first, inverse, count = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
         partner = first[inverse]
         for x in np.flatnonzero(count[inverse] > 1):
-            a, b = int(i[x]), int(i[partner[x]])
+            y = partner[x]
+            a, b = int(i[x]), int(i[y])
             if a == b:  # the first of its kind is verified by those that follow
                 continue
-            s, t = offset[a] - int(l[x]), offset[b] - int(l[x])
-            if contexts[a][s : s + min_bytes] == contexts[b][t : t + min_bytes]:
-                found[a].append(s)
-                found[b].append(t)
+            if contexts[a][s[x] : e[x]] == contexts[b][s[y] : e[y]]:
+                found[a].append(int(s[x]))
+                found[b].append(int(s[y]))
     return [np.unique(np.array(x, dtype=np.int64)) for x in found]
 
 
@@ -197,10 +255,10 @@ def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1])) for x in np.split(starts, cuts) if len(x)]
 
 
-def _cut_contexts(min_bytes: int):
+def _cut_contexts():
     def step(batches):
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("gram", "many", "node", "th", "offset", "lo", "copies", "bytes")}
+            out: dict[str, list] = {k: [] for k in ("gram", "many", "node", "th", "offset", "lo", "last", "copies", "bytes")}
             for row in batch.to_pylist():
                 data = unpacked(row["packed"])
                 for x in row["places"]:
@@ -210,8 +268,9 @@ def _cut_contexts(min_bytes: int):
                     out["th"].append(row["th"])
                     out["offset"].append(x["p"] - x["lo"])
                     out["lo"].append(x["lo"])
+                    out["last"].append(x["hi"] - x["lo"])
                     out["copies"].append(x["copies"])
-                    out["bytes"].append(data[x["lo"] : x["hi"] + min_bytes])
+                    out["bytes"].append(data[x["lo"] : x["hi"] + x["size"]])
             yield pa.record_batch(
                 [
                     pa.array(out["gram"], pa.int64()),
@@ -220,6 +279,7 @@ def _cut_contexts(min_bytes: int):
                     pa.array(out["th"], pa.int64()),
                     pa.array(out["offset"], pa.int32()),
                     pa.array(out["lo"], pa.int32()),
+                    pa.array(out["last"], pa.int32()),
                     pa.array(out["copies"], pa.int64()),
                     pa.array(out["bytes"], pa.binary()),
                 ],
@@ -229,16 +289,17 @@ def _cut_contexts(min_bytes: int):
     return step
 
 
-def _sorted_groups(min_bytes: int):
+def _sorted_groups(min_bytes: int, words: int | None):
     """Rows come sorted by gram; one gram's contexts are held at a time."""
 
     def solve(rows):
         out = []
         if len(rows) > 1:
-            starts = repeated_starts([r["bytes"] for r in rows], [r["offset"] for r in rows], min_bytes)
-            for r, s in zip(rows, starts, strict=True):
+            ends = [_context_ends(r["bytes"], r["last"], min_bytes, words) for r in rows]
+            starts = repeated_starts([r["bytes"] for r in rows], [r["offset"] for r in rows], min_bytes, ends)
+            for r, s, e in zip(rows, starts, ends, strict=True):
                 if r["copies"] == 1:
-                    out += [(r["node"], r["th"], a + r["lo"], b + r["lo"] + min_bytes) for a, b in _runs(s)]
+                    out += [(r["node"], r["th"], a + r["lo"], int(e[b]) + r["lo"]) for a, b in _runs(s)]
         return out
 
     def step(batches):
@@ -264,37 +325,47 @@ def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _strings(min_bytes: int):
+def _strings(min_bytes: int, words: int | None):
     """Every string of a context with its digest, for grams that are too frequent to be sorted together."""
 
     def step(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                data, n = row["bytes"], len(row["bytes"]) - min_bytes + 1
-                said = b"".join(hashlib.md5(data[s : s + min_bytes], usedforsecurity=False).digest() for s in range(n))
+                data = row["bytes"]
+                ends = _context_ends(data, row["last"], min_bytes, words)
+                n = len(ends)
+                said = b"".join(
+                    hashlib.md5(data[s:e], usedforsecurity=False).digest() for s, e in enumerate(ends.tolist())
+                )
                 two = np.frombuffer(said, dtype=np.int64).reshape(n, 2)
                 yield pa.record_batch(
                     [
                         pa.array(np.full(n, row["node"], dtype=np.int64)),
                         pa.array(np.full(n, row["th"], dtype=np.int64)),
                         pa.array((np.arange(n) + row["lo"]).astype(np.int32)),
+                        pa.array((ends + row["lo"]).astype(np.int32)),
                         pa.array(np.full(n, row["copies"], dtype=np.int64)),
                         pa.array(np.ascontiguousarray(two[:, 0])),
                         pa.array(np.ascontiguousarray(two[:, 1])),
                     ],
-                    names=["node", "th", "start", "copies", "d1", "d2"],
+                    names=["node", "th", "start", "end", "copies", "d1", "d2"],
                 )
 
     return step
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def repeated_spans(
+    docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, block: int = BLOCK, words: int | None = None
+) -> DataFrame:
     """``(node, th, spans)`` of the texts that hold repeated strings; spans may overlap.
 
+    A string counts from ``min_bytes`` bytes on, and if ``words`` are given from so many words on, however short.
     ``node`` and ``th`` are ``node_of`` the row and the hash of its text; a span is (start, end) in bytes.
     """
+    if gram > _shortest(min_bytes, words):
+        raise ValueError(f"a gram of {gram} bytes does not fit into the shortest string")
     source = small_batches(docs.select(node_of("doc_id").alias("node"), F.xxhash64("text").alias("th"), "text"))
-    found = stored(source.mapInArrow(_anchor_rows(min_bytes, gram), ANCHORS), "anchors")
+    found = stored(source.mapInArrow(_anchor_rows(min_bytes, gram, words), ANCHORS), "anchors")
     contexts = found.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("copies"))
     grams = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all"))
     open_grams = contexts.join(grams.where("all > 1"), "gram")
@@ -303,13 +374,15 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
     )
     discard(found)
     whole = hits.where("copies > 1").select(
-        "node", "th", F.col("lo").alias("start"), (F.col("hi") + min_bytes).alias("end")
+        "node", "th", F.col("lo").alias("start"), (F.col("hi") + F.col("size")).alias("end")
     )
 
     # one copy of each context of a gram that has several
-    place = F.struct("node", "th", "p", "lo", "hi")
+    place = F.struct("node", "th", "p", "lo", "hi", "size")
     single = hits.where("kinds > 1 AND copies = 1").select(
-        "node", "th", F.struct("gram", (F.col("kinds") > block).alias("many"), "p", "lo", "hi", "copies").alias("at")
+        "node",
+        "th",
+        F.struct("gram", (F.col("kinds") > block).alias("many"), "p", "lo", "hi", "size", "copies").alias("at"),
     )
     witness = (
         hits.where("kinds > 1 AND copies > 1")
@@ -320,7 +393,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
             "w.th",
             F.struct(
                 "gram", (F.col("kinds") > block).alias("many"), F.col("w.p").alias("p"), F.col("w.lo").alias("lo"),
-                F.col("w.hi").alias("hi"), "copies",
+                F.col("w.hi").alias("hi"), F.col("w.size").alias("size"), "copies",
             ).alias("at"),
         )
     )
@@ -329,18 +402,18 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
     one_each = small.join(places, ["node", "th"]).dropDuplicates(["node", "th"])
     cut = stored(
         one_each.mapInArrow(
-            _cut_contexts(min_bytes),
-            "gram long, many boolean, node long, th long, offset int, lo int, copies long, bytes binary",
+            _cut_contexts(),
+            "gram long, many boolean, node long, th long, offset int, lo int, last int, copies long, bytes binary",
         ),
         "contexts",
     )
     spans = "node long, th long, start int, end int"
     few = cut.where("NOT many").repartition("gram").sortWithinPartitions("gram").mapInArrow(
-        _sorted_groups(min_bytes), spans
+        _sorted_groups(min_bytes, words), spans
     )
     strings = stored(
         cut.where("many").mapInArrow(
-            _strings(min_bytes), "node long, th long, start int, copies long, d1 long, d2 long"
+            _strings(min_bytes, words), "node long, th long, start int, end int, copies long, d1 long, d2 long"
         ),
         "strings",
     )
@@ -348,7 +421,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 400, gram: int = GRAM, bloc
     many = (
         strings.where("copies = 1")
         .join(again.select("d1", "d2"), ["d1", "d2"])
-        .select("node", "th", "start", (F.col("start") + min_bytes).alias("end"))
+        .select("node", "th", "start", "end")
     )
     return (
         whole.unionByName(few)

@@ -1,5 +1,7 @@
 """Each stage of the pipeline against a plain version of it, on what the stage before has kept."""
 
+import random
+
 import regex
 
 import corpus_pipeline as pipeline
@@ -120,3 +122,14 @@ def test_run_gives_the_rows_of_the_stages(spark, tmp_path):
 def test_empty_tables(spark, tmp_path):
     tables(spark, str(tmp_path), [])
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_passages_of_more_than_fifty_short_words_are_cut(spark, tmp_path):
+    rng = random.Random(4)
+    short = " ".join(rng.choice("abcdefghij") for _ in range(51))
+    rows = documents(seed=3)[:4]
+    rows = [(r[0], f"{r[1]} {short}", *r[2:]) for r in rows]
+    tables(spark, str(tmp_path), rows)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id <> 500")
+    for r in pipeline.repeats(spark, docs, str(tmp_path)).collect():
+        assert short not in r["text"] and r["n_chars"] == len(r["text"])

@@ -76,3 +76,54 @@ def test_equal_strings_own_equal_anchors():
     assert sorted(left) == list(range(len(a) - size + 1))
     for s in range(len(inner) - size + 1):
         assert left[777 + s] == right[s]
+
+
+def brute_words(rows, size, words):
+    """Strings of ``size`` bytes, or of ``words`` words if those are shorter, that occur twice."""
+
+    def ends(b):
+        out = []
+        for s in range(len(b)):
+            e, n = s, 0
+            while n < words and e < len(b):
+                while e < len(b) and b[e : e + 1].isspace():
+                    e += 1
+                n += e < len(b)
+                while e < len(b) and not b[e : e + 1].isspace():
+                    e += 1
+            stop = min(e, s + size) if n == words else s + size
+            if stop <= len(b):
+                out.append((s, stop))
+        return out
+
+    data = [(key, text.encode()) for key, text in rows]
+    seen = Counter(b[s:e] for _, b in data for s, e in ends(b))
+    kept = {}
+    for key, b in data:
+        at, out = 0, b""
+        for s, e in joined_spans([(s, e) for s, e in ends(b) if seen[b[s:e]] > 1]):
+            out, at = out + b[at:s], e
+        kept[key] = (out + b[at:]).decode()
+    return kept
+
+
+@pytest.mark.parametrize("block", [4096, 1])
+def test_passages_of_short_words(spark, block):
+    """Over 50 words in fewer than 200 bytes are a passage; 50 words of that length are none."""
+    rng = random.Random(6)
+
+    def said(n, length=1):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, length))) for _ in range(n))
+
+    short, fifty, changed, twin = said(51), said(50), said(70, 2), said(51)
+    rows = [
+        (1, f"{said(60, 9)} {short} {said(90, 9)}"), (2, f"{said(200, 9)}\n{short}"), (3, short),
+        (4, f"{said(60, 9)} {fifty} {said(60, 9)}"), (5, f"{said(40, 9)} {fifty}"),
+        (6, f"{changed} {said(80, 3)}"), (7, f"{said(40, 4)} {changed[:-1]}?"), (8, changed[1:] + "x"),
+        (9, f"{said(30, 9)} {twin} {said(30)} {twin}"), (10, "x" * 450), (11, "y" * 150), (12, "z " * 90),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in without_repeats(docs, 200, words=51, gram=40, block=block).collect()}
+    assert found == brute_words(rows, 200, 51)
+    assert found[3] == "" and short not in found[1] + found[2] and twin not in found[9]
+    assert fifty in found[4] and fifty in found[5]
