@@ -1,7 +1,8 @@
 """A training-data pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 1. language: documents whose language cannot be told go.
-2. near_duplicates: of each group of near-duplicates (5-word shingles, similarity 0.8 and more) one stays.
+2. near_duplicates: of each group of near-duplicates (5-word shingles, similarity 0.8 and more) one stays, and of
+   repeated rows one.
 3. repeats: passages that stand elsewhere are cut out; a document of which nothing is left goes.
 4. decontaminate: documents that hold a benchmark item (0.8 of its 5-word shingles and more) go.
 5. mixture: sources are mixed to their weights; ``copies`` says how often a document is taken.
@@ -46,9 +47,28 @@ def _without(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group, and all documents without words."""
+    """The document of the smallest id of each group, and all documents without words.
+
+    Of repeated rows (same id, or none, and same text) one stays; other texts of its id stay beside it. Which one follows from
+    the other columns. Repeated rows are counted by hashes, and only ids that have some are looked at as texts.
+    """
     groups = near_duplicates(docs, words=5, percent=80)
-    return _without(docs, groups.where("node <> chosen").select("node").distinct())
+    gone = stored(groups.where("node <> chosen").select("node").distinct(), "gone")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    hashes = docs.where(worded).select(node_of("doc_id").alias("node"), F.xxhash64("text").alias("th"))
+    twice = hashes.groupBy("node", "th").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = stored(twice.select("node").distinct(), "twice")
+
+    node = unused(docs, "node")
+    again = docs.withColumn(node, node_of("doc_id")).join(twice.withColumnRenamed("node", node), node, "left_semi")
+    row = F.struct(*docs.columns)
+    one_each = (
+        again.where(worded).select(F.col(node).alias("node"), "text", row.alias("row"))
+        .groupBy("node", "text").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        .select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    )
+    checked = one_each.unionByName(again.where(~worded).select(*docs.columns))
+    return _without(docs, gone.unionByName(twice).distinct()).unionByName(_without(checked, gone))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Each stage of the pipeline against a plain version of it, on what the stage before has kept."""
 
 import random
+from collections import Counter
 
 import regex
 
@@ -133,3 +134,22 @@ def test_passages_of_more_than_fifty_short_words_are_cut(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet").where("doc_id <> 500")
     for r in pipeline.repeats(spark, docs, str(tmp_path)).collect():
         assert short not in r["text"] and r["n_chars"] == len(r["text"])
+
+
+def test_one_of_repeated_rows_stays(spark, tmp_path):
+    """Copies with ids, without ids, and with other columns; long ones would be cut out of one another."""
+    plain = documents(seed=3)[:6]
+    other = plain[5][0], sentence(random.Random(1), "de", 60), *plain[5][2:]
+    null = None, sentence(random.Random(2), "en", 90), *plain[0][2:]
+    also = *plain[3][:3], "s8", *plain[3][4:]
+    blank = 99, " ", *plain[0][2:]
+    rows = plain + plain[2:4] * 3 + [also, other, other, null, null, null, blank, blank]
+    folder = str(tmp_path)
+    tables(spark, folder, rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id IS NULL OR doc_id <> 500")
+    kept = pipeline.near_duplicate_groups(spark, docs, folder).collect()
+    wanted = [(r[0], r[1]) for r in [*plain, other, null, blank, blank]]
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter(wanted)
+    pipeline.near_duplicate_groups(spark, docs, folder).write.parquet(f"{folder}/near")
+    left = pipeline.repeats(spark, spark.read.parquet(f"{folder}/near"), folder).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == Counter((i, t) for i, t in wanted if t.strip())
