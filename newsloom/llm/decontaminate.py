@@ -4,9 +4,10 @@ Documents are partitioned by the size of their shingle set; partition i holds se
 a partition every set is sketched by one-permutation MinHash with 2 * 4^i bins: the leading bits of a shingle's
 hash are its bin, and each bin keeps its least hash. The number of bins follows the size of the partition, so a
 shingle of a long document is the least of its bin as often as one of a short document, with probability 0.79
-at least; a short item is therefore found in a document of any length. An item is sketched once for each
-partition. Equal bins make a candidate: an item of which m shingles are shared is missed with probability 0.21^m
-at most. Candidates are verified on the exact shingles, as text.
+at least. An item is sketched once for each partition. Equal bins make a candidate: an item of which m shingles are
+shared is missed with probability 0.21^m at most, 4e-6 from SURE_SHARED = 8 on. Items that may share fewer at the
+threshold (up to 12 words, at 0.8 of 5-word shingles) are not sketched: each of their shingles is looked up among all
+shingles of the documents, so that none is missed. Candidates are verified on the exact shingles, as text.
 
 Null or empty texts contain nothing and are contained in nothing. A text of fewer words than a shingle is one
 shingle. Rows that share an id are one document, of which any may hold an item; rows and items without id are known
@@ -24,6 +25,8 @@ from newsloom.llm.tables import node_of, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 PARTITIONS = 16  # the last holds sets of up to 4^15 shingles and more
+# Items that need fewer shared shingles than this are looked up by every shingle.
+SURE_SHARED = 8
 # Rows of the items' sketches that are broadcast (about 40 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -94,14 +97,19 @@ def contaminated(
             )
         )
     )
+    hashed = items.select("item", hashed_item.alias("h"), (F.ceil(F.lit(threshold) * F.size("shingles"))).alias("need"))
+    few = hashed.where(F.col("need") < SURE_SHARED).select("item", F.explode("h").alias("least"))
+    direct = few.select("item", F.col("least").bitwiseXOR(F.lit(PARTITIONS).cast("long")).alias("key"))
     entries = (
-        items.select("item", hashed_item.alias("h"))
+        hashed.where(F.col("need") >= SURE_SHARED)
         .select("item", "h", F.explode(F.sequence(F.lit(0), F.lit(PARTITIONS - 1))).alias("part"))
         .where(F.pow(F.lit(4.0), F.col("part")) >= F.lit(threshold) * F.size("h"))
         .select("item", "part", F.explode(_sketch(F.col("h"), F.col("part"))).alias("least"))
         .select("item", F.col("least").bitwiseXOR(F.col("part").cast("long")).alias("key"))
     )
-    entries = stored(entries.distinct(), "entries")
+    direct = stored(direct.distinct(), "direct")
+    looked_up = direct.count()
+    entries = stored(entries.unionByName(direct).distinct(), "entries")
     held = entries.count()
 
     source = docs.select("doc_id", node_of("doc_id").alias("node"), "text")
@@ -114,9 +122,11 @@ def contaminated(
         .select("node", shingle_hashes(F.col("w"), words).alias("h"))
         .select("node", "h", _part(F.size("h")).alias("part"))
     )
-    sketched = hashes.select("node", "part", F.explode_outer(_sketch(F.col("h"), F.col("part"))).alias("least")).select(
-        "node", F.col("least").bitwiseXOR(F.col("part").cast("long")).alias("key")
-    )
+    keys = F.transform(_sketch(F.col("h"), F.col("part")), lambda x: x.bitwiseXOR(F.col("part").cast("long")))
+    if looked_up:
+        # a number that no partition has keeps these keys apart
+        keys = F.concat(keys, F.transform("h", lambda x: x.bitwiseXOR(F.lit(PARTITIONS).cast("long"))))
+    sketched = hashes.select("node", F.explode_outer(keys).alias("key"))
     candidates = stored(
         sketched.join(_guarded(entries, held, limit), "key").select("node", "item").distinct(), "candidates"
     )

@@ -53,3 +53,16 @@ def test_no_python_on_the_main_path(spark):
     benchmark = spark.createDataFrame(items(documents()), "item_id long, text string")
     plan = contaminated(frame(spark), benchmark)._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "MapInArrow", "ArrowEval"))
+
+
+@pytest.mark.parametrize("limit", [module.BROADCAST_ROWS, 0])
+def test_short_items_in_long_documents(spark, limit):
+    """Items of 5 to 12 words, some of them changed at the end, each in a document of thousands of words."""
+    words = [f"w{i}" for i in range(9000)]
+    docs = [(1, " ".join(words), None), (2, " ".join(words[4500:]), None)]
+    wanted = [(100 * n + k, " ".join(words[700 * k + 60 * n :][:n])) for n in range(5, 13) for k in range(12)]
+    wanted += [(5000 + n, " ".join(words[8000 + 20 * n :][: n - 1] + ["changed"])) for n in range(5, 13)]
+    benchmark = spark.createDataFrame(wanted, "item_id long, text string")
+    frame_of = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    found = contaminated(frame_of, benchmark, limit=limit).select("doc_id", "item_id", "shared", "item_shingles")
+    assert {tuple(r) for r in found.collect()} == brute(docs, wanted)
