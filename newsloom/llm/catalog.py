@@ -13,8 +13,10 @@ from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
 from newsloom.llm.page_text import page_texts
 from newsloom.llm.suffix_dedup import removal_digests
+from newsloom.llm.token_files import token_digests
 from newsloom.llm.vector_duplicates import vector_duplicates
 from newsloom.llm.warc import archived_pages
+from newsloom.llm.whitening import whitened
 from newsloom.session import configure
 
 
@@ -74,6 +76,16 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written in frequency-ranked variable-length files and read back."""
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whitened by the 16 leading eigenvectors of their covariance."""
+    return whitened(table(spark, sf_dir, "embeddings"), components=16)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_mix_sources": op2_mix_sources,
@@ -85,6 +97,8 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_page_text": op10_page_text,
+    "op12_token_files": op12_token_files,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {

@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +56,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shared_files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder in the shared folder, for tasks that write files of their own formats.
+
+    Hadoop has names of its own for some stores' schemes.
+    """
+    scheme, mark, rest = folder.partition("://")
+    known = {"s3a": "s3", "s3n": "s3"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}{mark}{rest}" if mark else folder)
+
+
 def packed(texts: pa.ChunkedArray | pa.Array) -> pa.Array:
     """Texts as compressed UTF-8, for shuffles; null stays null."""
     return pa.array(
