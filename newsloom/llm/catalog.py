@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.context_trees import score_texts
 from newsloom.llm.decontaminate import contaminated
 from newsloom.llm.language import predicted_languages
+from newsloom.llm.lexical_search import ranked_documents
 from newsloom.llm.licenses import scan_licenses
 from newsloom.llm.mixing import mix_sources
 from newsloom.llm.near_duplicates import near_duplicates
@@ -76,6 +77,11 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_documents(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written in frequency-ranked variable-length files and read back."""
     return token_digests(table(spark, sf_dir, "documents"))
@@ -97,6 +103,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_language": op9_language,
     "op10_page_text": op10_page_text,
+    "op11_ranked_search": op11_ranked_search,
     "op12_token_files": op12_token_files,
     "op13_whitening": op13_whitening,
 }
@@ -175,4 +182,27 @@ WITH blocks AS (
   FROM pages),
 texts AS (SELECT page_id, url, array_to_string(list_filter(b, lambda x: x <> ''), chr(10) || chr(10)) AS text FROM blocks)
 SELECT page_id, url, text, length(text) AS n_chars FROM texts""",
+    # every document's score for every item
+    "op11_ranked_search": r"""
+WITH words AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM documents
+  UNION ALL
+  SELECT 'i', item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))
+  FROM benchmark),
+d AS (SELECT id, t, count(*) AS tf FROM words WHERE kind = 'd' GROUP BY id, t),
+i AS (SELECT id, t, count(*) AS times FROM words WHERE kind = 'i' GROUP BY id, t),
+sizes AS (SELECT id, sum(tf)::BIGINT AS n FROM d GROUP BY id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+m AS (SELECT id, 25 + ((75 * n * docs) // length) AS m FROM sizes, whole),
+w AS (
+  SELECT t, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM d, whole WHERE t IN (SELECT t FROM i) GROUP BY t),
+scores AS (
+  SELECT i.id AS item_id, d.id AS doc_id, sum(i.times * w.w * ((1000000000 * d.tf) // (1000 * d.tf + 8 * m.m)))::BIGINT AS score
+  FROM i JOIN w ON i.t = w.t JOIN d ON d.t = i.t JOIN m ON m.id = d.id GROUP BY i.id, d.id)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
