@@ -11,7 +11,9 @@ from newsloom.functions import fixed_values as fv
 from newsloom.functions import numbers
 from newsloom.operators import aggregates, generate, representatives, tables, windows
 from newsloom.plans import content, refine, report
+from newsloom.session import scratch_path
 from newsloom.sources import sinks
+from newsloom.sources.keyed_table import KeyedTable
 
 WORD = "[A-Za-z]{2,}"
 RUN = "run-1"
@@ -412,6 +414,17 @@ def _(t: Tables):
     return sinks.apply_issue_ids(t.articles(), sinks.issue_bridge(issues, groups)).select("id", "issue_id")
 
 
+@query("snk7_pointers_written", f"""{SQL_GROUPS}, bridge AS (SELECT {SQL_ISSUE_ID} AS issue_id, f.id AS article_id FROM top3 t
+ JOIN final f USING (category, group_key)) SELECT a.id, coalesce(b.issue_id, a.issue_id) AS issue_id FROM articles a
+ LEFT JOIN bridge b ON b.article_id = a.id""")
+def _(t: Tables):
+    groups = _final_groups(t)
+    issues = sinks.issue_rows(refine.rank_groups(groups, t.outlets()), RUN, F.lit(None))
+    table = KeyedTable.create(t.articles().select("id", "issue_id"), scratch_path(t.spark, "pointers"), "id", 16)
+    sinks.write_issue_ids(table, sinks.issue_bridge(issues, groups))
+    return table.rows()
+
+
 # --- generated content ----------------------------------------------------------------------
 
 @query("gen1_batch_generation", "SELECT conv_id, turn, CASE WHEN contains(text, 'you') THEN role ELSE md5(text) END AS answer "

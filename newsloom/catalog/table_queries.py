@@ -9,6 +9,7 @@ from newsloom.operators import aggregates, tables, windows
 from newsloom.plans import ingest, inspection
 from newsloom.session import scratch_path
 from newsloom.sources import scans, sinks
+from newsloom.sources.keyed_table import KeyedTable
 
 AS_OF = "2024-01-25T00:00:00Z"
 SQL_AS_OF = "TIMESTAMP '2024-01-25 00:00:00'"
@@ -261,15 +262,58 @@ def _(t: Tables):
     )
 
 
-@query("snk4_rewritten_partitions", f"""WITH {SQL_ARTICLES} SELECT id, media_id,
+@query("snk2_merged_table", """SELECT user_id, max(event_id) AS event_id,
+ CAST(max(epoch_us(ts)) AS BIGINT) AS ts FROM (SELECT user_id, event_id, ts, row_number() OVER
+ (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id""")
+def _(t: Tables):
+    # The views make the table, other events come in; they come twice, as after a failure.
+    events = t.raw("events")
+
+    def rows(which: str):
+        return events.where(which).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "event_id")
+
+    order = [F.desc("ts"), F.desc("event_id")]
+    table = KeyedTable.create(rows("event_type = 'view'"), scratch_path(t.spark, "latest"), "user_id", 8, newest=order)
+    for _ in range(2):
+        table.upsert(rows("event_type <> 'view'"), "ts")
+    return table.rows()
+
+
+# Rows whose outlet changes leave their old partition: to none, to one that is new, to one that others leave.
+SQL_MOVED = """CASE CAST(id AS BIGINT) % 5 WHEN 1 THEN 'moved' WHEN 2 THEN 'src1' ELSE media_id END"""
+
+
+@query("snk4_merged_rows", f"""WITH {SQL_ARTICLES}, stored AS (SELECT id, title, is_preprocessed,
+ CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN NULL ELSE media_id END AS media_id FROM articles)
+ SELECT id, CASE WHEN is_preprocessed THEN title ELSE '* ' || title END AS title, true AS is_preprocessed,
+ CASE WHEN is_preprocessed THEN media_id ELSE {SQL_MOVED} END AS media_id FROM stored""")
+def _(t: Tables):
+    # Partitions that are null, rows that move between them, updates that come twice, a merge that runs again.
+    outlet = F.when(F.col("id").cast("long") % 7 != 0, F.col("media_id"))
+    stored = t.articles().select("id", "title", "is_preprocessed", outlet.alias("media_id"))
+    table = KeyedTable.create(stored, scratch_path(t.spark, "merged"), "id", 16, by="media_id")
+    number = F.col("id").cast("long") % 5
+    moved = F.when(number == 1, F.lit("moved")).when(number == 2, F.lit("src1"))
+    cleaned = stored.where("NOT is_preprocessed").select(
+        "id", F.concat(F.lit("* "), "title").alias("title"), F.lit(True).alias("is_preprocessed"), moved.alias("media_id")
+    )
+    for _ in range(2):
+        table.update(cleaned.unionByName(cleaned))
+    return table.rows()
+
+
+@query("snk4_rewritten_partitions", f"""WITH {SQL_ARTICLES} SELECT id,
+ CASE WHEN media_id IN ('src1', 'src4') AND NOT is_preprocessed AND CAST(id AS BIGINT) % 3 = 0 THEN 'src2'
+      ELSE media_id END AS media_id,
  CASE WHEN media_id IN ('src1', 'src4') AND NOT is_preprocessed THEN '* ' || title ELSE title END AS title,
  is_preprocessed OR media_id IN ('src1', 'src4') AS is_preprocessed FROM articles""")
 def _(t: Tables):
-    # Two of the stored partitions hold rows to rewrite; run twice, as after a failure.
+    # Two of the stored partitions hold rows to rewrite, and some of them move to a third; run twice, as after a failure.
     target = scratch_path(t.spark, "articles")
     sinks.append(t.articles().select("id", "title", "media_id", "is_preprocessed"), target, by="media_id")
     cleaned = t.articles().where("NOT is_preprocessed AND media_id IN ('src1', 'src4')").select(
-        "id", F.concat(F.lit("* "), "title").alias("title"), F.lit(True).alias("is_preprocessed")
+        "id", F.concat(F.lit("* "), "title").alias("title"), F.lit(True).alias("is_preprocessed"),
+        F.when(F.col("id").cast("long") % 3 == 0, F.lit("src2")).alias("media_id"),
     )
     for _ in range(2):
         sinks.rewrite_rows(target, cleaned, "media_id")
@@ -300,6 +344,33 @@ def _(t: Tables):
     return tables.saved_ratio(t.raw("documents"), t.raw("labels"), "doc_id")
 
 
+@query("snk5_embeddings_written", "SELECT CAST(vec_id AS VARCHAR) AS id, label AS category, len(embedding) AS size, "
+       "CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings")
+def _(t: Tables):
+    # Vectors of the articles that have none are written in two batches, and read back from the table.
+    vectors = t.vectors()
+    waiting = vectors.withColumn("embedding", F.when(F.col("category") != 0, F.col("embedding")))
+    table = KeyedTable.create(waiting, scratch_path(t.spark, "vectors"), "id", 16)
+    missing = vectors.where("category = 0").select("id", "embedding")
+    for half in (0, 1):
+        sinks.write_embeddings(table, missing.where(F.pmod(F.hash("id"), F.lit(2)) == half))
+    ends = [F.element_at("embedding", i).cast("double").alias(n) for i, n in ((1, "first"), (-1, "last"))]
+    return table.rows().select("id", "category", F.size("embedding").alias("size"), *ends)
+
+
+@query("snk8_titles_written", f"{SQL_BASE} SELECT id, CASE WHEN id IN ('en', 'fr') THEN 'new ' || id ELSE title END AS title, "
+       "source FROM issues")
+def _(t: Tables):
+    issues = t.issues().select("id", "title", "source")
+    table = KeyedTable.create(issues, scratch_path(t.spark, "issues"), "id", 4)
+    titles = issues.select(
+        "id", F.when(F.col("id").isin("en", "fr"), F.concat(F.lit("new "), "id")).otherwise(F.col("title")).alias("title")
+    )
+    for _ in range(2):  # the second time no title differs, and nothing is written
+        sinks.write_titles(table, titles)
+    return table.rows()
+
+
 @query("snk8_changed_titles", f"{SQL_BASE} SELECT id, title AS old_value, CASE WHEN id IN ('en', 'fr') THEN 'new ' || id "
        "ELSE title END AS new_value FROM issues WHERE id IN ('en', 'fr')")
 def _(t: Tables):

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from newsloom import schemas
 from newsloom.functions import fixed_values as fv
 from newsloom.operators.tables import changed_rows, keyed_update, saved_ratio
+from newsloom.operators.windows import keep_first
 from newsloom.session import cut_lineage
+from newsloom.sources.keyed_table import KeyedTable
 
 
 def new_outlets(batch: DataFrame, outlets: DataFrame, bias: str = fv.DEFAULT_BIAS) -> DataFrame:
@@ -26,19 +28,44 @@ def append(df: DataFrame, path: str, table: str | None = None, by: str | None =
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
+def _partition_is(by: str, values: list) -> Column:
+    known = F.col(by).isin([v for v in values if v is not None])
+    return known | F.col(by).isNull() if None in values else known
+
+
 def rewrite_rows(path: str, updates: DataFrame, by: str, key: str = "id", schema: str | None = None) -> None:
     """Writes the non-null columns of ``updates`` over the stored rows of the same key.
 
-    Only partitions that hold such a key are read and written again. Their new contents are staged first, so
-    nothing reads the path while it is written, and Spark swaps each partition in as a whole; to run it
-    again changes nothing.
+    Partitions that hold such a key, and those that a row moves to, are read and written again; a partition that all rows
+    leave is deleted. Of a key that comes several times the row with the greater other columns counts. New contents are
+    staged first, so nothing reads the path while it is written. Spark swaps in each partition as a whole, but one after
+    another: readers may see some new and some old ones meanwhile, and a run that was cut off is repeated, which keeps one row
+    of every key that it writes. ``KeyedTable`` publishes all of a merge at once.
     """
     spark = updates.sparkSession
-    stored = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    touched = stored.select(key, by).join(updates.select(key), key, "left_semi").select(by).distinct()
-    staged = cut_lineage(keyed_update(stored.join(touched, by, "left_semi").select(*stored.columns), updates, key))
+    table = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    rest = [F.desc(c) for c in sorted(updates.columns) if c != key]
+    updates = cut_lineage(keep_first(updates.where(F.col(key).isNotNull()), [key], rest))
+    hit = table.select(key, by).join(updates.select(key, *([F.col(by).alias("__to")] if by in updates.columns else [])), key)
+    ends = [F.col(by), F.coalesce("__to", by)] if by in updates.columns else [F.col(by)]
+    # one row for each partition
+    touched = [r["v"] for r in hit.select(F.explode(F.array(*ends)).alias("v")).distinct().collect()]
+    if not touched:
+        return
+    old = table.where(_partition_is(by, touched))
+    others = old.join(updates.select(key), key, "left_anti").select(*table.columns)
+    changed = keyed_update(old.join(updates.select(key), key, "left_semi").select(*table.columns), updates, key)
+    changed = keep_first(changed, [key], [F.desc(c) for c, kind in changed.dtypes if c != key and not kind.startswith("map")])
+    staged = cut_lineage(others.unionByName(changed))
     writer = staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(by).parquet(path)
+    filled = {r[by] for r in staged.select(by).distinct().collect()}
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for value in set(touched) - filled:
+        name = names.getPartitionPathString(by, None if value is None else str(value))
+        files.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, name), True)
 
 
 def apply_preprocessed(articles: DataFrame, cleaned: DataFrame, now: Column) -> DataFrame:
@@ -54,6 +81,25 @@ def apply_embeddings(articles: DataFrame, embeddings: DataFrame) -> DataFrame:
     return keyed_update(articles, embeddings.select("id", "embedding"))
 
 
+def write_embeddings(articles: KeyedTable, embeddings: DataFrame) -> float:
+    """Writes vectors over stored articles and reads back which are there; raises below the floor of saved rows."""
+    articles.update(embeddings.select("id", "embedding"))
+    saved = articles.rows().where(F.col("embedding").isNotNull())
+    return require_saved(embeddings, saved.join(embeddings.select("id").distinct(), "id", "left_semi"))
+
+
+def write_issue_ids(articles: KeyedTable, bridge: DataFrame) -> None:
+    """Writes the issue of each member article; other articles keep theirs."""
+    articles.update(bridge.select(F.col("article_id").alias("id"), "issue_id"))
+
+
+def write_titles(issues: KeyedTable, titles: DataFrame) -> None:
+    """Writes titles that differ from the stored ones; where none does, nothing is written."""
+    changed = changed_titles(issues.rows(), titles).select("id", F.col("new_value").alias("title"))
+    if not changed.isEmpty():
+        issues.update(changed)
+
+
 def require_saved(requested: DataFrame, saved: DataFrame, key: str = "id") -> float:
     """Share of requested rows that were saved; raises below the floor."""
     row = saved_ratio(requested, saved, key).first()
