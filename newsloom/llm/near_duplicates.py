@@ -7,13 +7,17 @@ fill all of them in the first few, and the number of equal coordinates of two sk
 about T times the Jaccard similarity as sampling without replacement allows. The work is |set| + T log T.
 
 Equal shingle sets become one class first, so copies never meet in pairs. Classes whose sketches agree on a
-whole band share a bucket. In a bucket everyone is compared with its least member; what is left are pairs of
-different components, which are compared in a second round. There a pair is passed over if shingles that no other candidate
-has leave too few for the similarity asked for. Links are confirmed on the full shingle sets.
-
-Null ids: a row without id is a node of its own, by its text. Null or wordless text: no shingles, no links.
-Rows that share an id are one node; repeated rows come back as often as they came in. Columns other than the
-id and the text are not looked at.
+whole band share a bucket. In a bucket everyone is compared with the member that has most
+neighbours, and what is linked becomes one component.
+What is left are pairs of different components, found by an index of rare shingles: ordered by how many candidates hold
+them, two sets of n and m shingles that are similar enough share one of their first n - ceil(t n) + 1 and m - ceil(t m) + 1,
+and where they first do, as many must be left behind it as the similarity asks for. So a large group of copies that differ
+in a few places meets by what they share beyond the common text, not pair by pair. Of a shingle's holders those of its
+largest component don't meet each other. Links are confirmed on the full shingle sets.
+
+Null ids: a row without id stands by its text. Null or wordless text: no shingles, no links. Rows that share an id are
+judged each by its own text; repeated rows come back as often as they came in. Columns other than the id and the text are
+not looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.llm.spans import mix, shingles, words_of
@@ -33,6 +37,8 @@ from newsloom.operators.components import connected_components
 # probability 7e-6.
 BAND_ROWS = 5
 BANDS = 30
+# Parts of a component whose members meet its smallest id.
+SALTS = 16
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -74,10 +80,9 @@ def band_hashes(bins: np.ndarray, rows: int) -> np.ndarray:
 def _sketches(words: int, bands: int, rows: int):
     def step(batches):
         for batch in batches:
-            node, count, key, band = [], [], [], []
-            for i, text in zip(batch.column("node").to_pylist(), batch.column("text"), strict=True):
+            count, key, band = [], [], []
+            for text in batch.column("text"):
                 found = shingles(words_of(text.as_py()), words)
-                node.append(i)
                 count.append(len(found))
                 key.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 # values of 52 bits below the round: 2 * size rounds fit into the 12 bits above
@@ -85,12 +90,13 @@ def _sketches(words: int, bands: int, rows: int):
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
-                    pa.array(node, pa.int64()),
+                    batch.column("node"),
+                    batch.column("th"),
                     pa.array(count, pa.int64()),
                     pa.array(key, pa.binary()),
                     pa.array(band, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "node", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "node", "th", "n_shingles", "set_key", "bands"],
             )
 
     return step
@@ -126,26 +132,68 @@ def _shingle_rows(words: int):
     return step
 
 
-def _own_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """``(node, n, own)`` of each candidate: its shingles, and those that no other candidate has.
-
-    Nodes of several texts are left out: their sizes say nothing.
-    """
-    rows = stored(texts.mapInArrow(_shingle_rows(words), "node long, shingle long"), "shingles")
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.max("node").alias("node"))
-    own = single.where("times = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-    return texts.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).where("texts = 1").select("node").join(
-        rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "node"
-    ).join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-
-
-def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int, name: str) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     return stored(
-        pairs.join(right, "b").join(left, "a").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), name
+        pairs.join(right, "b").join(left, "a").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "links"
+    )
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return connected_components(edges.select(F.lit(0).alias("block"), "a", "b")).select(F.col("loc").alias("node"), "root")
+
+
+def _rare_shingles(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(node, shingle, n, at)``: of each text's ``n`` shingles, rarest first, those of which similar texts share one."""
+    rows = stored(texts.mapInArrow(_shingle_rows(words), "node long, shingle long"), "shingles")
+    times = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    own = Window.partitionBy("node")
+    # shingles of a single text come first and are no one's partner: they are counted, not sorted
+    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    common = rows.join(times, "shingle").join(sizes, "node")
+    alone = F.col("n") - F.count(F.lit(1)).over(own)
+    placed = common.withColumn("at", alone + F.row_number().over(own.orderBy("times", "shingle")) - 1)
+    return placed.where(F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100)).select("node", "shingle", "n", "at")
+
+
+def _across(entries: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may be similar enough, from ``(node, shingle, n, at, root)``."""
+    sizes = entries.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy("shingle")
+        .agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("parts"))
+        .where("parts > 1")
+        .select("shingle", F.col("most.root").alias("main"))
+    )
+    sides = stored(entries.join(mixed, "shingle"), "sides")
+    minor = sides.where("root <> main").select(
+        "shingle", F.col("node").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("at").alias("ax")
     )
+    most = F.least(F.col("nx") - F.col("ax"), F.col("n") - F.col("at"))
+    enough = 100 * most >= percent * (F.col("nx") + F.col("n") - most)
+    other = (F.col("root") != F.col("of")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
+    pairs = minor.join(sides, "shingle").where(other & enough)
+    return pairs.select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
+
+
+def _joined_up(shared: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """``(node, root)`` of all linked nodes."""
+    # the member that shares most buckets with others is the likeliest to be like the rest
+    known = shared.groupBy("node").agg(F.sum("size").alias("known"))
+    leaders = shared.join(known, "node").groupBy("bucket").agg(F.max_by("node", "known").alias("leader"))
+    star = shared.join(leaders, "bucket").where("node <> leader").select(
+        F.least("leader", "node").alias("a"), F.greatest("leader", "node").alias("b")
+    )
+    roots = _roots(_links(star.distinct(), texts, words, percent))
+    placed = shared.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    parts = placed.groupBy("bucket").agg(F.min("root").alias("first"), F.max("root").alias("last"))
+    left = placed.join(parts.where("first < last").select("bucket"), "bucket").select("node", "root").distinct()
+    left = stored(left, "left")
+    entries = _rare_shingles(texts.join(left.select("node"), "node"), words, percent).join(left, "node")
+    last = _links(_across(entries, percent), texts, words, percent)
+    return _roots(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last))
 
 
 def near_duplicates(
@@ -155,85 +203,58 @@ def near_duplicates(
     bands: int = BANDS,
     band_rows: int = BAND_ROWS,
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept, node, chosen)``, one row per row of ``docs``.
+    """``(doc_id, n_shingles, component_id, kept, node, th, component)``, one row per row of ``docs``.
 
     Documents are linked whose shingle sets have ``100 * intersection >= percent * union``; the component's id
-    is its smallest doc_id (null if none of its rows has one), and kept says that the row has that id. ``node`` stands
-    for the row, and ``chosen`` for the row that stays if one of the component does, with or without ids.
+    is its smallest doc_id (null if none of its rows has one), and kept says that the row has that id. ``node`` and ``th``
+    stand for the row's id and text; ``component`` is equal for linked rows, and null for rows without words.
     """
-    source = small_batches(docs.select("doc_id", node_of("doc_id").alias("node"), "text"))
-    sketches = stored(
-        source.mapInArrow(
-            _sketches(words, bands, band_rows),
-            "doc_id long, node long, n_shingles long, set_key binary, bands array<long>",
-        ),
-        "sketches",
+    texts = docs.select("doc_id", node_of("doc_id").alias("node"), F.xxhash64("text").alias("th"), "text")
+    source = small_batches(texts)
+    sketches = source.mapInArrow(
+        _sketches(words, bands, band_rows),
+        "doc_id long, node long, th long, n_shingles long, set_key binary, bands array<long>",
     )
+    sketches = stored(sketches.withColumn("row", F.monotonically_increasing_id()), "sketches")
     filled = sketches.where("n_shingles > 0")
-    classes = filled.groupBy("set_key").agg(F.min("node").alias("rep"))
-    # the sketch of a class is that of its representative
-    members = filled.join(classes, "set_key").select("rep", "node", "doc_id", "bands")
-    entries = (
-        members.where("rep = node")
-        .select(F.col("rep").alias("node"), F.explode("bands").alias("bucket"))
-    )
-    buckets = entries.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most"))
-    shared = stored(
-        entries.join(buckets.where("least < most").select("bucket", "least"), "bucket").distinct(), "buckets"
-    )
-    near = shared.select("node").distinct()
-    texts = stored(source.select("node", "text").join(near, "node").dropDuplicates(["node", "text"]), "texts")
-
-    # first round: everyone with the least member of the bucket
-    star = shared.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    found = _links(star, texts, words, percent, "links")
-    first = connected_components(found.select(F.lit(0).alias("block"), "a", "b")).select("loc", "root")
-
-    # second round: members of different components that the first round did not compare
-    placed = (
-        shared.join(first.withColumnRenamed("loc", "node"), "node", "left")
-        .select("bucket", "node", "least", F.coalesce("root", "node").alias("root"))
-    )
-    sizes = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = (
-        sizes.groupBy("bucket")
-        .agg(F.max(F.struct("n", "root")).alias("most"), F.count(F.lit(1)).alias("parts"))
-        .where("parts > 1")
-        .select("bucket", F.col("most.root").alias("main"))
-    )
-    rest = placed.join(mixed, "bucket").where("node > least")
-    sizes = _own_shingles(texts.join(rest.select("node").distinct(), "node"), words)
-    rest = stored(rest.join(sizes, "node", "left").select("bucket", "node", "root", "main", "n", "own"), "mixed")
-    # a pair is looked at in the least bucket that it shares
-    rest_of = rest.groupBy("node").agg(F.collect_set("bucket").alias("all"))
-    sides = rest.join(rest_of, "node")
-    minor = sides.where("root <> main").select(
-        "bucket", F.col("node").alias("x"), F.col("root").alias("of"), F.col("n").alias("nx"), F.col("own").alias("ox"),
-        F.col("all").alias("ax"),
+    # a class is known by the number of its first row, and that row's sketch and text stand for it
+    classes = stored(filled.groupBy("set_key").agg(F.min("row").alias("class"), F.min("doc_id").alias("least_id")), "classes")
+    firsts = filled.join(classes.select(F.col("class").alias("row")), "row")
+    entries = firsts.select(F.col("row").alias("node"), F.explode("bands").alias("bucket"))
+    buckets = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = stored(entries.join(buckets, "bucket"), "buckets")
+    near = firsts.join(shared.select(F.col("node").alias("row")).distinct(), "row").select("row", "node", "th")
+    texts = source.select("node", "th", "text").join(near, ["node", "th"]).select(F.col("row").alias("node"), "text")
+    texts = stored(texts.dropDuplicates(["node"]), "texts")
+
+    roots = _joined_up(shared, texts, words, percent)
+    discard(texts, shared)
+    named = classes.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    least = named.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # a component of many classes is split over salts
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("class"), F.lit(SALTS)).cast("int")).join(least, ["root", "salt"], "left")
+    named = named.select(
+        "set_key", F.coalesce("root", "class").alias("component"),
+        F.when(F.col("root").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
-    common = F.least(F.col("nx") - F.col("ox"), F.col("n") - F.col("own"))
-    enough = F.coalesce(100 * common >= percent * (F.col("nx") + F.col("n") - common), F.lit(True))
-    other = (F.col("root") != F.col("of")) & ((F.col("root") == F.col("main")) | (F.col("x") < F.col("node")))
-    across = (
-        minor.join(sides, ["bucket"])
-        .where(other & enough & (F.array_min(F.array_intersect("ax", "all")) == F.col("bucket")))
-        .select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
-        .distinct()
-    )
-    more = _links(across, texts, words, percent, "links")
-
-    every = found.unionByName(more)
-    roots = connected_components(every.select(F.lit(0).alias("block"), "a", "b")).select(
-        F.col("loc").alias("rep"), "root"
-    )
-    discard(texts, shared, rest, found, more)
-    named = classes.join(roots, "rep", "left").select("set_key", F.coalesce("root", "rep").alias("root"))
-    labelled = filled.select("doc_id", "node", "n_shingles", "set_key").join(named, "set_key")
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.min("node").alias("least"))
-    chosen = F.coalesce("component_id", "least").alias("chosen")
-    result = labelled.join(least, "root").select("doc_id", "n_shingles", "component_id", "node", chosen)
+    result = filled.select("doc_id", "node", "th", "n_shingles", "set_key").join(named, "set_key").drop("set_key")
     alone = sketches.where("n_shingles = 0").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "node", F.col("node").alias("chosen")
-    )
+        "doc_id", "node", "th", "n_shingles", F.lit(None).cast("long").alias("component"),
+        F.col("doc_id").alias("component_id"),
+    )
     kept = F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    return result.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "node", "chosen")
+    return result.unionByName(alone).select("doc_id", "n_shingles", "component_id", kept, "node", "th", "component")
+
+
+def superfluous(found: DataFrame) -> DataFrame:
+    """``(node, th)`` of the rows of ``near_duplicates`` of whose component another row stays: that of its smallest id,
+    or of its smallest node where none has an id, and of that id's texts the one of the smallest hash."""
+    worded = stored(found.where("component IS NOT NULL").select("component", "doc_id", "node", "th").distinct(), "worded")
+    ids = worded.groupBy("component").agg(
+        F.coalesce(F.min("doc_id"), F.min("node")).alias("stays"), F.count(F.lit(1)).alias("n")
+    ).where("n > 1")
+    least = worded.join(ids, "component").where("node = stays").groupBy("component", "stays").agg(F.min("th").alias("text"))
+    least = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = worded.withColumn("salt", F.pmod(F.xxhash64("node", "th"), F.lit(SALTS)).cast("int"))
+    return salted.join(least, ["component", "salt"]).where("node <> stays OR th <> text").select("node", "th").distinct()

@@ -1,8 +1,12 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from newsloom.llm.near_duplicates import BAND_ROWS, BANDS, EMPTY, near_duplicates, sketch
+from newsloom.llm.near_duplicates import (
+    BAND_ROWS, BANDS, EMPTY, _across, _rare_shingles, near_duplicates, sketch, superfluous,
+)
 from newsloom.llm.spans import mix
+from newsloom.llm.tables import node_of
 
 from .cases import documents, frame, shingles
 
@@ -19,8 +23,7 @@ def brute(rows, words, percent):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            linked = both and 100 * both >= percent * len(sets[i] | sets[j])
-            if linked or (rows[i][0] is not None and rows[i][0] == rows[j][0] and sets[i] and sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 root[find(i)] = find(j)
     least = {}
     for i, r in enumerate(rows):
@@ -58,12 +61,59 @@ def test_empty_table(spark):
     assert near_duplicates(frame(spark, [])).collect() == []
 
 
+def mutated(rng, base, n, words=4):
+    """A copy with ``n`` words replaced by words of a small pool, so that changes recur among copies."""
+    text = list(base)
+    for at in rng.choice(len(base), n, replace=False):
+        text[at] = f"x{rng.integers(0, 6)}"
+    return " ".join(text)
+
+
+def test_a_large_group_of_far_copies(spark):
+    """Copies that are mostly less than similar enough: many components in the same buckets, few links among them."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, mutated(rng, base, int(rng.integers(1, 9)))) for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(docs, words=4).select("doc_id", "n_shingles", "component_id", "kept")
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute(rows, 4, 80)
+
+
+def test_rare_shingles_lose_no_pair(spark):
+    """Of random sets every similar pair is among the candidates, and far fewer than all pairs are."""
+    rng = np.random.default_rng(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = {i: mutated(rng, base, int(rng.integers(0, 8))) for i in range(70)}
+    df = spark.createDataFrame(list(texts.items()), "node long, text string")
+    roots = df.select("node", F.col("node").alias("root"))
+    pairs = _across(_rare_shingles(df, 4, 80).join(roots, "node"), 80).collect()
+    sets = {i: shingles(t, 4) for i, t in texts.items()}
+    similar = {
+        (i, j) for i in sets for j in sets
+        if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    }
+    assert similar <= {(r["a"], r["b"]) for r in pairs}
+    assert len(pairs) < 70 * 69 / 4
+
+
+def stays(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(docs)
+    gone = {(r["node"], r["th"]) for r in superfluous(found).collect()}
+    rows = docs.select("doc_id", "text", node_of("doc_id").alias("node"), F.xxhash64("text").alias("th")).collect()
+    return sorted(((r["doc_id"], r["text"]) for r in rows if (r["node"], r["th"]) not in gone), key=str)
+
+
 def test_one_is_chosen_of_a_group_without_ids(spark):
     text = "a b c d e f g h i j k l m n o p q r s t"
-    docs = spark.createDataFrame([(None, text), (None, text + " u")], "doc_id long, text string")
-    rows = near_duplicates(docs).collect()
-    assert len({r["chosen"] for r in rows}) == 1
-    assert sum(r["node"] == r["chosen"] for r in rows) == 1
+    assert len(stays(spark, [(None, text), (None, text + " u")])) == 1
+
+
+def test_texts_of_a_shared_id_are_judged_by_themselves(spark):
+    """Id 60 has a copy of document 3, and a text of its own that document 90 copies: one of each stays."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    assert stays(spark, [(3, a), (60, a), (60, b), (90, b)]) == [(3, a), (60, b)]
+    assert stays(spark, [(60, a), (60, a + " z"), (70, b)])[1:] == [(70, b)]
 
 
 def test_sketch_fills_and_estimates():
