@@ -127,8 +127,9 @@ SQL_WORDS = f"""found AS (SELECT issue_id, id, published_at, unnest(regexp_extra
 
 @query("agg12_word_counts", f"WITH {SQL_ARTICLES}, {SQL_WORDS} SELECT issue_id, word, n, first_seen.i AS first_id FROM counts")
 def _(t: Tables):
-    counts = aggregates.word_counts(t.dated_articles(), ["issue_id"], WORD)
-    return counts.select("issue_id", "word", "n", F.col("first_seen.id").alias("first_id"))
+    titles = aggregates.in_order(t.dated_articles().select("issue_id", "published_at", "id", "title"))
+    counts = aggregates.word_origins(aggregates.word_counts(titles, ["issue_id"], WORD), titles)
+    return counts.select("issue_id", "word", "n", "first_id")
 
 
 @query("win6_top_words", f"WITH {SQL_ARTICLES}, {SQL_WORDS} SELECT issue_id, word, n, word_rank FROM ranked_words "

@@ -122,21 +122,25 @@ SQL_STREAM = f"""WITH {SQL_ARTICLES}, fresh AS (SELECT *, {sql_strip('title')} A
 
 @query("str1_incremental_ingest", SQL_STREAM)
 def _(t: Tables):
+    # Every page lands twice, in files of different hours, which come in one by one: one of them is kept.
     raw = t.raw("documents")
-    stream = t.spark.readStream.schema(raw.schema).parquet(f"{t.sf_dir}/documents*.parquet")
+    landed = scratch_path(t.spark, "landed")
+    for hour in (0, 1):
+        raw.withColumn("hour", F.lit(hour)).repartition(2, "doc_id").write.mode("append").parquet(landed)
+    schema = t.spark.read.parquet(landed).schema
+    stream = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(landed)
     rows = stream.select(
         F.substring_index("text", "\n", 1).alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/article/"), "doc_id").alias("url"),
         F.col("text").alias("content"),
         F.col("source").alias("media_id"),
         F.lit(None).cast("timestamp").alias("published_at"),
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("fetched_at"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("hour") * 3600 - F.col("doc_id")).alias("fetched_at"),
     )
-    landed_twice = rows.unionByName(rows)  # every page arrives twice; one is kept
     target = scratch_path(t.spark, "ingested")
     run = start_ingest(
-        landed_twice, target, scratch_path(t.spark, "stream"), _as_of(), TEST_RULES, TEST_OTHER,
-        stored=lambda: t.articles().where("issue_id = 'de'"),
+        rows, target, scratch_path(t.spark, "stream"), _as_of(), TEST_RULES, TEST_OTHER,
+        stored=lambda: t.articles().where("issue_id = 'de'"), key_slots=8,
     )
     run.awaitTermination()
     return read_ingested(t.spark, target).select(

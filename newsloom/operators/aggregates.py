@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed_values as fv
 from newsloom.functions.text import classify_word, is_blank
 from newsloom.operators.tables import with_bias
-from newsloom.operators.windows import top_n
+from newsloom.operators.windows import number_within, top_n
 
 
 def bias_counts(total: str = "total") -> list[Column]:
@@ -143,16 +143,32 @@ def category_totals(results: DataFrame) -> DataFrame:
     )
 
 
+ORDER = "__order"
+POSITIONS = 20  # bits for a word's place in its title
+
+
+def in_order(titles: DataFrame) -> DataFrame:
+    """Titles with their number by time and id, so that what came first is the least of whole numbers."""
+    return number_within(titles, [], [F.asc_nulls_first("published_at"), F.asc_nulls_first("id")], ORDER)
+
+
 def word_counts(titles: DataFrame, keys: Sequence[str], pattern: str = fv.HANGUL_WORD) -> DataFrame:
-    """``(keys, word, n, first_seen)`` over ``titles(keys, published_at, id, title)``.
+    """``(keys, word, n, first)`` over ``titles(keys, published_at, id, title)``.
 
-    ``first_seen`` orders equal counts by first occurrence, as a running counter would.
+    ``first`` orders equal counts by first occurrence, as a running counter would. Titles are sorted once, and the words of
+    all of them are only hashed.
     """
+    ordered = titles if ORDER in titles.columns else in_order(titles.select(*keys, "published_at", "id", "title"))
     found = F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(f"({pattern})"), F.lit(1))
-    words = titles.select(*keys, "published_at", "id", F.posexplode(found).alias("pos", "word"))
-    return words.groupBy(*keys, "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("published_at", "id", "pos")).alias("first_seen")
-    )
+    words = ordered.select(*keys, ORDER, F.posexplode(found).alias("pos", "word"))
+    place = F.shiftleft(F.col(ORDER), POSITIONS) + F.col("pos")
+    return words.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
+
+
+def word_origins(counts: DataFrame, ordered: DataFrame) -> DataFrame:
+    """``counts`` with the time and id of the title where each word came first; ``ordered`` is what they were counted on."""
+    where = ordered.select(F.col(ORDER), F.col("published_at").alias("first_at"), F.col("id").alias("first_id"))
+    return counts.withColumn(ORDER, F.shiftright("first", POSITIONS)).join(where, ORDER).drop(ORDER)
 
 
 def top_words(counts: DataFrame, keys: Sequence[str], n: int, at_least: int = fv.MIN_WORD_COUNT) -> DataFrame:
@@ -160,7 +176,7 @@ def top_words(counts: DataFrame, keys: Sequence[str], n: int, at_least: int = fv
 
     The rank is taken before the floor, which is the same: counts fall with rank.
     """
-    ranked = top_n(counts, keys, [F.desc("n"), F.asc("first_seen")], n, "word_rank")
+    ranked = top_n(counts, keys, [F.desc("n"), F.asc("first")], n, "word_rank")
     return ranked.where(F.col("n") >= at_least)
 
 

@@ -1,31 +1,35 @@
-"""Exact neighbour search by triangle-inequality pruning.
-
-Copies of a vector are collapsed to one weighted location first. Every location gets a cell (its nearest
-pivot) and a ring (its distance to that pivot, in steps). A location within radius r of p
-must lie in a cell and ring whose distance interval meets ``[d(p, pivot) - r, d(p, pivot) + r]``, so p is
-sent to those rings only. The members and the visitors of a ring are both dealt into tiles of bounded
-size; one task step compares one tile of members with one tile of visitors, and returns at most k
-neighbours per visitor, or one link per location of the tile pair. Nothing is approximate and no ring,
-however full, has to fit one task.
+"""Exact neighbour search over a two-level tree of bounding balls, and the tiles below it.
+
+Copies of a vector are collapsed to one weighted location first. Locations go to the nearest of about sqrt(T) pivots (T: tiles
+that the table fills), and within such a cell to the nearest of its own pivots, again about sqrt(T), so assigning n locations
+takes n sqrt(T) distances. A ball of more than a tile is cut into shells by distance to its centre, so every tile is known by
+its centre and the least and greatest distance to it.
+
+A search compares tiles by these three first: balls of cells, then tiles of the cells that remain. By the triangle
+inequality a tile can only hold something within reach of another if their shells come that close. What is left are pairs of
+tiles; a location is sent once for each pair of its tile, and one task step compares one tile of members with one of
+visitors and returns at most k neighbours per visitor, or one link per location of the pair. Visitors of a tile are
+parted by how far they have to look, so that one lonely location does not make its whole tile look far. Nothing is
+approximate, and no ball, however full, has to fit one task. Clusters far smaller than a tile share its shells and are not told
+apart; a smaller ``tile`` prunes more and costs more tasks. ``approximate`` has the other way, chosen by ``method``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.operators.windows import top_n
+from newsloom.operators.approximate import lsh_search
+from newsloom.operators.windows import number_within, top_n
 from newsloom.session import cut_lineage
 
 TILE = 2048  # rows of one side of a comparison
-MAX_PIVOTS = 512
-MAX_RINGS = 1024
-ANY_DISTANCE = float("inf")
+ASSIGNED = 8  # tiles of locations that one step gives to the balls of a cell
 
 
 def locations(points: DataFrame, keep_ids: int = 0) -> DataFrame:
@@ -65,103 +69,210 @@ def _slack(a: np.ndarray, b: np.ndarray) -> float:
     return 1e-12 * (float((a * a).sum(1).max(initial=0.0)) + float((b * b).sum(1).max(initial=0.0)) + 1.0)
 
 
-class RingIndex:
-    """Locations laid out by cell and ring, and the search over them."""
+def _to_nearest(vectors: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each vector, the first of equally near ones, and the distance."""
+    at = np.empty(len(vectors), dtype=np.int64)
+    for i in range(0, len(vectors), 4096):
+        at[i : i + 4096] = _squared(vectors[i : i + 4096], pivots).argmin(axis=1)
+    return at, _exact(vectors, pivots[at])
+
+
+class TileIndex:
+    """Locations ``(block, loc, vector, weight)`` laid out in tiles, and the search over them."""
 
     def __init__(self, locs: DataFrame, tile: int = TILE):
         self.spark, self.tile = locs.sparkSession, tile
         n = locs.count()
-        # Few rows need no pruning; many get cells of some tiles, cut into rings of about a tile.
-        n_pivots = max(1, min(MAX_PIVOTS, ceil(n / (4 * tile))))
-        rings = max(1, min(MAX_RINGS, ceil(n / (n_pivots * tile))))
-        self.pivots = self._choose_pivots(locs, n_pivots)
-        placed = locs.withColumn("__d", self._pivot_distances()(F.col("vector")))
-        nearest = F.array_min("__d")
-        placed = placed.withColumn("cell", (F.array_position("__d", nearest) - 1).cast("int")).withColumn("far", nearest)
-        self.members = cut_lineage(placed.drop("__d"))
-        farthest = self.members.agg(F.max("far")).first()[0] or 0.0
-        self.width = max(farthest / rings, 1e-9)
-        # Well above the rounding error of a distance between vectors of this length.
-        self.margin = 1e-6 * (1.0 + float(np.sqrt((self.pivots**2).sum(1)).max(initial=0.0)) + farthest)
-        self.members = self.members.withColumn("ring", self._ring(F.col("far")))
+        self.width = max(1, isqrt(max(0, ceil(n / tile) - 1)) + 1)  # pivots of either level
+        self.pivots = self._choose_pivots(locs, self.width)
+        types = dict(locs.dtypes)
+        self.types = ", ".join(f"{c} {types[c]}" for c in ("block", "loc", "vector", "weight"))
+        self.block_type, self.loc_type, self.vector_type = types["block"], types["loc"], types["vector"]
+        in_cells = locs.select("block", "loc", "vector", "weight").mapInPandas(
+            self._cells(self.pivots), f"{self.types}, cell int, away double"
+        )
+        self.single = n <= tile  # then blocks are compared whole
+        self.members, self.centres = self._one_ball(in_cells) if self.single else self._tiles(cut_lineage(in_cells))
+        far = self.members.agg(F.max("away").alias("away"), F.max("far").alias("far")).first()
+        # well above the rounding error of a distance between vectors of this length
+        longest = float(np.sqrt((self.pivots**2).sum(1)).max(initial=0.0))
+        self.margin = 1e-6 * (1.0 + longest + (far["away"] or 0.0) + (far["far"] or 0.0))
 
     @staticmethod
     def _choose_pivots(locs: DataFrame, n: int) -> np.ndarray:
-        """At most 512 vectors, picked by hash: the only vectors that ever reach the driver."""
+        """About the root of the number of tiles, picked by hash: the only vectors that reach the driver."""
         rows = locs.orderBy(F.xxhash64("loc", "block"), "block", "loc").limit(n).select("vector").toPandas()
-        return _matrix(rows["vector"])
-
-    def _pivot_distances(self):
-        pivots = self.spark.sparkContext.broadcast(self.pivots)
+        return _matrix(rows["vector"]) if len(rows) else np.zeros((1, 1))
 
-        @F.pandas_udf("array<double>")
-        def distances(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for vectors in batches:
-                found = np.sqrt(_squared(_matrix(vectors), pivots.value))
-                yield pd.Series(list(found), index=vectors.index)
-
-        return distances.asNondeterministic()  # evaluated once per row
+    @staticmethod
+    def _cells(pivots: np.ndarray):
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if len(rows):
+                    at, away = _to_nearest(_matrix(rows["vector"]), pivots)
+                    yield rows.assign(cell=at.astype(np.int32), away=away)
+
+        return step
+
+    def _one_ball(self, in_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """A table of one tile: the cell's pivot is the centre."""
+        members = cut_lineage(in_cells.withColumn("ball", F.lit(0)).withColumn("tile", F.lit(0)).withColumn("far", F.col("away")))
+        centres = self.spark.createDataFrame([(0, 0, self.pivots[0].tolist())], "cell int, ball int, centre array<double>")
+        return members.withColumn("tile", F.concat_ws(":", "cell", "ball", "tile")), centres
+
+    def _tiles(self, in_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+        # One location in half a tile is a centre; a crowded cell takes the first of them by hash.
+        drawn = in_cells.where(F.pmod(F.xxhash64("loc", "block", F.lit("centre")), F.lit(max(1, self.tile // 2))) == 0)
+        drawn = top_n(drawn, ["cell"], [F.xxhash64("loc", "block"), F.asc("block"), F.asc("loc")], 4 * self.width, "ball")
+        centres = drawn.select("cell", (F.col("ball") - 1).alias("ball"), F.col("vector").cast("array<double>").alias("centre"))
+        whole = self.spark.createDataFrame(
+            [(i, -1, p.tolist()) for i, p in enumerate(self.pivots)], "cell int, ball int, centre array<double>"
+        )
+        centres = cut_lineage(whole.unionByName(centres))
+        parts = in_cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (ASSIGNED * self.tile)).cast("int").alias("parts"))
+        none = F.lit(None)
+        pivot_side = centres.join(parts, "cell").select(
+            none.cast(self.block_type).alias("block"), none.cast(self.loc_type).alias("loc"),
+            F.col("centre").cast(self.vector_type).alias("vector"), none.cast("long").alias("weight"), "cell",
+            none.cast("double").alias("away"), "ball", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        )
+        own_side = in_cells.join(parts, "cell").select(
+            "block", "loc", "vector", "weight", "cell", "away", none.cast("int").alias("ball"),
+            F.pmod(F.xxhash64("loc"), F.col("parts")).cast("int").alias("part"),
+        )
 
-    def _ring(self, distance: Column) -> Column:
-        return F.floor(distance / F.lit(self.width)).cast("int")
+        def assign(rows: pd.DataFrame) -> pd.DataFrame:
+            is_pivot = rows["ball"].notna().to_numpy()
+            pivots, own = rows[is_pivot].sort_values("ball"), rows[~is_pivot]
+            if not len(own):
+                return _frame({c: [] for c in ("block", "loc", "vector", "weight", "cell", "away", "ball", "far")})
+            at, far = _to_nearest(_matrix(own["vector"]), _matrix(pivots["vector"]))
+            found = own.assign(ball=pivots["ball"].to_numpy(dtype=np.int64)[at], far=far)
+            return found[["block", "loc", "vector", "weight", "cell", "away", "ball", "far"]]
+
+        balls = own_side.unionByName(pivot_side).groupBy("cell", "part").applyInPandas(
+            assign, f"{self.types}, cell int, away double, ball int, far double"
+        )
+        placed = number_within(balls, ["block", "cell", "ball"], [F.asc("far"), F.asc("loc")], "__n")
+        shell = F.floor((F.col("__n") - 1) / self.tile).cast("int")
+        members = placed.withColumn("tile", F.concat_ws(":", "cell", "ball", shell)).drop("__n")
+        return cut_lineage(members), centres
+
+    def _described(self, rows: DataFrame, *more: str | Column) -> DataFrame:
+        """Tiles of some rows: their centre, and the least and greatest distance to it."""
+        extra = [F.max("radius").alias("reach")] if "radius" in rows.columns else []
+        found = rows.groupBy("block", "cell", "ball", "tile", *more).agg(
+            F.min("far").alias("lo"), F.max("far").alias("hi"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"),
+            F.max("away").alias("away"), *extra,
+        )
+        return found.join(self.centres, ["cell", "ball"])
+
+    def _cell_pairs(self, visiting: DataFrame, visited: DataFrame) -> DataFrame:
+        """``(block, cell, other)``: cells whose balls come within reach of each other."""
+        seen = visited.groupBy("block", "cell").agg(F.max("away").alias("away"))
+        per_block = seen.groupBy("block").agg(F.collect_list(F.struct("cell", "away")).alias("others"))  # the root of the tiles
+        own = visiting.groupBy("block", "cell").agg(F.max("away").alias("away"), F.max("reach").alias("reach"))
+        pivots, margin = self.pivots, self.margin
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for block, cell, away, reach, others in rows.itertuples(index=False):
+                    at = np.array([o["cell"] for o in others])
+                    far = np.array([o["away"] for o in others])
+                    hit = at[_exact(pivots[at], pivots[cell][None, :]) - away - far <= reach + margin]
+                    yield _frame({"block": [block] * len(hit), "cell": [cell] * len(hit), "other": hit.tolist()})
+
+        return own.join(per_block, "block").select("block", "cell", "away", "reach", "others").mapInPandas(
+            near, f"block {self.block_type}, cell int, other int"
+        )
 
-    def _visits(self, visitors: DataFrame) -> DataFrame:
-        """``(visitor columns, cell, ring)``: the rings every visitor has to look at."""
-        extents = self.members.groupBy("block", "cell").agg(
-            F.min("far").alias("near"), F.max("far").alias("far"), F.min("ring").alias("first"), F.max("ring").alias("last")
+    def tile_pairs(self, visitors: DataFrame, members: DataFrame | None = None) -> DataFrame:
+        """``(block, tile, span, other, v, m)``: pairs of tiles that may hold neighbours, with the rows of either side."""
+        visiting = self._described(visitors.withColumn("span", _span(F.col("radius"))), "span")
+        visited = self._described(self.members if members is None else members)
+        visiting, visited = cut_lineage(visiting), cut_lineage(visited)
+        cells = self._cell_pairs(visiting, visited)
+        columns = ["centre", "tile", "lo", "hi", "n"]
+        v_side = visiting.join(cells, ["block", "cell"]).select("block", "cell", "other", *columns, "span", "reach")
+        m_side = visited.select("block", F.col("cell").alias("other"), *columns).join(cells, ["block", "other"]).select(
+            "block", "cell", "other", *columns, F.lit(None).cast("int").alias("span"), F.lit(None).cast("double").alias("reach")
         )
-        # One row per block, of at most as many cells as there are pivots.
-        per_block = extents.groupBy("block").agg(F.collect_list(F.struct("cell", "near", "far", "first", "last")).alias("cells"))
-        known = visitors.withColumn("__d", self._pivot_distances()(F.col("vector"))).join(per_block, "block")
-        reach = F.col("radius") + self.margin
-
-        def away(c: Column) -> Column:
-            return F.element_at("__d", c["cell"] + 1)
-
-        hit = F.filter("cells", lambda c: (away(c) - reach <= c["far"]) & (away(c) + reach >= c["near"]))
-        spans = F.transform(
-            hit,
-            lambda c: F.struct(
-                c["cell"].alias("cell"),
-                F.greatest(c["first"], self._ring(F.greatest(away(c) - reach, F.lit(0.0)))).alias("lo"),
-                F.least(c["last"], self._ring(F.least(away(c) + reach, c["far"]))).alias("hi"),
-            ),
+        margin = self.margin
+
+        def close(rows: pd.DataFrame) -> pd.DataFrame:
+            is_visited = rows["span"].isna().to_numpy()
+            m, v = rows[is_visited], rows[~is_visited]
+            out: dict[str, list] = {c: [] for c in ("block", "tile", "span", "other", "v", "m")}
+            if len(m) and len(v):
+                centres = _matrix(m["centre"])
+                lo, hi, names, n = (m[c].to_numpy() for c in ("lo", "hi", "tile", "n"))
+                for row in v.itertuples(index=False):
+                    apart = _exact(centres, np.asarray(row.centre, dtype=np.float64)[None, :])
+                    least = np.maximum.reduce([apart - row.hi - hi, row.lo - apart - hi, lo - apart - row.hi])
+                    for j in np.flatnonzero(least <= row.reach + margin):
+                        values = (row.block, row.tile, int(row.span), names[j], row.n, n[j])
+                        for c, value in zip(out, values, strict=True):
+                            out[c].append(value)
+            return _frame(out)
+
+        pairs = v_side.unionByName(m_side).groupBy("block", "cell", "other").applyInPandas(
+            close, f"block {self.block_type}, tile string, span int, other string, v long, m long"
         )
-        spread = known.select(*visitors.columns, F.inline(spans)).where(F.col("lo") <= F.col("hi"))
-        return spread.withColumn("ring", F.explode(F.sequence("lo", "hi"))).drop("lo", "hi")
+        return cut_lineage(pairs)
 
     def search(self, visitors: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], result: str,
                members: DataFrame | None = None) -> DataFrame:
         """Apply ``step(members, visitors)`` to every pair of tiles that may hold neighbours.
 
-        ``visitors``: ``(block, loc, vector, weight, radius)``.
+        ``visitors``: rows of ``members`` with a ``radius``.
         """
         members = self.members if members is None else members
-        key = ["block", "cell", "ring"]
-        visits = cut_lineage(self._visits(visitors))
-        sizes = (
-            members.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
-            .join(visits.groupBy(*key).agg(F.count(F.lit(1)).alias("v")), key)
-            .select(*key, F.ceil(F.col("m") / self.tile).cast("int").alias("m_tiles"),
-                    F.ceil(F.col("v") / self.tile).cast("int").alias("v_tiles"))
-        )
-        # Deal each side into tiles by hash and copy it to the other side's tiles.
-        m_side = members.join(sizes, key).select(
-            *key, F.lit(0.0).alias("radius"), "loc", "vector", "weight", F.lit(True).alias("member"),
-            F.pmod(F.xxhash64("loc"), "m_tiles").cast("int").alias("m_tile"),
-            F.explode(F.sequence(F.lit(0), F.col("v_tiles") - 1)).alias("v_tile"),
-        )
-        v_side = visits.join(sizes, key).select(
-            *key, "radius", "loc", "vector", "weight", F.lit(False).alias("member"),
-            F.explode(F.sequence(F.lit(0), F.col("m_tiles") - 1)).alias("m_tile"),
-            F.pmod(F.xxhash64("loc"), "v_tiles").cast("int").alias("v_tile"),
+        sides = ["radius", "loc", "vector", "weight"]
+        if self.single:
+            rows = members.withColumn("radius", F.lit(0.0)).select("block", *sides, F.lit(True).alias("member"))
+            rows = rows.unionByName(visitors.select("block", *sides, F.lit(False).alias("member")))
+            return rows.groupBy("block").applyInPandas(_both(step), result)
+        pairs = self.tile_pairs(visitors, members).select("block", "tile", "span", "other")
+        v_side = visitors.withColumn("span", _span(F.col("radius"))).join(pairs, ["block", "tile", "span"]).select(
+            "block", "tile", "span", "other", *sides, F.lit(False).alias("member")
         )
+        m_side = members.withColumnRenamed("tile", "other").withColumn("radius", F.lit(0.0)).join(pairs, ["block", "other"])
+        m_side = m_side.select("block", "tile", "span", "other", *sides, F.lit(True).alias("member"))
+        return m_side.unionByName(v_side).groupBy("block", "tile", "span", "other").applyInPandas(_both(step), result)
+
+
+def _span(radius: Column) -> Column:
+    """Visitors that look about equally far: by halves of powers of two; at any distance apart from others."""
+    finite = F.greatest(F.lit(-100.0), F.floor(2 * F.log2(F.greatest(radius, F.lit(1e-15)))))
+    return F.when(radius == float("inf"), 1000).otherwise(finite).cast("int")
 
-        def compare(pair: pd.DataFrame) -> pd.DataFrame:
-            is_member = pair["member"].to_numpy(dtype=bool)
-            return step(pair[is_member], pair[~is_member])
 
-        return m_side.unionByName(v_side).groupBy(*key, "m_tile", "v_tile").applyInPandas(compare, result)
+def _both(step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def compare(pair: pd.DataFrame) -> pd.DataFrame:
+        is_member = pair["member"].to_numpy(dtype=bool)
+        return step(pair[is_member], pair[~is_member])
+
+    return compare
+
+
+def compare_tiles(members: DataFrame, visitors: DataFrame, key: list[str], step, result: str, tile: int = TILE) -> DataFrame:
+    """``step(members, visitors)`` on every pair of tiles of rows that share a key; both sides are dealt by hash."""
+    sizes = (
+        members.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+        .join(visitors.groupBy(*key).agg(F.count(F.lit(1)).alias("v")), key)
+        .select(*key, F.ceil(F.col("m") / tile).cast("int").alias("m_tiles"), F.ceil(F.col("v") / tile).cast("int").alias("v_tiles"))
+    )
+
+    def side(rows: DataFrame, own: str, other: str, member: bool) -> DataFrame:
+        radius = F.lit(0.0).alias("radius") if member else F.col("radius")
+        return rows.join(sizes, key).select(
+            *key, radius, "loc", "vector", "weight", F.lit(member).alias("member"),
+            F.pmod(F.xxhash64("loc"), f"{own}_tiles").cast("int").alias(f"{own}_tile"),
+            F.explode(F.sequence(F.lit(0), F.col(f"{other}_tiles") - 1)).alias(f"{other}_tile"),
+        )
+
+    rows = side(members, "m", "v", True).unionByName(side(visitors, "v", "m", False))
+    return rows.groupBy(*key, "m_tile", "v_tile").applyInPandas(_both(step), result)
 
 
 def _nearest_step(k: int):
@@ -197,16 +308,14 @@ def _pair_schema(locs: DataFrame) -> str:
     return f"block {types['block']}, loc {types['loc']}, other {types['loc']}, weight long, distance double"
 
 
-def _reach(index: RingIndex, locs: DataFrame, k: int) -> DataFrame:
-    """Locations with an upper bound on the distance to their k-th neighbour, from one tile of their own ring.
+def _reach(index: TileIndex, k: int) -> DataFrame:
+    """The members with an upper bound on the distance to their k-th neighbour, as ``radius``.
 
-    Where that tile holds too few points, the bound is open and the search looks at the whole block.
+    The bound comes from the location's own tile. Where that holds too few points, it is the distance to the far side of the
+    fullest tile of its cell, or of its block; where these hold too few as well, the search looks at the whole block.
     """
-    n = index.members.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
-    tiles = index.members.join(n, ["block", "cell"]).select(
-        "block", "loc", "vector", "weight", "cell",
-        F.pmod(F.xxhash64("loc"), F.greatest(F.floor(F.col("n") / index.tile), F.lit(1))).alias("tile"),
-    )
+    types = f"{index.types}, cell int, away double, ball int, tile string, far double"
+    columns = ["block", "loc", "vector", "weight", "cell", "away", "ball", "tile", "far"]
 
     def bound(tile: pd.DataFrame) -> pd.DataFrame:
         v, weights = _matrix(tile["vector"]), tile["weight"].to_numpy()
@@ -219,30 +328,59 @@ def _reach(index: RingIndex, locs: DataFrame, k: int) -> DataFrame:
             rows = np.arange(len(d))
             found = np.sqrt(d[rows, order[rows, first]] + _slack(v, v)) + 1e-9
             radius[at : at + 256] = np.where(reached.any(axis=1), found, np.inf)
-        kept = {c: tile[c].tolist() for c in ("block", "loc", "vector", "weight")}
+        kept = {c: tile[c].tolist() for c in columns}
         return _frame({**kept, "radius": radius.tolist()})
 
-    types = dict(locs.dtypes)
-    result = f"block {types['block']}, loc {types['loc']}, vector {types['vector']}, weight long, radius double"
-    return tiles.groupBy("block", "cell", "tile").applyInPandas(bound, result)
-
-
-def nearest_locations(index: RingIndex, visitors: DataFrame, k: int) -> DataFrame:
+    bounded = index.members.select(*columns).groupBy("block", "tile").applyInPandas(bound, f"{types}, radius double")
+    if index.single:
+        return bounded
+    bounded = cut_lineage(bounded)
+    enough = index._described(index.members).where(F.col("weight") >= k + 1)
+    full = F.max_by(F.struct("centre", "hi"), F.struct("weight", "tile"))
+    by_cell = enough.groupBy("block", "cell").agg(full.alias("in_cell"))
+    by_block = enough.groupBy("block").agg(full.alias("in_block"))
+    lonely = bounded.where(F.col("radius") == float("inf")).join(by_cell, ["block", "cell"], "left").join(by_block, "block", "left")
+
+    def through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = rows[columns].copy()
+            radius = []
+            for vector, *tiles in zip(rows["vector"], rows["in_cell"], rows["in_block"], strict=True):
+                v = np.asarray(vector, dtype=np.float64)[None, :]
+                far = [_exact(np.asarray(t["centre"], dtype=np.float64)[None, :], v)[0] + t["hi"] + 1e-6 for t in tiles if t]
+                radius.append(float(min(far, default=np.inf)))
+            yield out.assign(radius=radius)
+
+    helped = lonely.mapInPandas(through, f"{types}, radius double")
+    return bounded.where(F.col("radius") < float("inf")).unionByName(helped)
+
+
+def nearest_locations(index: TileIndex, visitors: DataFrame, k: int) -> DataFrame:
     """``(block, loc, other, weight, distance)``: the k nearest other locations of every visitor."""
     found = index.search(visitors, _nearest_step(k), _pair_schema(visitors))
     return top_n(found, ["block", "loc"], [F.asc("distance"), F.asc("other")], k, "__r").drop("__r")
 
 
 def knn(points: DataFrame, k: int, block: str, key: str = "id", vector: str = "embedding",
-        tile: int = TILE) -> DataFrame:
-    """``(block, id, neighbour, distance, rank)``: the k nearest other points of the same block, ties by id."""
+        tile: int = TILE, method: str = "exact", **lsh: int) -> DataFrame:
+    """``(block, id, neighbour, distance, rank)``: the k nearest other points of the same block, ties by id.
+
+    ``method="lsh"`` looks only into likely buckets (``tables``, ``probes``, ``bucket``, ``seed`` of ``approximate``), and may
+    miss some; distances and order of what it finds are exact.
+    """
+    if method not in ("exact", "lsh"):
+        raise ValueError(f"unknown method {method}")
     # Written once: points find their locations by their vectors, which a model might not give twice
     prepared = cut_lineage(
         points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
     )
     locs = cut_lineage(locations(prepared, keep_ids=k + 1))
-    index = RingIndex(locs, tile)
-    pairs = nearest_locations(index, _reach(index, locs, k), k)
+    if method == "lsh":
+        met = lsh_search(locs, k, _nearest_step(k), _pair_schema(locs), compare_tiles, **lsh)
+        pairs = top_n(met.distinct(), ["block", "loc"], [F.asc("distance"), F.asc("other")], k, "__r").drop("__r")
+    else:
+        index = TileIndex(locs, tile)
+        pairs = nearest_locations(index, _reach(index, k), k)
     ids = locs.select("block", F.col("loc").alias("other"), "ids")
     others = pairs.join(ids, ["block", "other"]).select("block", "loc", "distance", F.explode("ids").alias("neighbour"))
     own = locs.select("block", "loc", F.lit(0.0).alias("distance"), F.explode("ids").alias("neighbour"))
@@ -262,17 +400,17 @@ def knn(points: DataFrame, k: int, block: str, key: str = "id", vector: str = "e
     )
 
 
-def core_distances(index: RingIndex, locs: DataFrame, min_samples: int, radius: DataFrame | float | None) -> DataFrame:
+def core_distances(index: TileIndex, locs: DataFrame, min_samples: int, radius: DataFrame | float | None) -> DataFrame:
     """``(block, loc, core_distance)``: distance to the ``min_samples``-th nearest other point, copies counted.
 
     With a radius, locations with too few points inside it have no row.
     """
     if radius is None:
-        visitors = _reach(index, locs, min_samples)
+        visitors = _reach(index, min_samples)
     elif isinstance(radius, DataFrame):
-        visitors = index.members.join(radius, "block").select("block", "loc", "vector", "weight", "radius")
+        visitors = index.members.join(radius, "block")
     else:
-        visitors = index.members.select("block", "loc", "vector", "weight", F.lit(float(radius)).alias("radius"))
+        visitors = index.members.withColumn("radius", F.lit(float(radius)))
     found = index.search(visitors, _nearest_step(min_samples), _pair_schema(locs))
     own = index.members.where(F.col("weight") > 1).select(
         "block", "loc", F.col("loc").alias("other"), (F.col("weight") - 1).alias("weight"), F.lit(0.0).alias("distance")
@@ -323,12 +461,12 @@ def _forest_step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
     return _frame({"block": [block] * len(linked), "a": names[linked].tolist(), "b": names[label[linked]].tolist()})
 
 
-def radius_forest(index: RingIndex, core: DataFrame) -> DataFrame:
+def radius_forest(index: TileIndex, core: DataFrame) -> DataFrame:
     """``(block, a, b)``: links that connect the same locations as all pairs within the radius would.
 
-    ``core``: ``(block, loc, vector, weight, radius)``; both ends of a link are in it.
+    ``core``: rows of the index's members with a ``radius``; both ends of a link are in it.
     """
-    members = index.members.join(core.select("block", "loc"), ["block", "loc"], "left_semi")
+    members = core.drop("radius")
     types = dict(core.dtypes)
     return index.search(
         core, _forest_step, f"block {types['block']}, a {types['loc']}, b {types['loc']}", members

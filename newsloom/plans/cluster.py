@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as fv
 from newsloom.operators.components import connected_components
-from newsloom.operators.neighbours import TILE, RingIndex, core_distances, locations, radius_forest
+from newsloom.operators.neighbours import TILE, TileIndex, core_distances, locations, radius_forest
 from newsloom.operators.tables import populous
 from newsloom.operators.windows import number_within
 from newsloom.plans.embed import reduce_dimensions
@@ -36,7 +36,7 @@ def density_cluster(
         points.select(F.col(block).alias("block"), F.col(key).alias("id"), F.col(vector).alias("vector"))
     )
     locs = cut_lineage(locations(prepared))
-    index = RingIndex(locs, tile)
+    index = TileIndex(locs, tile)
     distances = cut_lineage(core_distances(index, locs, min_samples, eps))
     if eps is None:
         radius = distances.groupBy("block").agg(F.percentile_approx("core_distance", eps_quantile, 10_000).alias("radius"))
@@ -44,9 +44,7 @@ def density_cluster(
     else:
         core = distances.where(F.col("core_distance") <= eps).withColumn("radius", F.lit(float(eps)))
     core = cut_lineage(
-        index.members.join(core.select("block", "loc", "radius"), ["block", "loc"]).select(
-            "block", "loc", "vector", "weight", "radius"
-        )
+        index.members.join(core.select("block", "loc", "radius"), ["block", "loc"])
     )
     linked = connected_components(radius_forest(index, core))
     # A core location without a link is a cluster of its own copies.

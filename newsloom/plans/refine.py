@@ -32,18 +32,21 @@ def frequent_word_patterns(members: DataFrame, word_pattern: str = fv.HANGUL_WOR
     """``(category, cluster_id, events)`` without a model.
 
     Seeds are the six words found in most of a cluster's titles; each brings the three words that share
-    most titles with it. Every join here is linear in the words of a title, whatever the cluster's size.
+    most titles with it. A title meets its cluster's seeds as one short list, and pairs are made within its row, so the
+    work is linear in the words of the titles, whatever the cluster's size.
     """
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(f"({word_pattern})"), F.lit(1)))
-    words = members.select(*CLUSTER, "id", F.explode(found).alias("word"))
-    counts = words.groupBy(*CLUSTER, "word").agg(F.count(F.lit(1)).alias("n"))
+    titles = members.select(*CLUSTER, found.alias("words"))
+    counts = titles.select(*CLUSTER, F.explode("words").alias("word")).groupBy(*CLUSTER, "word").agg(F.count(F.lit(1)).alias("n"))
     seeds = top_n(counts, CLUSTER, [F.desc("n"), F.asc("word")], SEEDS, "event_pos").drop("n")
+    lists = seeds.groupBy(*CLUSTER).agg(F.collect_list(F.struct("event_pos", "word")).alias("seeds"))  # SEEDS at most
+    own = F.filter("seeds", lambda s: F.array_contains("words", s["word"]))
     together = (
-        words.join(seeds, [*CLUSTER, "word"])
-        .withColumnRenamed("word", "seed")
-        .join(words, [*CLUSTER, "id"])
-        .where(F.col("word") != F.col("seed"))
-        .groupBy(*CLUSTER, "event_pos", "word")
+        titles.join(lists, CLUSTER)
+        .select(*CLUSTER, "words", F.explode(own).alias("seed"))
+        .select(*CLUSTER, "seed", F.explode("words").alias("word"))
+        .where(F.col("word") != F.col("seed.word"))
+        .groupBy(*CLUSTER, F.col("seed.event_pos").alias("event_pos"), "word")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     near = top_n(together, [*CLUSTER, "event_pos"], [F.desc("n"), F.asc("word")], COMPANIONS, "r")

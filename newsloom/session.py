@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 # Pages and prompts are wide rows: small Arrow batches keep the Python workers' memory flat.
@@ -57,6 +58,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def shared_files(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder in the shared folder, for tasks that write files of their own.
+
+    Hadoop has names of its own for some stores' schemes.
+    """
+    scheme, mark, rest = folder.partition("://")
+    known = {"s3a": "s3", "s3n": "s3"}
+    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}{mark}{rest}" if mark else folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` on the shared folder, so that lost executors do not replay its history."""
     spark = df.sparkSession

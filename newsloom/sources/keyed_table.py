@@ -151,6 +151,9 @@ class KeyedTable:
             raise ConcurrentMerge(f"{self.path}: merge {state.number} was published by another writer")
         return state
 
+    def exists(self) -> bool:
+        return bool(self._manifests())
+
     @classmethod
     def create(
         cls, rows: DataFrame, path: str, key: str | Sequence[str] = "id", slots: int = 64, by: str | None = None,
@@ -160,7 +163,7 @@ class KeyedTable:
         table = cls(rows.sparkSession, path)
         key = [key] if isinstance(key, str) else list(key)
         empty = State(0, key, by, [""] * slots, [], rows.schema)
-        if table._manifests():
+        if table.exists():
             raise FileExistsError(f"a keyed table is at {path} already")
         table._merge(empty, rows, insert=True, newest=newest)
         return table
@@ -193,12 +196,15 @@ class KeyedTable:
             found = found.where(F.col(SLOT).isin(list(slots)))
         return found.select(*state.schema.names)
 
-    def stored_keys(self, keys: DataFrame) -> DataFrame:
-        """Those of ``keys`` that the table has; only their slots and key columns are read."""
+    def stored_keys(self, keys: DataFrame, where: Column | None = None) -> DataFrame:
+        """Those of ``keys`` that the table has (in rows for which ``where`` holds); only their slots are read, and of
+        these the key's and the condition's columns."""
         state = self.state()
         wanted = keys.select(*state.key).where(_all_set(state.key)).distinct()
-        here = self.rows(state=state, slots=self._touched(state, wanted)).select(*state.key)
-        return wanted.join(here, state.key, "left_semi")
+        here = self.rows(state=state, slots=self._touched(state, wanted))
+        if where is not None:
+            here = here.where(where)
+        return wanted.join(here.select(*state.key), state.key, "left_semi")
 
     # --- merging ----------------------------------------------------------------------------
 

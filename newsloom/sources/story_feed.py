@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import parse_instant
 from newsloom.functions.text import absolute_url, is_blank, py_strip
+from newsloom.sources.feed_state import FeedState, read_pages
 from newsloom.sources.site_rules import SITE_RULES
 
 STORY_DDL = (
@@ -36,6 +37,17 @@ def feed_stories(spark: SparkSession, feed_path: str, stories_path: str) -> Data
     return flatten_stories(read_stories(spark, stories_path)).join(ids, "story_id", "left_semi").dropDuplicates(["story_id"])
 
 
+def unread_stories(spark: SparkSession, feed_path: str, stories_path: str, state: FeedState, run: str) -> DataFrame:
+    """Article rows of the stories listed by pages that no earlier run has read; ``state.record`` them when they are stored.
+
+    The run id makes a repeated run read the same pages again. A story that an earlier page listed as well comes again: the
+    feed moves on between runs, and what is stored already is dropped by its address.
+    """
+    pages = state.unread(read_pages(spark, feed_path), run)
+    ids = pages.select(F.explode("content_elements._id").alias("story_id")).where(~is_blank(F.col("story_id"))).distinct()
+    return flatten_stories(read_stories(spark, stories_path)).join(ids, "story_id", "left_semi").dropDuplicates(["story_id"])
+
+
 def parse_stories(docs: DataFrame, json_column: str) -> DataFrame:
     """Stories kept as JSON text in a column."""
     keys = [c for c in docs.columns if c != json_column]

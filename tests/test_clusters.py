@@ -5,8 +5,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from newsloom.operators.approximate import Planes, probe_order, recall_of
 from newsloom.operators.components import connected_components
-from newsloom.operators.neighbours import knn
+from newsloom.operators.neighbours import TileIndex, _reach, knn, locations
 from newsloom.plans.cluster import cluster_categories, density_cluster
 
 DDL = "g string, id long, embedding array<double>"
@@ -153,3 +154,81 @@ def test_vectors_that_a_model_gives_only_once(spark):
     points = spark.range(60).select("id", F.lit("c").alias("block"), unstable.asNondeterministic()("id").alias("embedding"))
     assert density_cluster(points, "block", eps=0.5).select("id").distinct().count() == 60
     assert knn(points, 2, "block").select("id").distinct().count() == 60
+
+
+def spread(n, seed=1, centres=60):
+    """Clusters of ten dimensions, ever more of them as there are more points."""
+    rng = np.random.default_rng(seed)
+    where = rng.normal(size=(centres, 10)) * 20
+    return where[rng.integers(0, centres, n)] + rng.normal(size=(n, 10)) * 0.3
+
+
+def looked(spark, n, tile=32):
+    """Pairs of locations that a search for five neighbours compares."""
+    points = frame(spark, spread(n, centres=n // 120)).select(F.col("g").alias("block"), "id", F.col("embedding").alias("vector"))
+    index = TileIndex(locations(points), tile)
+    pairs = index.tile_pairs(_reach(index, 5))
+    return pairs.agg(F.sum(F.col("v") * F.col("m"))).first()[0]
+
+
+def test_pairs_looked_at_grow_with_the_points_not_with_their_square(spark):
+    few, many = looked(spark, 600), looked(spark, 2400)
+    assert many < 8 * few  # sixteen-fold without pruning
+    assert many < 2400 * 2400 / 8
+
+
+def test_tiles_are_bounded_and_bound_their_rows(spark):
+    vectors = np.vstack([spread(500), np.zeros((200, 10)) + np.linspace(0, 1e-3, 200)[:, None]])
+    points = frame(spark, vectors).select(F.col("g").alias("block"), "id", F.col("embedding").alias("vector"))
+    index = TileIndex(locations(points), 32)
+    rows = index.members.join(index.centres, ["cell", "ball"]).toPandas()
+    assert len(rows) == 700 and rows.groupby("tile").size().max() <= 32
+    far = np.sqrt(((np.vstack(rows["vector"]) - np.vstack(rows["centre"])) ** 2).sum(1))
+    assert np.allclose(far, rows["far"])
+
+
+def test_neighbours_over_many_tiles(spark):
+    """Clusters, a crowded place, lonely points and small blocks, against brute force."""
+    rng = np.random.default_rng(9)
+    vectors = np.vstack([spread(400, 2), rng.normal(size=(150, 10)) * 1e-3, rng.normal(size=(9, 10)) * 500])
+    small = rng.normal(size=(4, 10))
+    df = frame(spark, vectors, "a").unionByName(frame(spark, small, "b").withColumn("id", F.col("id") + 10_000))
+    found = knn(df, 6, "g", tile=16).toPandas()
+    for offset, part in ((0, vectors), (10_000, small)):
+        d = distances(part)
+        np.fill_diagonal(d, np.inf)
+        want = np.sort(d, axis=1)[:, : min(6, len(part) - 1)]
+        for i in range(len(part)):
+            mine = found[found["id"] == i + offset].sort_values("rank")
+            assert np.allclose(mine["distance"], want[i], atol=1e-9)
+
+
+def test_hashing_finds_nine_in_ten(spark):
+    vectors = np.vstack([spread(1500, 4), np.repeat(spread(1, 5), 40, axis=0)])
+    df = frame(spark, vectors, "a").unionByName(frame(spark, spread(30, 6), "b").withColumn("id", F.col("id") + 10_000))
+    exact = knn(df, 5, "g")
+    near = knn(df, 5, "g", method="lsh", bucket=64)
+    shares = {r["g"]: r["recall"] for r in recall_of(near, exact, "g").collect()}
+    assert shares["a"] >= 0.9 and shares["b"] == 1.0
+    wrong = near.join(exact.withColumnRenamed("distance", "sure"), ["g", "id", "neighbour"]).where("abs(distance - sure) > 1e-9")
+    assert wrong.count() == 0
+    with pytest.raises(ValueError):
+        knn(df, 5, "g", method="guess")
+
+
+def test_hashing_looks_into_few_buckets(spark):
+    """With more points there are more planes: what a location is compared with stays about the same."""
+    shares = []
+    for n in (1000, 4000):
+        df = frame(spark, spread(n, 3, centres=n // 25)).select(F.col("g").alias("block"), "id", F.col("embedding").alias("vector"))
+        locs = locations(df)
+        planes = Planes(locs, 1, int(np.ceil(np.log2(n / 64))), 11)
+        sides = planes.sides(spread(n, 3, centres=n // 25), 0) > 0
+        sizes = np.unique(sides, axis=0, return_counts=True)[1]
+        shares.append((sizes**2).sum() / n)
+    assert shares[1] < 2.5 * shares[0]
+
+
+def test_probes_come_in_order_of_distance():
+    gaps = np.array([[3.0, 1.0, 2.0]])
+    assert probe_order(gaps, 6).tolist() == [[0, 0b010, 0b100, 0b110, 0b001, 0b011]]
