@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,14 +34,14 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the folder that the cluster names in spark.checkpoint.dir, and read back.
 
     Cuts the lineage: a lost executor costs the tasks it ran, and nothing before the table.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.stored_at = path
     return table
@@ -56,16 +55,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shared_files(folder: str) -> tuple[fs.FileSystem, str]:
-    """The file system and path of a folder in the shared folder, for tasks that write files of their own formats.
-
-    Hadoop has names of its own for some stores' schemes.
-    """
-    scheme, mark, rest = folder.partition("://")
-    known = {"s3a": "s3", "s3n": "s3"}
-    return fs.FileSystem.from_uri(f"{known.get(scheme, scheme)}{mark}{rest}" if mark else folder)
-
-
 def packed(texts: pa.ChunkedArray | pa.Array) -> pa.Array:
     """Texts as compressed UTF-8, for shuffles; null stays null."""
     return pa.array(

@@ -1,6 +1,7 @@
 """Token ids of documents in binary files: ids by frequency rank, in byte-aligned lengths with separate control bytes.
 
-1. Every text is encoded once, an end id is appended, and the ids are stored beside the document's id.
+1. Every text is encoded once (a byte-level tokenizer encodes a text's pieces one by one, so a task asks it for a piece
+   once for many texts), an end id is appended, and the ids are stored beside the document's id.
 2. Ids are counted over all documents; an id is written as its rank, the most frequent first, so that most of them
    take one byte. The table of ranks is bounded by the vocabulary and written once, as ``ranks.bin``.
 3. Documents are dealt by range in ascending order of their ids, and a task writes its range as one shard of blocks.
@@ -18,7 +19,11 @@ Strings of special tokens within a text are ordinary text. Other columns are not
 
 from __future__ import annotations
 
+import json
+import re
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.tables import shared_files, small_batches, stored
-from newsloom.session import scratch_path
+from newsloom.llm.tables import small_batches, stored
+from newsloom.session import scratch_path, shared_files
 
 VOCABULARY_FILE = "byte_bpe_50k.json"
 END_ID = 2
 # Ids of a block (whole documents, so one long document may have more), of a shard, and characters encoded together.
 BLOCK_IDS, SHARD_IDS, ENCODED_CHARS = 1 << 16, 64 << 20, 1 << 18
+# Pieces whose ids a worker remembers, and new ones that it encodes together.
+KNOWN_PIECES, PIECES_AT_ONCE = 1 << 20, 2000
 # Shards are not smaller than this unless there is nothing more.
 LEAST_SHARD_IDS = 1 << 20
 MAGIC, HEADER, HEADER_BYTES = b"TIDB", "<4sIIII", 20
@@ -131,16 +138,96 @@ def read_blocks(stream) -> Iterator[Block]:
         yield Block([None if none else i for i, none in zip(numbers, missing, strict=True)], counts, values)
 
 
+# Letters, numbers and white space among characters whose classes have never changed; texts of others go the plain way.
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏА-яЁёぁ-ゖァ-ヺ一-龥가-힣"
+NUMBERS, SPACES = "0-9²³¹¼½¾", "\t-\r \x85\xa0"
+UNSURE = re.compile(rf"[^\x00-ɏ‐-‧‰-⁞{LETTERS}]")
+# The pieces of a byte-level tokenizer: fixed by the vocabulary's format.
+PIECES = re.compile(
+    rf"'(?:[stmd]|re|ve|ll)| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{SPACES}{LETTERS}{NUMBERS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+)
+
+
+def letters_of_bytes() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself where Latin-1 shows it, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def without_pieces(text: str) -> str | None:
+    """The file of the same tokenizer for texts cut into pieces already; None for one of another kind."""
+    config = json.loads(text)
+    before = config.get("pre_tokenizer") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if not plain or config.get("normalizer") is not None or config["model"]["type"] != "BPE":
+        return None
+    return json.dumps(config | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []})
+
+
+def remembered(text: str, kind: str) -> dict:
+    """What this Python worker keeps from one task to the next about a tokenizer: functions travel by value, and so their
+    module's globals are new in every task."""
+    held = sys.modules.setdefault("newsloom_token_pieces", types.ModuleType("newsloom_token_pieces"))
+    return vars(held).setdefault(f"{zlib.crc32(text.encode())} {kind}", {"pieces": {}})
+
+
 def _encode(text: str, end_id: int, kind: str):
+    from tokenizers import Tokenizer
+
+    bare_text = without_pieces(text)
+    vocabulary = Tokenizer.from_str(text).get_vocab()
+    letters_in = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+    for token, i in vocabulary.items():
+        letters_in[i] = len(token)
+
     def step(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(text)
-        tokenizer.encode_special_tokens = True
-        end = np.array([end_id], dtype=kind)
+        kept = remembered(text, kind)
+        end = np.array([end_id], dtype=kind).tobytes()
+        known: dict[str, bytes] = kept["pieces"]
+        if bare_text and "bare" not in kept:
+            kept["bare"] = Tokenizer.from_str(bare_text)
+        bare = kept.get("bare")
+        letters, size = letters_of_bytes(), np.dtype(kind).itemsize
+
+        def ids_of(texts):
+            if not texts:
+                return []
+            if "whole" not in kept:  # loaded for the first text that needs it
+                kept["whole"] = Tokenizer.from_str(text)
+                kept["whole"].encode_special_tokens = True
+            found = kept["whole"].encode_batch_fast(texts, add_special_tokens=False)
+            return [np.array(e.ids, dtype=kind).tobytes() for e in found]
+
+        def learn(pieces):
+            """New pieces are encoded together; the letters of an id say how many bytes of them it takes."""
+            for i in range(0, len(pieces), PIECES_AT_ONCE):
+                part = pieces[i : i + PIECES_AT_ONCE]
+                spelt = [p.encode().decode("latin-1").translate(letters) for p in part]
+                found = bare.encode_batch_fast([spelt], is_pretokenized=True, add_special_tokens=False)[0].ids
+                ids = np.array(found, dtype=kind)
+                ends = np.cumsum([len(p) for p in spelt])
+                cuts = (size * (np.searchsorted(np.cumsum(letters_in[ids]), ends) + 1)).tolist()
+                raw = ids.tobytes()
+                known.update((p, raw[a:b]) for p, a, b in zip(part, [0, *cuts], cuts, strict=False))
+
+        def encoded(texts):
+            """The ids of each text with the end; pieces are encoded once for many texts."""
+            plain = [bare is None or UNSURE.search(t) is not None for t in texts]
+            others = iter(ids_of([t for t, p in zip(texts, plain, strict=True) if p]))
+            pieces = [[] if p else PIECES.findall(t) for t, p in zip(texts, plain, strict=True)]
+            if len(known) > KNOWN_PIECES:
+                known.clear()
+            learn(list(set().union(*pieces).difference(known)))
+            return [
+                (next(others) if p else b"".join(map(known.__getitem__, own))) + end
+                for p, own in zip(plain, pieces, strict=True)
+            ]
 
         def chunks(texts):
             held, chars = [], 0
@@ -156,16 +243,13 @@ def _encode(text: str, end_id: int, kind: str):
         for batch in batches:
             numbers, at = batch.column("doc_id"), 0
             for part in chunks(batch.column("text").to_pylist()):
-                found = [
-                    np.concatenate([np.array(e.ids, dtype=kind), end])
-                    for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)
-                ]
+                found = encoded(part)
                 yield pa.record_batch(
                     [
                         numbers.slice(at, len(part)),
-                        pa.array([len(f) for f in found], pa.int64()),
-                        pa.array([zlib.crc32(f.astype("<u4").tobytes()) for f in found], pa.int64()),
-                        pa.array([f.tobytes() for f in found], pa.binary()),
+                        pa.array([len(f) // np.dtype(kind).itemsize for f in found], pa.int64()),
+                        pa.array([zlib.crc32(np.frombuffer(f, kind).astype("<u4").tobytes()) for f in found], pa.int64()),
+                        pa.array(found, pa.binary()),
                     ],
                     names=["doc_id", "n_tokens", "checksum", "ids"],
                 )
@@ -250,7 +334,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
     slim = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     columns = "doc_id long, n_tokens long, checksum long, ids binary"
     encoded = slim.mapInArrow(_encode(text, end_id, kind), columns)
-    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "token-ids")
+    encoded = stored(encoded.withColumn("row", F.monotonically_increasing_id()), "token-ids", "zstd")
 
     # at most one row for each id of the vocabulary
     seen = encoded.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
