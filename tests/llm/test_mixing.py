@@ -54,9 +54,9 @@ def test_empty_table(spark):
     assert mix_sources(frame(spark, [])).collect() == []
 
 
-def test_budget_is_met_exactly_if_a_subset_does():
+def test_budget_is_met_as_well_as_any_subset_does():
     rng = np.random.default_rng(0)
-    for turn in range(40):
+    for turn in range(60):
         sizes = np.unique(rng.integers(1, 60, 8))
         counts = rng.integers(0, 5, len(sizes))
         whole = int((sizes * counts).sum())
@@ -64,15 +64,53 @@ def test_budget_is_met_exactly_if_a_subset_does():
         reachable = {0}
         for s, n in zip(sizes, counts, strict=True):
             reachable = {x + k * int(s) for x in reachable for k in range(int(n) + 1)}
-        taken = fit_budget(sizes, counts, budget, exact=10 if turn % 2 else 10_000)
+        taken = fit_budget(sizes, counts, budget, seed=turn, exact=10 if turn % 2 else 10_000)
         assert (taken >= 0).all() and (taken <= counts).all()
         got = int((sizes * taken).sum())
-        assert got <= budget
+        assert got in reachable and got <= budget
         if turn % 2 == 0:
-            low = np.array([int(n) * budget // max(whole, 1) for n in counts])
-            rest = {0}
-            for s, n in zip(sizes, counts - low, strict=True):
-                rest = {x + k * int(s) for x in rest for k in range(int(n) + 1)}
-            base = int((sizes * low).sum())
-            assert got == max(base + x for x in rest if base + x <= budget)
-        assert got in reachable
+            assert got == max(x for x in reachable if x <= budget)
+
+
+def test_every_length_gives_its_share():
+    """Almost every length is that of one document, as in real sources: no quartile is preferred."""
+    rng = np.random.default_rng(1)
+    sizes, counts = np.unique(rng.lognormal(5.5, 1.0, 6000).astype(np.int64) + 1, return_counts=True)
+    whole = int((sizes * counts).sum())
+    for share in (0.05, 0.13, 0.5, 0.9):
+        budget = int(share * whole)
+        taken = fit_budget(sizes, counts, budget, seed=3)
+        assert int((sizes * taken).sum()) == budget
+        place = np.cumsum(counts) / counts.sum()
+        for q in range(4):
+            own = (place > q / 4) & (place <= (q + 1) / 4)
+            assert abs(taken[own].sum() / counts[own].sum() - share) < 0.04
+
+
+def test_one_long_document_among_short_ones():
+    sizes, counts = np.array([1, 5, 3_000_000]), np.array([50, 40, 2])
+    for budget in (100, 2_999_000, 3_000_120, 6_000_100):
+        got = int((sizes * fit_budget(sizes, counts, budget)).sum())
+        assert got <= budget and budget - got <= max(0, budget % 3_000_000 - 250) + (budget < 3_000_000) * budget
+
+
+def test_another_seed_takes_other_documents(spark):
+    taken = []
+    for seed in (17, 99):
+        found = mix_sources(frame(spark, documents(seed=4)), seed=seed).collect()
+        taken.append({(r["doc_id"], r["copies"]) for r in found})
+    assert taken[0] != taken[1]
+    a, b = (fit_budget(np.arange(1, 400), np.ones(399, dtype=np.int64), 20_000, seed=s) for s in (1, 2))
+    assert (a != b).sum() > 100 and (np.arange(1, 400) * a).sum() == (np.arange(1, 400) * b).sum() == 20_000
+
+
+def test_many_equal_rows_are_taken_in_part(spark):
+    """A source of one text many times over, with and without ids: as many copies as the target asks for."""
+    rows = [(1, "a b c d", "en", "s0")] * 300 + [(None, "a b c d", "en", "s0")] * 300
+    rows += [(i, f"w{i} x y z", "en", "s1") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = mix_sources(docs).collect()
+    assert len(found) == 1500
+    for size, target in ((2400, 2000), (3600, 4000)):
+        own = [r for r in found if r["source_size"] == size]
+        assert sum(r["taken"] for r in own) == target
