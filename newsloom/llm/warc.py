@@ -25,13 +25,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.tables import small_batches, stored
-from newsloom.session import scratch_path
+from newsloom.session import scratch_path, shared_files
 
 ROLL_BYTES = 256 << 20
 CHUNK = 1 << 16
@@ -198,13 +197,9 @@ def read_records(stream, payloads: bool = False) -> Iterator[Record]:
         rest = member.unpacker.unused_data or stream.read(CHUNK)
 
 
-def _file_system(folder: str):
-    return fs.FileSystem.from_uri(folder)
-
-
 def _write_archives(folder: str, roll: int):
     def step(batches):
-        system, base = _file_system(folder)
+        system, base = shared_files(folder)
         system.create_dir(base, recursive=True)
         part, turn, written, records = TaskContext.get().partitionId(), uuid.uuid4().hex, [], 0
         sink, temporary, size = None, "", 0
@@ -268,7 +263,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, roll: int
 
 def _read_archives(folder: str, payloads: bool):
     def step(batches):
-        system, _ = _file_system(folder)
+        system, _ = shared_files(folder)
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
@@ -311,7 +306,8 @@ def read_archives(archives: DataFrame, folder: str, payloads: bool = False) -> D
     payload)``; payload is null for revisits' and where it is not asked for."""
     return (
         archives.select("path")
-        .repartition("path")
+        # as many tasks as archives: rows of paths are too few for the adaptive plan to keep them apart
+        .repartitionByRange(max(archives.count(), 1), "path")
         .mapInArrow(
             _read_archives(folder, payloads),
             "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, "
