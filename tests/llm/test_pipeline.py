@@ -5,7 +5,7 @@ from collections import Counter
 
 import regex
 
-import corpus_pipeline as pipeline
+from newsloom.llm import pipeline
 from newsloom.llm.suffix_dedup import joined_spans
 
 from .cases import SCHEMA, documents, sentence, shingles
@@ -136,6 +136,17 @@ def test_passages_of_more_than_fifty_short_words_are_cut(spark, tmp_path):
         assert short not in r["text"] and r["n_chars"] == len(r["text"])
 
 
+def test_every_group_of_texts_keeps_one(spark, tmp_path):
+    """Ids that have two texts, of which one is a copy of another document's."""
+    rng = random.Random(8)
+    a, b = sentence(rng, "en", 60), sentence(rng, "en", 60)
+    more = documents()[0][2:]
+    rows = [(3, a, *more), (60, a, *more), (60, b, *more), (90, b, *more), (90, b, *more)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = pipeline.near_duplicate_groups(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, a), (60, b)]
+
+
 def test_one_of_repeated_rows_stays(spark, tmp_path):
     """Copies with ids, without ids, and with other columns; long ones would be cut out of one another."""
     plain = documents(seed=3)[:6]
