@@ -9,8 +9,8 @@ worth each. What leaves a tile are sums of links and a spanning set of edges, ne
 Equal vectors of a label are one class with a number of copies, so copies never meet in pairs.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing;
-neither do vectors of different lengths. Null ids: a row is then known by its vector. Rows that share an id are
-one vector for components and count once each as links; repeated rows are copies of each other. Columns other than
+neither do vectors of different lengths. Null ids: a row is then known by its vector. Rows that share an id are judged
+each by its own vector and count once each as links; repeated rows are copies of each other. Columns other than
 vec_id, label and embedding are not looked at.
 """
 
