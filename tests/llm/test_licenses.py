@@ -1,3 +1,4 @@
+import random
 import re
 
 from newsloom.llm.licenses import TEMPLATES, Scanner, bands_for, scan_licenses
@@ -36,6 +37,49 @@ def test_changed_notices_above_and_below_the_threshold():
     assert "mit" not in found[1]
 
 
+def brute(text, templates, size=5, threshold=0.8):
+    """Every window of two blocks against every template, by sets of word tuples."""
+
+    def runs(t):
+        words = (t or "").encode().lower().split()
+        return [tuple(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))] if words else []
+
+    own, best = runs(text), {}
+    for name, texts in templates.items():
+        for template in texts:
+            wanted = set(runs(template))
+            block = 1 << (len(wanted) - 1).bit_length()
+            for at in range(0, len(own), block):
+                share = len(wanted & set(own[at : at + (1 if block == 1 else 2 * block)])) / len(wanted)
+                if share >= threshold and (-share, at) < best.get(name, (0, 0)):
+                    best[name] = (-share, at)
+    return {name: (-share, at) for name, (share, at) in best.items()}
+
+
+def test_query_against_brute_force(spark):
+    """Notices of all lengths, whole, changed, cut and doubled, anywhere in texts of words that notices use as well."""
+    rng = random.Random(12)
+    words = sorted({w for texts in TEMPLATES.values() for t in texts for w in t.split()})
+    notices = [t for texts in TEMPLATES.values() for t in texts]
+
+    def changed(t):
+        kept = t.split()
+        for _ in range(rng.choice([0, 0, 1, 2, 4])):
+            kept[rng.randrange(len(kept))] = rng.choice(words)
+        return " ".join(kept[rng.choice([0, 0, 0, 2]) :])
+
+    rows = [(1, None), (2, ""), (3, notices[0]), (4, " ".join(notices)), (4, " ".join(notices))]
+    for i in range(150):
+        parts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120)))]
+        for _ in range(rng.randint(0, 3)):
+            parts += [changed(rng.choice(notices)), " ".join(rng.choice(words) for _ in range(rng.randint(0, 60)))]
+        rows.append((10 + i, " ".join(parts)))
+    found = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(i, name, *where) for i, t in rows for name, where in brute(t, TEMPLATES).items()]
+    assert len(want) > 100
+    assert sorted(tuple(r) for r in found) == sorted(want)
+
+
 def test_rows_and_odd_cases(spark):
     rows = documents()
     rows += [(100 + i, f"{rows[i][1]}\n{t[0]}", "en", "s", 1, *rows[0][5:]) for i, t in enumerate(TEMPLATES.values())]
