@@ -131,6 +131,7 @@ def sql_replace(x: str, rules: list[tuple[str, str]]) -> str:
     return x
 
 
+# The noise patterns of ``functions/fixed_values.py`` as DuckDB writes them.
 SQL_NOISE = [
     (r"\([^)]*\)", ""),
     (r"[가-힣]{2,4}" + SQL_SPACE + "*기자" + SQL_SPACE + "*=", ""),

@@ -159,6 +159,7 @@ def _(t: Tables):
 HANGUL_WORDS = "['김민수', '국무총리', '여당', '특검수사', '강력반발', '예산의혹', '정책', '규탄', '입장발표', '지방정부대책', '탄핵소추']"
 SQL_HANGUL = f"""hangul AS (SELECT user_id, event_type, CAST(event_id AS VARCHAR) AS id, ts AS published_at,
  {HANGUL_WORDS}[1 + event_id % 11] || ' ' || {HANGUL_WORDS}[1 + user_id % 11] AS title FROM events)"""
+# The word classes of ``functions/fixed_values.py`` as DuckDB writes them.
 SQL_CLASS = """CASE WHEN regexp_matches(word, '^[가-힣]{2,3}$|^[가-힣]+(대통령|의원|장|총리|원장)$') THEN 'person'
  WHEN regexp_matches(word, '(부|청|원|당|국)$|대법원장|검찰청장|국정원장|경찰청장') THEN 'position'
  WHEN regexp_matches(word, '(의혹|사건|논란|특검|탄핵|구속|수사|청탁|회동|만남)$') THEN 'event'

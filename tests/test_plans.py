@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from newsloom.catalog.base import Tables
-from newsloom.operators import windows
+from newsloom.operators import aggregates, windows
 from newsloom.sources import scans
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -62,3 +62,15 @@ def test_bodies_join_after_the_ranking(spark):
     optimised = pack_context(rows, ["issue_id", "bias"])._jdf.queryExecution().optimizedPlan().toString()
     ranking = [line for line in optimised.splitlines() if "Window [" in line]
     assert ranking and not any("content" in line for line in ranking)
+
+
+def test_words_are_hashed_not_sorted(spark):
+    titles = spark.range(500).select(
+        F.lit("g").alias("g"), F.timestamp_seconds("id").alias("published_at"), F.col("id").cast("string").alias("id"),
+        F.concat(F.lit("word w"), F.col("id") % 7).alias("title"),
+    )
+    counts = aggregates.word_counts(titles, ["g"], "[a-z0-9]+")
+    shown = plan(counts)
+    assert "SortAggregate" not in shown and "HashAggregate" in shown
+    top = aggregates.top_words(counts, ["g"], 3).orderBy("word_rank").collect()
+    assert [(r["word"], r["n"]) for r in top] == [("word", 500), ("w0", 72), ("w1", 72)]
