@@ -19,7 +19,7 @@ text are not looked at.
 from __future__ import annotations
 
 import math
-import zlib
+import struct
 
 import numpy as np
 import pandas as pd
@@ -37,9 +37,19 @@ END_WORD = 10
 PENDING = 1 << 22  # grams that are gathered before they are counted
 
 
+def pack(data: bytes) -> bytes:
+    """Compressed, for shuffles: the length and a frame."""
+    return struct.pack("<Q", len(data)) + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def unpack(packed: bytes) -> bytes:
+    (size,) = struct.unpack_from("<Q", packed)
+    return pa.Codec("zstd").decompress(packed[8:], size, asbytes=True)
+
+
 def _packed(batches):
     for batch in batches:
-        packed = [zlib.compress(words_of(t.as_py()), 1) for t in batch.column("text")]
+        packed = [pack(words_of(t.as_py())) for t in batch.column("text")]
         columns = [batch.column(n) for n in ("doc_id", "batch", "held_out")]
         yield pa.record_batch([*columns, pa.array(packed, pa.binary())], names=["doc_id", "batch", "held_out", "packed"])
 
@@ -119,7 +129,7 @@ def _counts(depth: int):
                     if now is not None:
                         yield from made(now, words, grams)
                     now, words, grams = batch, [Counter64(), Counter64()], [Counter64(), Counter64()]
-                joined = zlib.decompress(packed.as_py())
+                joined = unpack(packed.as_py())
                 words[held].add(word_keys(joined))
                 grams[held].add(grams_of(joined, depth))
         if now is not None:
@@ -264,7 +274,7 @@ def _score(depth: int, tokens: int, distinct: int):
             return table[1][at], n
 
         for packed in docs["packed"]:
-            joined = zlib.decompress(packed)
+            joined = unpack(packed)
             times, n = looked_up(word_keys(joined), tables[0])
             values, m = looked_up(grams_of(joined, depth), tables[1])
             out["n_tokens"].append(int(n.sum()))
