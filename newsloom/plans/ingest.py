@@ -30,20 +30,23 @@ def article_record(rows: DataFrame, now: Column) -> DataFrame:
 def tag_outcomes(incoming: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("media_id", "url")) -> DataFrame:
     """Incoming rows with what the save step does to them.
 
-    Stored keys are made distinct first, so the join never multiplies incoming rows.
+    Stored keys are counted first, so the join never multiplies incoming rows; ``n_stored`` is how many stored rows have
+    the row's key.
     """
-    known = stored.select(*keys).distinct().withColumn("__known", F.lit(True))
-    marked = incoming.join(known, list(keys), "left")
+    known = stored.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_stored"))
+    marked = incoming.join(known, list(keys), "left").withColumn("n_stored", F.coalesce("n_stored", F.lit(0)))
     outcome = (
-        F.when(F.col("__known"), OUTCOME_DUPLICATE)
+        F.when(F.col("n_stored") > 0, OUTCOME_DUPLICATE)
         .when(~long_enough(F.col("content")), OUTCOME_SHORT)
         .otherwise(OUTCOME_STORED)
     )
-    return marked.withColumn("outcome", outcome).drop("__known")
+    return marked.withColumn("outcome", outcome)
 
 
-def save_counters(tagged: DataFrame) -> DataFrame:
-    return tagged.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+def save_counters(tagged: DataFrame, per_match: bool = False) -> DataFrame:
+    """Rows of each outcome; ``per_match`` counts a duplicate once for every stored row that has its key."""
+    n = F.sum(F.greatest("n_stored", F.lit(1))) if per_match else F.count(F.lit(1))
+    return tagged.groupBy("outcome").agg(n.alias("n"))
 
 
 def new_articles(incoming: DataFrame, stored: DataFrame, now: Column) -> DataFrame:

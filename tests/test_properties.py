@@ -77,6 +77,22 @@ def test_outcomes_with_repeated_stored_urls(spark):
     assert got == {"skipped_duplicate": 1, "too_short": 1}
 
 
+def test_save_counters_next_to_sql_with_repeated_addresses(spark, tmp_path):
+    """Addresses that are stored twice, pages without html, and pages of nothing but white space."""
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    again, plain = "https://a.example.com/1?x=1", "https://a.example.com/2"
+    pages = [(1, again, "x" * 30_000), (2, again, "x"), (3, plain, None), (4, plain, " " * 25_000), (5, plain, "x"), (6, None, "x")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["outcome"]: r["n"] for r in queries()["agg16_save_counters"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == dict(con.execute(oracle_sql()["agg16_save_counters"]).fetchall())
+    assert got == {"skipped_duplicate": 4, "inserted": 2, "too_short": 2}
+
+
 def test_shares_add_up(spark):
     from newsloom.catalog.base import Tables
 
