@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from newsloom.operators.tables import union_all
 from newsloom.operators.windows import number_within, top_n
 
 TextModel = Callable[[list[str]], list[str | None]]
+PieceModel = Callable[[Iterator[str]], str | None]  # reads one prompt piece by piece
 BATCH = 16
 TITLES_PER_PART = 2_000
 
@@ -48,6 +50,29 @@ def generate(df: DataFrame, prompt: str, model: TextModel | None, fallback: str
     return df.withColumn(answer, F.coalesce(answers.asNondeterministic()(F.col(prompt)), spare))
 
 
+def generate_from_pieces(pieces: DataFrame, keys: Sequence[str], order: str, piece: str, model: PieceModel) -> DataFrame:
+    """``(keys, answer)``: a model's answer to the prompt that the pieces of each group make up, joined in their order.
+
+    The answer to a whole prompt needs one reader of all of it, so a group's pieces pass through one task, but one by one:
+    the task holds a batch of pieces and never a prompt. A model that fails gives a null answer.
+    """
+    keys = list(keys)
+    n = len(keys)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (row for batch in batches for row in batch.itertuples(index=False, name=None))
+        for key, group in groupby(rows, key=lambda row: row[:n]):
+            try:
+                answer = model(row[n] for row in group)
+            except Exception:  # noqa: BLE001 - whatever the model raises means "no answer"
+                answer = None
+            yield pd.DataFrame([(*key, answer)], columns=[*keys, "answer"], dtype=object)
+
+    types = dict(pieces.dtypes)
+    placed = pieces.repartition(*keys).sortWithinPartitions(*keys, order).select(*keys, piece)
+    return placed.mapInPandas(read, ", ".join([*[f"{k} {types[k]}" for k in keys], "answer string"]))
+
+
 def numbered_lines(rows: Column) -> Column:
     """``1. title`` lines of an ``array<struct<rank, title>>``."""
     lines = F.transform(F.array_sort(rows), lambda r: F.concat(r["rank"].cast("string"), F.lit(". "), r["title"]))

@@ -27,8 +27,11 @@ def similarities(articles: DataFrame, keys: Sequence[str], vector: str = "embedd
 def representatives(
     articles: DataFrame, keys: Sequence[str], n: int = fv.REPRESENTATIVES, vector: str = "embedding"
 ) -> DataFrame:
-    """The n most similar articles of each group with their rank; all of them where there are fewer."""
-    order = [F.desc("similarity"), F.asc("published_at"), F.asc("id")]
+    """The n most similar articles of each group with their rank; all of them where there are fewer.
+
+    Of equally similar ones the earliest comes first, undated ones last.
+    """
+    order = [F.desc("similarity"), F.asc_nulls_last("published_at"), F.asc("id")]
     return top_n(similarities(articles, keys, vector), keys, order, n, "rank")
 
 

@@ -8,13 +8,22 @@ from pyspark.sql import functions as F
 from newsloom.functions import fixed_values as fv
 from newsloom.functions import text
 from newsloom.operators.aggregates import keyword_classes, word_counts
-from newsloom.operators.generate import TextModel, article_blocks, generate, pack_context, title_lists
+from newsloom.operators.generate import (
+    PieceModel,
+    TextModel,
+    article_blocks,
+    generate,
+    generate_from_pieces,
+    pack_context,
+    title_lists,
+)
 from newsloom.operators.representatives import representatives, with_bodies
 from newsloom.operators.tables import with_bias
 from newsloom.session import cut_lineage
 
 SIDES = ["left", "right"]
 FOLD = 20
+PIECE_TITLES = 100  # titles of a piece, for models that read a prompt in pieces
 TITLE_PROMPT = "Write one headline of at most 30 characters for these stories.\n\n%s\n\nKeywords:\n%s\nHeadline only:"
 SUMMARY_PROMPT = "Summarise the issue behind these stories evenly and neutrally in about 300 characters.\n\n%s\nSummary only:"
 PERSPECTIVE_PROMPT = (
@@ -121,17 +130,32 @@ def _fold(answers: DataFrame, model: TextModel) -> DataFrame:
     return current.select("issue_id", "bias", F.when(F.col("failed_parts") == 0, F.col("answer")).alias("answer"), "failed_parts")
 
 
+def _whole_answers(contexts: DataFrame, reader: PieceModel) -> DataFrame:
+    """One answer per side to its whole prompt, whatever its length: the reader gets it in pieces, in order."""
+    opening, middle, closing = PERSPECTIVE_PROMPT.split("%s")
+    start = F.when(F.col("part") == 0, F.concat(F.lit(opening), "bias", F.lit(middle))).otherwise(F.lit(""))
+    pieces = contexts.select("issue_id", "bias", "part", F.concat(start, "text").alias("piece"))
+    last = contexts.groupBy("issue_id", "bias").agg((F.max("part") + 1).alias("part")).withColumn("piece", F.lit(closing))
+    answers = generate_from_pieces(pieces.unionByName(last), ["issue_id", "bias"], "part", "piece", reader)
+    return answers.withColumn("failed_parts", F.col("answer").isNull().cast("long"))
+
+
 def issue_perspectives(
     issues: DataFrame, articles: DataFrame, outlets: DataFrame, model: TextModel | None = None,
-    titles_per_part: int | None = None,
+    titles_per_part: int | None = None, reader: PieceModel | None = None,
 ) -> DataFrame:
     """``(id, left_perspective, right_perspective, left_failed_parts, right_failed_parts)`` of every issue.
 
     Sides with few articles get a set text; sides of which a part failed get the fallback text, and a count.
+    A ``model`` answers the parts of a long context, and its answers are merged; a ``reader`` takes any context as one prompt.
     """
+    if reader is not None:
+        titles_per_part = titles_per_part or PIECE_TITLES
     contexts = perspective_contexts(articles, outlets, titles_per_part)
     enough = contexts.where(F.col("n_articles") >= fv.MIN_PERSPECTIVE_ARTICLES)
-    if model is None:
+    if reader is not None:
+        answers = _whole_answers(cut_lineage(enough), reader)
+    elif model is None:
         answers = enough.select("issue_id", "bias").distinct().withColumn("answer", F.lit(None).cast("string"))
         answers = answers.withColumn("failed_parts", F.lit(0).cast("long"))
     else:
