@@ -7,9 +7,12 @@ its centre and the least and greatest distance to it.
 
 A search compares tiles by these three first: balls of cells, then tiles of the cells that remain. By the triangle
 inequality a tile can only hold something within reach of another if their shells come that close. What is left are pairs of
-tiles; a location is sent once for each pair of its tile, and one task step compares one tile of members with one of
-visitors and returns at most k neighbours per visitor, or one link per location of the pair. Visitors of a tile are
-parted by how far they have to look, so that one lonely location does not make its whole tile look far. Nothing is
+tiles. Neighbouring tiles of a block travel together, ``GROUPED`` full tiles in a group: a location is sent once to each
+group that holds a tile of its pairs, so where nothing can be pruned (high-dimensional noise, many small balls) a block of n
+locations ships 2 n^2 / (GROUPED * tile) rows however small its tiles are. One task step compares a group of members with one
+of visitors, a few hundred rows at a time, and returns at most k neighbours per visitor, or one link per location of the pair.
+Visitors of a tile are parted by how far they have to look, so that one lonely location does not make its whole tile look
+far; how far is bounded by the k nearest of its own group. Nothing is
 approximate, and no ball, however full, has to fit one task. Clusters far smaller than a tile share its shells and are not told
 apart; a smaller ``tile`` prunes more and costs more tasks. ``approximate`` has the other way, chosen by ``method``.
 """
@@ -21,14 +24,16 @@ from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.approximate import lsh_search
 from newsloom.operators.windows import number_within, top_n
 from newsloom.session import cut_lineage
 
-TILE = 2048  # rows of one side of a comparison
+TILE = 2048  # rows of a tile
+GROUPED = 4  # full tiles that travel together, as one side of a comparison
+STRIPE = 256  # rows of one side that are compared at once
 ASSIGNED = 8  # tiles of locations that one step gives to the balls of a cell
 
 
@@ -56,7 +61,24 @@ def _frame(columns: dict[str, list]) -> pd.DataFrame:
 
 def _squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared distances between the rows of two tiles."""
-    return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
+    d = a @ (-2.0 * b).T
+    d += (a * a).sum(1)[:, None]
+    d += (b * b).sum(1)[None, :]
+    return np.maximum(d, 0.0, out=d)
+
+
+def _stripes(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """``_squared`` for a few rows of ``a`` at a time, with the first row's number."""
+    for at in range(0, len(a), STRIPE):
+        yield at, _squared(a[at : at + STRIPE], b)
+
+
+def _exact_pairs(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``_exact`` of rows ``i`` of one side and ``j`` of the other, in bounded memory however many pairs there are."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 65_536):
+        out[at : at + 65_536] = _exact(a[i[at : at + 65_536]], b[j[at : at + 65_536]])
+    return out
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,7 +138,9 @@ class TileIndex:
 
     def _one_ball(self, in_cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         """A table of one tile: the cell's pivot is the centre."""
-        members = cut_lineage(in_cells.withColumn("ball", F.lit(0)).withColumn("tile", F.lit(0)).withColumn("far", F.col("away")))
+        members = cut_lineage(
+            in_cells.withColumn("ball", F.lit(0)).withColumn("tile", F.lit(0)).withColumn("far", F.col("away")).withColumn("grp", F.lit(0))
+        )
         centres = self.spark.createDataFrame([(0, 0, self.pivots[0].tolist())], "cell int, ball int, centre array<double>")
         return members.withColumn("tile", F.concat_ws(":", "cell", "ball", "tile")), centres
 
@@ -156,7 +180,18 @@ class TileIndex:
         placed = number_within(balls, ["block", "cell", "ball"], [F.asc("far"), F.asc("loc")], "__n")
         shell = F.floor((F.col("__n") - 1) / self.tile).cast("int")
         members = placed.withColumn("tile", F.concat_ws(":", "cell", "ball", shell)).drop("__n")
-        return cut_lineage(members), centres
+        self.groups = cut_lineage(self._grouped(members))
+        return cut_lineage(members.join(self.groups, ["block", "tile"])), centres
+
+    def _grouped(self, members: DataFrame) -> DataFrame:
+        """``(block, tile, grp)``: tiles of a block in a row, in groups of about as many rows, ``GROUPED`` full tiles at most
+        and the last one's rest."""
+        sizes = members.groupBy("block", "cell", "ball", "tile").agg(F.count(F.lit(1)).alias("n"))
+        whole = Window.partitionBy("block")
+        before = whole.orderBy("cell", "ball", "tile").rowsBetween(Window.unboundedPreceding, -1)
+        start, total = F.coalesce(F.sum("n").over(before), F.lit(0)), F.sum("n").over(whole)
+        parts = F.ceil(total / (GROUPED * self.tile))
+        return sizes.select("block", "tile", F.floor(start * parts / total).cast("int").alias("grp"))
 
     def _described(self, rows: DataFrame, *more: str | Column) -> DataFrame:
         """Tiles of some rows: their centre, and the least and greatest distance to it."""
@@ -209,10 +244,11 @@ class TileIndex:
                 for row in v.itertuples(index=False):
                     apart = _exact(centres, np.asarray(row.centre, dtype=np.float64)[None, :])
                     least = np.maximum.reduce([apart - row.hi - hi, row.lo - apart - hi, lo - apart - row.hi])
-                    for j in np.flatnonzero(least <= row.reach + margin):
-                        values = (row.block, row.tile, int(row.span), names[j], row.n, n[j])
-                        for c, value in zip(out, values, strict=True):
-                            out[c].append(value)
+                    hit = np.flatnonzero(least <= row.reach + margin)
+                    for c, value in (("block", row.block), ("tile", row.tile), ("span", int(row.span)), ("v", row.n)):
+                        out[c] += [value] * len(hit)
+                    out["other"] += names[hit].tolist()
+                    out["m"] += n[hit].tolist()
             return _frame(out)
 
         pairs = v_side.unionByName(m_side).groupBy("block", "cell", "other").applyInPandas(
@@ -221,10 +257,11 @@ class TileIndex:
         return cut_lineage(pairs)
 
     def search(self, visitors: DataFrame, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], result: str,
-               members: DataFrame | None = None) -> DataFrame:
-        """Apply ``step(members, visitors)`` to every pair of tiles that may hold neighbours.
+               members: DataFrame | None = None, mutual: bool = False) -> DataFrame:
+        """Apply ``step(members, visitors)`` to every pair of groups with tiles that may hold neighbours.
 
-        ``visitors``: rows of ``members`` with a ``radius``.
+        ``visitors``: rows of ``members`` with a ``radius``. ``mutual``: the members are the visitors, all of a block look
+        equally far, and either order of a pair says the same, so that one of them is left out.
         """
         members = self.members if members is None else members
         sides = ["radius", "loc", "vector", "weight"]
@@ -233,12 +270,20 @@ class TileIndex:
             rows = rows.unionByName(visitors.select("block", *sides, F.lit(False).alias("member")))
             return rows.groupBy("block").applyInPandas(_both(step), result)
         pairs = self.tile_pairs(visitors, members).select("block", "tile", "span", "other")
-        v_side = visitors.withColumn("span", _span(F.col("radius"))).join(pairs, ["block", "tile", "span"]).select(
-            "block", "tile", "span", "other", *sides, F.lit(False).alias("member")
+        met = pairs.join(self.groups.withColumnRenamed("grp", "from"), ["block", "tile"]).join(
+            self.groups.select("block", F.col("tile").alias("other"), F.col("grp").alias("to")), ["block", "other"]
+        )
+        if mutual:
+            met = met.where(F.col("from") <= F.col("to"))
+        v_tiles = met.select("block", "tile", "span", "to").distinct()
+        m_tiles = met.select("block", F.col("other").alias("tile"), "from").distinct()
+        v_side = visitors.withColumn("span", _span(F.col("radius"))).join(v_tiles, ["block", "tile", "span"]).select(
+            "block", F.col("grp").alias("from"), "to", *sides, F.lit(False).alias("member")
         )
-        m_side = members.withColumnRenamed("tile", "other").withColumn("radius", F.lit(0.0)).join(pairs, ["block", "other"])
-        m_side = m_side.select("block", "tile", "span", "other", *sides, F.lit(True).alias("member"))
-        return m_side.unionByName(v_side).groupBy("block", "tile", "span", "other").applyInPandas(_both(step), result)
+        m_side = members.withColumn("radius", F.lit(0.0)).join(m_tiles, ["block", "tile"]).select(
+            "block", "from", F.col("grp").alias("to"), *sides, F.lit(True).alias("member")
+        )
+        return m_side.unionByName(v_side).groupBy("block", "from", "to").applyInPandas(_both(step), result)
 
 
 def _span(radius: Column) -> Column:
@@ -276,29 +321,38 @@ def compare_tiles(members: DataFrame, visitors: DataFrame, key: list[str], step,
 
 
 def _nearest_step(k: int):
-    """Per visitor: its nearest member locations in one tile, as far as their copies are needed for k neighbours."""
+    """Per visitor: its nearest member locations in one group, as far as their copies are needed for k neighbours."""
 
     def step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"block": [], "loc": [], "other": [], "weight": [], "distance": []}
-        if len(members) and len(visitors):
-            m, v = _matrix(members["vector"]), _matrix(visitors["vector"])
-            approx, slack = _squared(v, m), _slack(v, m)
-            names, weights = members["loc"].to_numpy(), members["weight"].to_numpy()
-            rows = zip(visitors["block"], visitors["loc"], visitors["radius"], strict=True)
-            for i, (block, loc, radius) in enumerate(rows):
-                bound = approx[i].max() if len(m) <= k else np.partition(approx[i], k)[k]
-                near = np.flatnonzero(approx[i] <= min(bound, radius * radius) + slack + 1e-9)
-                near = near[names[near] != loc]
-                exact = _exact(m[near], v[i])
-                order = sorted(range(len(near)), key=lambda j: (exact[j], names[near[j]]))[:k]
-                for j in order:
-                    if exact[j] <= radius + 1e-9:
-                        out["block"].append(block)
-                        out["loc"].append(loc)
-                        out["other"].append(names[near[j]])
-                        out["weight"].append(int(weights[near[j]]))
-                        out["distance"].append(float(exact[j]))
-        return _frame(out)
+        if not len(members) or not len(visitors):
+            return _frame({"block": [], "loc": [], "other": [], "weight": [], "distance": []})
+        m, v = _matrix(members["vector"]), _matrix(visitors["vector"])
+        slack, radius = _slack(v, m) + 1e-9, visitors["radius"].to_numpy(dtype=np.float64)
+        names, at = np.unique(np.concatenate([members["loc"].to_numpy(), visitors["loc"].to_numpy()]), return_inverse=True)
+        at_m, at_v = at[: len(m)], at[len(m) :]
+        kept = []
+        for start, d in _stripes(v, m):
+            near = d <= (radius[start : start + len(d)] ** 2)[:, None] + slack
+            crowded = np.flatnonzero(near.sum(1) > 4 * (k + 1))
+            if len(crowded):
+                some = d[crowded]
+                near[crowded] &= some <= np.partition(some, k, axis=1)[:, k][:, None] + slack
+            i, j = np.nonzero(near)
+            i += start
+            other = at_m[j] != at_v[i]
+            i, j = i[other], j[other]
+            exact = _exact_pairs(m, j, v, i)
+            inside = exact <= radius[i] + 1e-9
+            i, j, exact = i[inside], j[inside], exact[inside]
+            order = np.lexsort((at_m[j], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < k
+            kept.append((i[first], j[first], exact[first]))
+        i, j, exact = (np.concatenate(x) for x in zip(*kept, strict=True))
+        return pd.DataFrame({
+            "block": visitors["block"].to_numpy()[i], "loc": names[at_v[i]], "other": names[at_m[j]],
+            "weight": members["weight"].to_numpy()[j], "distance": exact,
+        })
 
     return step
 
@@ -308,33 +362,45 @@ def _pair_schema(locs: DataFrame) -> str:
     return f"block {types['block']}, loc {types['loc']}, other {types['loc']}, weight long, distance double"
 
 
+MEMBER = ["block", "loc", "vector", "weight", "cell", "away", "ball", "tile", "far", "grp"]
+
+
+def _member_types(index: TileIndex) -> str:
+    tile = dict(index.members.dtypes)["tile"]
+    return f"{index.types}, cell int, away double, ball int, tile {tile}, far double, grp int"
+
+
+def _bounds(index: TileIndex, k: int) -> DataFrame:
+    """The members with an upper bound on the distance to their k-th neighbour, as ``radius``, from the rows of their own
+    group; infinite where that holds too few points."""
+
+    def bound(group: pd.DataFrame) -> pd.DataFrame:
+        v, weights = _matrix(group["vector"]), group["weight"].to_numpy()
+        radius, slack, used = np.empty(len(v)), _slack(v, v), min(k + 1, len(v))
+        for at, d in _stripes(v, v):
+            near = np.argpartition(d, used - 1, axis=1)[:, :used]  # every row has a weight of one at least
+            rows = np.arange(len(d))[:, None]
+            near = near[rows, np.argsort(d[rows, near], axis=1, kind="stable")]
+            reached = np.cumsum(weights[near], axis=1) >= k + 1  # the point itself counts once
+            first = near[rows[:, 0], reached.argmax(axis=1)]
+            found = np.sqrt(d[rows[:, 0], first] + slack) + 1e-9
+            radius[at : at + len(d)] = np.where(reached.any(axis=1), found, np.inf)
+        return group.assign(radius=radius)
+
+    bounded = index.members.select(*MEMBER).groupBy("block", "grp").applyInPandas(bound, f"{_member_types(index)}, radius double")
+    return bounded if index.single else cut_lineage(bounded)
+
+
 def _reach(index: TileIndex, k: int) -> DataFrame:
     """The members with an upper bound on the distance to their k-th neighbour, as ``radius``.
 
-    The bound comes from the location's own tile. Where that holds too few points, it is the distance to the far side of the
+    The bound comes from the location's own group. Where that holds too few points, it is the distance to the far side of the
     fullest tile of its cell, or of its block; where these hold too few as well, the search looks at the whole block.
     """
-    types = f"{index.types}, cell int, away double, ball int, tile string, far double"
-    columns = ["block", "loc", "vector", "weight", "cell", "away", "ball", "tile", "far"]
-
-    def bound(tile: pd.DataFrame) -> pd.DataFrame:
-        v, weights = _matrix(tile["vector"]), tile["weight"].to_numpy()
-        radius = np.empty(len(v))
-        for at in range(0, len(v), 256):
-            d = _squared(v[at : at + 256], v)
-            order = np.argsort(d, axis=1, kind="stable")
-            reached = np.cumsum(weights[order], axis=1) >= k + 1  # the point itself counts once
-            first = reached.argmax(axis=1)
-            rows = np.arange(len(d))
-            found = np.sqrt(d[rows, order[rows, first]] + _slack(v, v)) + 1e-9
-            radius[at : at + 256] = np.where(reached.any(axis=1), found, np.inf)
-        kept = {c: tile[c].tolist() for c in columns}
-        return _frame({**kept, "radius": radius.tolist()})
-
-    bounded = index.members.select(*columns).groupBy("block", "tile").applyInPandas(bound, f"{types}, radius double")
+    columns, types = MEMBER, _member_types(index)
+    bounded = _bounds(index, k)
     if index.single:
         return bounded
-    bounded = cut_lineage(bounded)
     enough = index._described(index.members).where(F.col("weight") >= k + 1)
     full = F.max_by(F.struct("centre", "hi"), F.struct("weight", "tile"))
     by_cell = enough.groupBy("block", "cell").agg(full.alias("in_cell"))
@@ -411,8 +477,24 @@ def core_distances(index: TileIndex, locs: DataFrame, min_samples: int, radius:
         visitors = index.members.join(radius, "block")
     else:
         visitors = index.members.withColumn("radius", F.lit(float(radius)))
+    return _core_distances(index, locs, min_samples, visitors)
+
+
+def core_locations(index: TileIndex, locs: DataFrame, min_samples: int, radius: float) -> DataFrame:
+    """``(block, loc)`` of the locations with ``min_samples`` other points within a radius, copies counted.
+
+    Most are known from the points of their own group; only the others are searched for.
+    """
+    bounded = cut_lineage(_bounds(index, min_samples)) if index.single else _bounds(index, min_samples)
+    known = F.col("radius") <= radius
+    unknown = bounded.where(~known).withColumn("radius", F.lit(float(radius)))
+    searched = _core_distances(index, locs, min_samples, unknown).where(F.col("core_distance") <= radius)
+    return bounded.where(known).select("block", "loc").unionByName(searched.select("block", "loc"))
+
+
+def _core_distances(index: TileIndex, locs: DataFrame, min_samples: int, visitors: DataFrame) -> DataFrame:
     found = index.search(visitors, _nearest_step(min_samples), _pair_schema(locs))
-    own = index.members.where(F.col("weight") > 1).select(
+    own = visitors.where(F.col("weight") > 1).select(
         "block", "loc", F.col("loc").alias("other"), (F.col("weight") - 1).alias("weight"), F.lit(0.0).alias("distance")
     )
     near = top_n(
@@ -431,31 +513,51 @@ def core_distances(index: TileIndex, locs: DataFrame, min_samples: int, radius:
     return near.select("block", "loc", walked["at"].alias("core_distance")).where(F.col("core_distance").isNotNull())
 
 
+def _any_row(links: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Columns that one of the rows links to."""
+    out = np.zeros(links.shape[1], dtype=bool)
+    for at in range(0, len(rows), STRIPE):
+        out |= links[rows[at : at + STRIPE]].any(axis=0)
+    return out
+
+
 def _forest_step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
-    """Links from every location of one tile pair to the least location it reaches by steps within the radius."""
-    empty = _frame({"block": [], "a": [], "b": []})
+    """Links from every location of one pair of groups to the least location it reaches by steps within the radius."""
     if not len(members) or not len(visitors):
-        return empty
+        return _frame({"block": [], "a": [], "b": []})
     m, v = _matrix(members["vector"]), _matrix(visitors["vector"])
-    radius = visitors["radius"].to_numpy()
-    approx, slack = _squared(v, m), _slack(v, m)
-    sure = approx <= np.maximum(radius[:, None] ** 2 - slack, 0.0)
-    unsure = ~sure & (approx <= radius[:, None] ** 2 + slack)
-    for i, j in zip(*np.nonzero(unsure), strict=True):
-        sure[i, j] = np.sqrt(((v[i] - m[j]) ** 2).sum()) <= radius[i]
+    radius, slack = visitors["radius"].to_numpy(dtype=np.float64), _slack(v, m)
+    links = np.empty((len(v), len(m)), dtype=bool)
+    for start, d in _stripes(v, m):
+        limit = (radius[start : start + len(d)] ** 2)[:, None]
+        near = d <= np.maximum(limit - slack, 0.0)
+        i, j = np.nonzero((d <= limit + slack) & ~near)
+        near[i, j] = _exact_pairs(v, i + start, m, j) <= radius[i + start]
+        links[start : start + len(d)] = near
     names, at = np.unique(
         np.concatenate([members["loc"].to_numpy(), visitors["loc"].to_numpy()]), return_inverse=True
     )
     at_m, at_v = at[: len(m)], at[len(m) :]
-    # Spread the least position over the links, halving paths on the way, until nothing changes.
+    # Breadth first from every visitor that is not reached yet: each row and column of links is read once.
+    turned = np.ascontiguousarray(links.T)
+    root_m, root_v = np.full(len(m), -1), np.full(len(v), -1)
+    least = []
+    for i in range(len(v)):
+        if root_v[i] >= 0:
+            continue
+        root, front, low = len(least), np.array([i]), at_v[i]
+        root_v[i] = root
+        while len(front):
+            across = np.flatnonzero(_any_row(links, front) & (root_m < 0))
+            root_m[across] = root
+            front = np.flatnonzero(_any_row(turned, across) & (root_v < 0))
+            root_v[front] = root
+            low = min(low, at_m[across].min(initial=low), at_v[front].min(initial=low))
+        least.append(low)
     label = np.arange(len(names))
-    while True:
-        before = label.copy()
-        np.minimum.at(label, at_v, np.where(sure, label[at_m][None, :], len(names)).min(1))
-        np.minimum.at(label, at_m, np.where(sure, label[at_v][:, None], len(names)).min(0))
-        label = label[label]
-        if np.array_equal(label, before):
-            break
+    label[at_v] = np.array(least)[root_v]
+    reached = root_m >= 0
+    label[at_m[reached]] = np.array(least)[root_m[reached]]
     linked = np.flatnonzero(label != np.arange(len(names)))
     block = members["block"].iloc[0]
     return _frame({"block": [block] * len(linked), "a": names[linked].tolist(), "b": names[label[linked]].tolist()})
@@ -464,10 +566,10 @@ def _forest_step(members: pd.DataFrame, visitors: pd.DataFrame) -> pd.DataFrame:
 def radius_forest(index: TileIndex, core: DataFrame) -> DataFrame:
     """``(block, a, b)``: links that connect the same locations as all pairs within the radius would.
 
-    ``core``: rows of the index's members with a ``radius``; both ends of a link are in it.
+    ``core``: rows of the index's members with a ``radius``, one for each block; both ends of a link are in it.
     """
     members = core.drop("radius")
     types = dict(core.dtypes)
     return index.search(
-        core, _forest_step, f"block {types['block']}, a {types['loc']}, b {types['loc']}", members
+        core, _forest_step, f"block {types['block']}, a {types['loc']}, b {types['loc']}", members, mutual=True
     )

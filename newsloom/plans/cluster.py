@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import fixed_values as fv
 from newsloom.operators.components import connected_components
-from newsloom.operators.neighbours import TILE, TileIndex, core_distances, locations, radius_forest
+from newsloom.operators.neighbours import TILE, TileIndex, core_distances, core_locations, locations, radius_forest
 from newsloom.operators.tables import populous
 from newsloom.operators.windows import number_within
 from newsloom.plans.embed import reduce_dimensions
@@ -37,12 +37,12 @@ def density_cluster(
     )
     locs = cut_lineage(locations(prepared))
     index = TileIndex(locs, tile)
-    distances = cut_lineage(core_distances(index, locs, min_samples, eps))
     if eps is None:
+        distances = cut_lineage(core_distances(index, locs, min_samples, None))
         radius = distances.groupBy("block").agg(F.percentile_approx("core_distance", eps_quantile, 10_000).alias("radius"))
         core = distances.join(radius, "block").where(F.col("core_distance") <= F.col("radius"))
     else:
-        core = distances.where(F.col("core_distance") <= eps).withColumn("radius", F.lit(float(eps)))
+        core = core_locations(index, locs, min_samples, eps).withColumn("radius", F.lit(float(eps)))
     core = cut_lineage(
         index.members.join(core.select("block", "loc", "radius"), ["block", "loc"])
     )

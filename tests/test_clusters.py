@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.approximate import Planes, probe_order, recall_of
 from newsloom.operators.components import connected_components
-from newsloom.operators.neighbours import TileIndex, _reach, knn, locations
+from newsloom.operators.neighbours import TileIndex, _reach, core_locations, knn, locations
 from newsloom.plans.cluster import cluster_categories, density_cluster
 
 DDL = "g string, id long, embedding array<double>"
@@ -232,3 +232,30 @@ def test_hashing_looks_into_few_buckets(spark):
 def test_probes_come_in_order_of_distance():
     gaps = np.array([[3.0, 1.0, 2.0]])
     assert probe_order(gaps, 6).tolist() == [[0, 0b010, 0b100, 0b110, 0b001, 0b011]]
+
+
+def test_noise_is_sent_by_groups_not_by_tiles(spark):
+    """Where no tile can be left out, a location is sent once to each group, however small its own tile is."""
+    vectors = np.random.default_rng(8).normal(size=(640, 64))
+    points = frame(spark, vectors).select(F.col("g").alias("block"), "id", F.col("embedding").alias("vector"))
+    index = TileIndex(locations(points), 16)
+
+    def step(members, visitors):
+        return pd.DataFrame({"sent": [len(members) + len(visitors)], "pairs": [len(members) * len(visitors)]})
+
+    sent, pairs = index.search(_reach(index, 5), step, "sent long, pairs long").agg(F.sum("sent"), F.sum("pairs")).first()
+    assert sent <= 2 * 640 * (640 / (4 * 16) + 2)
+    assert pairs == 640 * 640
+
+
+def test_core_locations_are_those_with_enough_points_inside(spark):
+    """Known from their own group or searched for, with copies, and at a radius that a distance meets exactly."""
+    rng = np.random.default_rng(12)
+    vectors = np.vstack([rng.normal(size=(200, 5)), np.repeat([[9.0] * 5], 7, axis=0), [[20.0, 0, 0, 0, float(i)] for i in range(9)]])
+    points = frame(spark, vectors).select(F.col("g").alias("block"), "id", F.col("embedding").alias("vector"))
+    locs = locations(points)
+    index = TileIndex(locs, 16)
+    for radius in (1.0, 1.5, 3.0):
+        got = {r["loc"] for r in core_locations(index, locs, 6, radius).collect()}
+        inside = (distances(vectors) <= radius).sum(1) - 1 >= 6
+        assert got == {i for i in np.flatnonzero(inside) if not 200 < i < 207}
