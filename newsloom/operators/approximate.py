@@ -6,8 +6,11 @@ and then into those nearest to it: the planes closest to the location are crosse
 distance that crossing them takes. What shares a bucket is compared in full, in tiles, so a crowded bucket is many tasks.
 
 How many planes a block uses follows from its size, so buckets hold about ``bucket`` locations at any size; the work is
-``tables * probes * bucket`` comparisons a location. Recall is a matter of the data: measure it with ``recall_of`` against
-``knn`` on blocks of the kind in question, and raise ``tables`` or ``probes``.
+``tables * probes * bucket`` comparisons a location. Recall is a matter of the data: in high-dimensional noise the nearest
+are hardly nearer than the rest, and small buckets miss most of them. So every block is tried first: ``TRIED`` of its
+locations, picked by hash, are compared with all of it, and the block takes the most planes with which its buckets would have
+shown ``RECALL`` of their neighbours. Clustered blocks keep buckets of ``bucket``; in noise they grow with the block, down to
+no plane at all, which is the exact search. All locations are in the buckets, whatever was tried.
 """
 
 from __future__ import annotations
@@ -20,12 +23,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.windows import top_n
 from newsloom.session import cut_lineage
 
 TABLES, PROBES, BUCKET = 8, 6, 256
 MOST_PLANES = 24
 SAMPLE_ROWS = 4096  # vectors that reach the driver, picked by hash, for the medians of projections
 CROSSED = 8  # planes nearest to a location that a probe may cross
+TRIED, RECALL = 128, 0.95  # locations of a block that its planes are tried on, and the share of neighbours they are to show
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -86,6 +91,46 @@ def _buckets(planes: Planes, probes: int, members: bool):
     return step
 
 
+def _planes_that_show(planes: Planes, probes: int):
+    """The most planes of a block, as rows ``(block, planes)``, that show enough of the neighbours found for its tried rows."""
+
+    def step(rows: pd.DataFrame) -> pd.DataFrame:
+        own, other = _matrix(rows["vector"]), _matrix(rows["other_vector"])
+        tables = range(len(planes.directions))
+        sides = [(planes.sides(own, t), planes.sides(other, t)) for t in tables]
+        count = int(rows["planes"].iloc[0])
+        while count > 0:
+            bits = np.arange(count)
+            shown = np.zeros(len(rows), dtype=bool)
+            for mine, theirs in sides:
+                differ = (((mine[:, :count] > 0) != (theirs[:, :count] > 0)).astype(np.int64) << bits).sum(axis=1)
+                shown |= (probe_order(np.abs(mine[:, :count]), probes) == differ[:, None]).any(axis=1)
+            if shown.mean() >= RECALL:
+                break
+            count -= 1
+        return pd.DataFrame({"block": rows["block"].iloc[:1].to_numpy(), "planes": np.array([count], dtype=np.int32)})
+
+    return step
+
+
+def _tried(locs: DataFrame, sizes: DataFrame, planes: Planes, k: int, probes: int, step, result: str, compare_tiles) -> DataFrame:
+    """``(block, planes)``: as many planes as ``sizes`` names, or fewer if these would show too few neighbours."""
+    in_question = locs.join(sizes.where(F.col("planes") > 0), "block").select("block", "loc", "vector", "weight")
+    some = top_n(in_question, ["block"], [F.xxhash64("loc", F.lit("tried")), F.asc("loc")], TRIED, "__r").drop("__r")
+    some = cut_lineage(some.withColumn("radius", F.lit(float("inf"))))
+    met = compare_tiles(in_question, some, ["block"], step, result)
+    near = top_n(met, ["block", "loc"], [F.asc("distance"), F.asc("other")], k, "__r").select("block", "loc", "other")
+    pairs = near.join(some.select("block", "loc", "vector"), ["block", "loc"]).join(
+        locs.select("block", F.col("loc").alias("other"), F.col("vector").alias("other_vector")), ["block", "other"]
+    )
+    block = dict(locs.dtypes)["block"]
+    found = pairs.join(sizes, "block").select("block", "vector", "other_vector", "planes").groupBy("block").applyInPandas(
+        _planes_that_show(planes, probes), f"block {block}, planes int"
+    )
+    # Blocks that were not tried have no plane
+    return sizes.select("block").join(found, "block", "left").select("block", F.coalesce("planes", F.lit(0)).alias("planes"))
+
+
 def lsh_search(
     locs: DataFrame, k: int, step, result: str, compare_tiles, tables: int = TABLES, probes: int = PROBES,
     bucket: int = BUCKET, seed: int = 11,
@@ -97,6 +142,8 @@ def lsh_search(
     sizes = sizes.select("block", wanted.cast("int").alias("planes"))
     most = sizes.agg(F.max("planes")).first()[0] or 0
     planes = Planes(locs, tables if most else 1, max(most, 1), seed)
+    if most:
+        sizes = cut_lineage(_tried(locs, sizes, planes, k, probes, step, result, compare_tiles))
     placed = locs.join(sizes, "block").select("block", "loc", "vector", "weight", "planes")
     types = dict(placed.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in placed.columns) + ", table int, bucket long"

@@ -259,3 +259,15 @@ def test_core_locations_are_those_with_enough_points_inside(spark):
         got = {r["loc"] for r in core_locations(index, locs, 6, radius).collect()}
         inside = (distances(vectors) <= radius).sum(1) - 1 >= 6
         assert got == {i for i in np.flatnonzero(inside) if not 200 < i < 207}
+
+
+def test_hashing_finds_nine_in_ten_of_noise(spark):
+    """Blocks of noise take fewer planes than their size asks for; a block of clusters beside them keeps its own."""
+    rng = np.random.default_rng(14)
+    noise = rng.normal(size=(2000, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    clustered = np.pad(spread(1500, 4), ((0, 0), (0, 54)))
+    df = frame(spark, noise, "a").unionByName(frame(spark, clustered, "b").withColumn("id", F.col("id") + 10_000))
+    near = knn(df, 5, "g", method="lsh", bucket=16, tables=4)
+    shares = {r["g"]: r["recall"] for r in recall_of(near, knn(df, 5, "g"), "g").collect()}
+    assert shares["a"] >= 0.9 and shares["b"] >= 0.9
