@@ -78,3 +78,22 @@ def test_a_failed_part_gives_the_fallback_and_a_count(spark):
     found = {r["bias"]: r for r in content._fold(answers, lambda prompts: ["merged"] * len(prompts)).collect()}
     assert (found["left"]["answer"], found["left"]["failed_parts"]) == (None, 1)
     assert (found["right"]["answer"], found["right"]["failed_parts"]) == ("merged", 0)
+
+
+def test_landed_files_follow_the_splits_of_the_table(spark):
+    """A table of many splits lands in as many files of an hour, so that no task or file takes half of it."""
+    from pathlib import Path
+
+    from __spark_entry__ import queries
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("landed-*"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+    try:
+        splits = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").rdd.getNumPartitions()
+        queries()["str1_incremental_ingest"](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (landed,) = set(folder.glob("landed-*")) - before
+    assert splits > 4
+    assert len(list(landed.glob("part-*.parquet"))) == 2 * splits
