@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, written
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
@@ -29,7 +29,8 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     """Exact ``row_number`` within each group, for groups of any size.
 
     Rows are range-partitioned by (keys, order), so a big group spreads over many tasks; a row's number
-    is its offset in its partition plus the group's count in earlier partitions.
+    is its offset in its partition plus the group's count in earlier partitions. Offsets are one row per group and
+    partition; while they are few Catalyst broadcasts them, and the rows are not shuffled again.
     """
     sort = [F.col(k).asc() for k in keys] + list(order)
     placed = cut_lineage(
@@ -40,12 +41,13 @@ def number_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
         F.min("__at").alias("__start"), F.count(F.lit(1)).alias("__n")
     )
     earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = runs.select(
+    before = runs.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
         "__part",
         "__start",
         F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"),
     )
+    offsets = written(before, "offsets")
     same_run = F.col("__part") == part
     for i, k in enumerate(keys):
         same_run = same_run & F.col(k).eqNullSafe(F.col(f"__k{i}"))

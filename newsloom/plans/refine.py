@@ -15,10 +15,11 @@ from newsloom.operators.aggregates import bias_counts, top_words, word_counts
 from newsloom.operators.generate import TextModel, generate, title_lists
 from newsloom.operators.tables import union_all, with_bias
 from newsloom.operators.windows import number_within, top_n
-from newsloom.session import cut_lineage
+from newsloom.session import written
 
 CLUSTER = ["category", "cluster_id"]
 SEEDS, COMPANIONS = 6, 3
+LEADERS = 64  # words of a cluster that are tried as companions first
 PATTERN_PROMPT = (
     "Name 3 to 6 distinct political events in these %d headlines, each with a title of about 20 characters and "
     "3 or 4 keywords.\n\n%s\n\nAnswer as JSON: "
@@ -28,28 +29,64 @@ PATTERN_PROMPT = (
 
 # --- event patterns -------------------------------------------------------------------------
 
-def frequent_word_patterns(members: DataFrame, word_pattern: str = fv.HANGUL_WORD) -> DataFrame:
+def _own_seeds() -> Column:
+    """The positions of the ``seeds`` that stand in ``words``."""
+    return F.transform(F.filter("seeds", lambda s: F.array_contains("words", s["word"])), lambda s: s["event_pos"])
+
+
+def _together(pairs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """``(category, cluster_id, event_pos, word, n)`` over rows of a word and the seeds ``own`` of its title."""
+    counts = pairs.groupBy(*CLUSTER, "own", "word").agg(F.count(F.lit(1)).alias("n"))
+    return (
+        counts.select(*CLUSTER, F.explode("own").alias("event_pos"), "word", "n")
+        .join(seeds.select(*CLUSTER, "event_pos", F.col("word").alias("seed")), [*CLUSTER, "event_pos"])
+        .where(F.col("word") != F.col("seed"))
+        .groupBy(*CLUSTER, "event_pos", "word")
+        .agg(F.sum("n").alias("n"))
+    )
+
+
+def frequent_word_patterns(
+    members: DataFrame, word_pattern: str = fv.HANGUL_WORD, leaders: int = LEADERS
+) -> DataFrame:
     """``(category, cluster_id, events)`` without a model.
 
     Seeds are the six words found in most of a cluster's titles; each brings the three words that share
-    most titles with it. A title meets its cluster's seeds as one short list, and pairs are made within its row, so the
-    work is linear in the words of the titles, whatever the cluster's size.
+    most titles with it. Titles are split into words once and are not dealt by cluster: a title meets its cluster's
+    seeds as one short list, and only counts are shuffled.
+
+    A word shares no more titles with a seed than hold it. So the cluster's ``leaders`` most frequent words are tried
+    first, and then every word that is in at least as many titles as the third of them shares with a seed.
     """
     found = F.array_distinct(F.regexp_extract_all(F.coalesce("title", F.lit("")), F.lit(f"({word_pattern})"), F.lit(1)))
-    titles = members.select(*CLUSTER, found.alias("words"))
-    counts = titles.select(*CLUSTER, F.explode("words").alias("word")).groupBy(*CLUSTER, "word").agg(F.count(F.lit(1)).alias("n"))
-    seeds = top_n(counts, CLUSTER, [F.desc("n"), F.asc("word")], SEEDS, "event_pos").drop("n")
-    lists = seeds.groupBy(*CLUSTER).agg(F.collect_list(F.struct("event_pos", "word")).alias("seeds"))  # SEEDS at most
-    own = F.filter("seeds", lambda s: F.array_contains("words", s["word"]))
-    together = (
-        titles.join(lists, CLUSTER)
-        .select(*CLUSTER, "words", F.explode(own).alias("seed"))
-        .select(*CLUSTER, "seed", F.explode("words").alias("word"))
-        .where(F.col("word") != F.col("seed.word"))
-        .groupBy(*CLUSTER, F.col("seed.event_pos").alias("event_pos"), "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+    titles = written(members.select(*CLUSTER, found.alias("words")), "title-words")
+    words = titles.select(*CLUSTER, F.explode("words").alias("word"))
+    counts = written(words.groupBy(*CLUSTER, "word").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    order = [F.desc("n"), F.asc("word")]
+    first = written(top_n(counts, CLUSTER, order, max(leaders, SEEDS), "event_pos"), "leaders")
+    seeds = first.where(F.col("event_pos") <= SEEDS).drop("n")
+    seed = F.when(F.col("event_pos") <= SEEDS, F.struct("event_pos", "word"))
+    lists = first.groupBy(*CLUSTER).agg(F.collect_list(seed).alias("seeds"), F.collect_list("word").alias("leaders"))
+    met = titles.join(written(lists, "leader-lists"), CLUSTER).select(*CLUSTER, "words", "leaders", _own_seeds().alias("own"))
+    led = met.select(*CLUSTER, "own", F.explode(F.array_intersect("words", "leaders")).alias("word"))
+    early = written(_together(led, seeds), "together")
+
+    third = top_n(early, [*CLUSTER, "event_pos"], order, COMPANIONS, "r").where(F.col("r") == COMPANIONS)
+    floors = (
+        seeds.select(*CLUSTER, "event_pos")
+        .join(third.select(*CLUSTER, "event_pos", F.col("n").alias("third")), [*CLUSTER, "event_pos"], "left")
+        .groupBy(*CLUSTER)
+        .agg(F.min(F.coalesce("third", F.lit(1))).alias("floor"))
     )
-    near = top_n(together, [*CLUSTER, "event_pos"], [F.desc("n"), F.asc("word")], COMPANIONS, "r")
+    others = (
+        counts.join(written(floors, "floors"), CLUSTER)
+        .where(F.col("n") >= F.col("floor"))
+        .join(first, [*CLUSTER, "word"], "left_anti")
+        .select(*CLUSTER, "word")
+    )
+    rest = met.select(*CLUSTER, "own", F.explode("words").alias("word")).join(written(others, "others"), [*CLUSTER, "word"])
+    together = union_all(early, _together(rest, seeds))
+    near = top_n(together, [*CLUSTER, "event_pos"], order, COMPANIONS, "r")
     companions = near.groupBy(*CLUSTER, "event_pos").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda w: w["word"]).alias("companions")
     )
@@ -87,30 +124,34 @@ def model_patterns(members: DataFrame, model: TextModel, titles: int = fv.PATTER
 
 def event_patterns(members: DataFrame, model: TextModel | None = None, word_pattern: str = fv.HANGUL_WORD) -> DataFrame:
     patterns = model_patterns(members, model) if model else frequent_word_patterns(members, word_pattern)
-    return cut_lineage(patterns)  # one short row per cluster, read by every later step
+    return written(patterns, "patterns")  # one short row per cluster, read by every later step
 
 
 # --- assignment and shaping -----------------------------------------------------------------
 
 def best_event(title: Column, events: Column) -> Column:
     """The event with most keywords in the title, two at least; the earlier event wins a tie."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    scored = F.transform(
-        events,
-        lambda e: F.struct(
-            F.size(F.filter(e["keywords"], lambda k: F.contains(low, F.lower(k)))).alias("score"),
-            (-e["event_pos"]).alias("precedence"),
-            e["event_id"].alias("event_id"),
-            e["title"].alias("title"),
-        ),
-    )
-    return F.array_max(F.filter(scored, lambda s: s["score"] >= fv.MIN_EVENT_KEYWORDS))
+
+    def best(low: Column) -> Column:
+        scored = F.transform(
+            events,
+            lambda e: F.struct(
+                F.size(F.filter(e["keywords"], lambda k: F.contains(low, F.lower(k)))).alias("score"),
+                (-e["event_pos"]).alias("precedence"),
+                e["event_id"].alias("event_id"),
+                e["title"].alias("title"),
+            ),
+        )
+        return F.array_max(F.filter(scored, lambda s: s["score"] >= fv.MIN_EVENT_KEYWORDS))
+
+    return text.let(F.lower(F.coalesce(title, F.lit(""))), best)
 
 
 def assign_events(members: DataFrame, patterns: DataFrame) -> DataFrame:
     """Members with ``event_pos, event_id, event_title, score`` (null when unmatched) and ``has_patterns``.
 
-    Patterns are one short row per cluster, so big clusters are split by the adaptive join.
+    Patterns are one short row per cluster: members stay where they are while Catalyst broadcasts these, and beyond that
+    the adaptive join splits big clusters.
     """
     joined = members.join(patterns, CLUSTER, "left").withColumn("__e", best_event(F.col("title"), F.col("events")))
     return joined.select(
@@ -129,9 +170,9 @@ def shape_groups(assigned: DataFrame, numbered: bool = True) -> DataFrame:
     Singletons are numbered in their cluster by time and id, over as many tasks as it takes; callers that
     read no labels of singletons leave the numbers out, and a singleton then has its article's id.
     """
-    rows = cut_lineage(assigned)
+    rows = written(assigned, "assigned")
     matched = rows.where(F.col("event_pos").isNotNull())
-    counts = matched.groupBy(*CLUSTER, "event_pos").agg(F.count(F.lit(1)).alias("event_size"))
+    counts = written(matched.groupBy(*CLUSTER, "event_pos").agg(F.count(F.lit(1)).alias("event_size")), "event-sizes")
     # Most rows have no event: they stay out of the join, where they would all be one key
     sized = union_all(matched.join(counts, [*CLUSTER, "event_pos"]), rows.where(F.col("event_pos").isNull()))
     stem = (
@@ -162,8 +203,9 @@ def add_headlines(
     """Members with ``group_title``: the event's title, a shortened title, or the two most frequent words."""
     named = ~text.is_blank(F.col("event_title"))
     key = [*CLUSTER, "group_id"]
-    nameless = groups.where(~F.col("single") & ~named).select(*key, "published_at", "id", "title")
-    words = top_words(word_counts(nameless, key, word_pattern), key, 2)
+    # Singletons and events with a title stay out of the join: they may be nearly all rows
+    nameless = groups.where(~F.col("single") & ~named)
+    words = top_words(word_counts(nameless.select(*key, "published_at", "id", "title"), key, word_pattern), key, 2)
     top = words.groupBy(*key).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("word_rank", "word"))), lambda w: w["word"]).alias("top")
     )
@@ -172,7 +214,8 @@ def add_headlines(
         .when(F.col("single"), text.single_title_headline(F.col("title"), headline_rules))
         .otherwise(text.group_headline(F.coalesce("top", F.array().cast("array<string>"))))
     )
-    return groups.join(top, key, "left").withColumn("group_title", headline).drop("top")
+    joined = union_all(nameless.join(written(top, "top-words"), key, "left"), groups.where(F.col("single") | named))
+    return joined.withColumn("group_title", headline).drop("top")
 
 
 def merge_singletons(groups: DataFrame, merge_rules: Sequence[Mapping] | None = None) -> DataFrame:
@@ -181,14 +224,11 @@ def merge_singletons(groups: DataFrame, merge_rules: Sequence[Mapping] | None =
     low = F.lower("group_title")
     pattern = F.when(F.col("single"), first_pattern(low, merge_rules, "pattern_id"))
     title = F.coalesce(*[F.when(F.col("pattern") == r["pattern_id"], F.lit(r["title"])) for r in merge_rules])
-    marked = groups.withColumn("pattern", pattern)
-    hits = marked.where(F.col("pattern").isNotNull()).groupBy("category", "pattern").agg(
-        F.count(F.lit(1)).alias("hits")
-    )
+    marked = written(groups.withColumn("pattern", pattern), "titled")
+    counts = marked.where(F.col("pattern").isNotNull()).groupBy("category", "pattern").agg(F.count(F.lit(1)).alias("hits"))
+    hits = written(counts.where(F.col("hits") >= fv.MIN_GROUP_ARTICLES), "hits")
     # Nearly every row has no pattern: such rows stay out of the join, where a category would be one key
-    met = marked.where(F.col("pattern").isNotNull()).join(
-        hits.where(F.col("hits") >= fv.MIN_GROUP_ARTICLES), ["category", "pattern"], "left"
-    )
+    met = marked.where(F.col("pattern").isNotNull()).join(hits, ["category", "pattern"], "left")
     joined = union_all(met, marked.where(F.col("pattern").isNull()))
     merged = F.col("hits").isNotNull()
     return joined.select(
@@ -213,7 +253,7 @@ def refine_groups(
 ) -> DataFrame:
     """All members with their final group; ``numbered`` as for ``shape_groups``."""
     shaped = shape_groups(assign_events(members, patterns), numbered)
-    return cut_lineage(merge_singletons(add_headlines(shaped, word_pattern, headline_rules), merge_rules))
+    return merge_singletons(add_headlines(shaped, word_pattern, headline_rules), merge_rules)
 
 
 def rank_groups(

@@ -1,7 +1,10 @@
 """What must not be lost: late pages, rows without keys, parts that failed, titles beyond any number."""
 
+from collections import Counter
 from datetime import datetime
+from random import Random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators.tables import upsert
@@ -70,6 +73,49 @@ def test_patterns_come_from_all_titles(spark):
     assert [e["title"] for e in events] == ["delta", "gamma", "alpha", "beta"]
 
 
+MEMBERS = "category string, cluster_id int, id string, title string, media_id string, published_at timestamp"
+
+
+def members_of(spark, titles):
+    rows = [(c, k, str(i), t, "m", datetime(2024, 1, 1)) for i, (c, k, t) in enumerate(titles)]
+    return spark.createDataFrame(rows, MEMBERS)
+
+
+def expected_patterns(titles):
+    found = {}
+    for key in {(c, k) for c, k, _ in titles}:
+        sets = [set((t or "").split()) for c, k, t in titles if (c, k) == key]
+        counts = Counter(w for s in sets for w in s)
+        seeds = sorted(counts, key=lambda w: (-counts[w], w))[:6]
+        near = {s: Counter(w for x in sets if s in x for w in x if w != s) for s in seeds}
+        found[key] = [[s, *sorted(near[s], key=lambda w: (-near[s][w], w))[:3]] for s in seeds]
+    return found
+
+
+@pytest.mark.parametrize("leaders", [1, 8, 64])
+def test_companions_are_the_same_however_many_words_are_tried_first(spark, leaders):
+    r = Random(5)
+    titles = [("a", 1, " ".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(0, 5)))) for _ in range(400)]
+    titles += [("a", 2, f"{'x' if i % 2 else 'y'} {i % 40} p{i % 40}") for i in range(300)]  # companions are rare words
+    titles += [("b", 1, "one"), ("b", 1, "one two"), ("b", 1, None), ("b", 2, "lonely")]
+    patterns = refine.frequent_word_patterns(members_of(spark, titles), "[a-z0-9]+", leaders)
+    found = {(p["category"], p["cluster_id"]): [list(e["keywords"]) for e in p["events"]] for p in patterns.collect()}
+    assert found == expected_patterns(titles)
+
+
+def test_members_are_not_dealt_by_cluster_event_or_category(spark):
+    titles = [("a", 1, f"the and {w}") for w in "abcdefgh" * 5] + [("a", 1, f"other {i}") for i in range(30)]
+    members = members_of(spark, titles)
+    assigned = refine.assign_events(members, refine.event_patterns(members, word_pattern="[a-z]+"))
+    shaped = refine.shape_groups(assigned)
+    rules = [{"pattern_id": "p", "keywords": ["ot", "he"], "title": "merged title"}]
+    merged = refine.merge_singletons(refine.add_headlines(shaped, "[a-z]+", []), rules)
+    for step in (assigned, shaped, merged):
+        shown = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in shown and "Exchange hashpartitioning" not in shown
+    assert len({r["id"] for r in merged.collect()}) == merged.count() == 70
+
+
 def test_a_failed_part_gives_the_fallback_and_a_count(spark):
     answers = spark.createDataFrame(
         [("i", "left", 0, "a"), ("i", "left", 1, None), ("i", "left", 2, "c"), ("i", "right", 0, "d"), ("i", "right", 1, "e")],
